@@ -102,7 +102,9 @@ def job_rollup(chunks: DataFrame, stored: DataFrame, guard: DataFrame) -> DataFr
             F.count_if(F.col("status") == "complete").alias("complete"),
             F.count("_have").alias("transcripts"),
             F.count_if(F.col("status") == "failed").alias("failed"),
-            F.min(F.when(F.col("status") == "failed", F.col("chunk_index"))).alias("first_failed"),
+            F.array_join(
+                F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("chunk_index")))), ","
+            ).alias("failed_chunks"),
         )
     )
     out = agg.join(guard, "video_id", "left")

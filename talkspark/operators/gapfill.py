@@ -57,7 +57,7 @@ def inserted_words(words: DataFrame, cues: DataFrame, tracks: DataFrame) -> Data
     a common cue, so gaps are grouped by shared cue ranges and each small group is folded.
     """
     # only tracks that may be translations are excluded; absent counts as original
-    trusted = tracks.filter("original").select("video_id")
+    trusted = tracks.filter(F.coalesce("original", F.lit(True))).select("video_id")
     gaps = missing_gaps(words).join(trusted, "video_id", "left_semi")
     tokens = gap_tokens(gaps, cues)
     present = heard_near(gaps, words).withColumn("heard", F.lit(True))

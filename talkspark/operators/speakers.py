@@ -14,7 +14,7 @@ DELTA = 0.75
 MIN_VOTES = 2
 
 
-def same_words(words: DataFrame, chunk_gap: Column | None = None) -> DataFrame:
+def same_words(words: DataFrame) -> DataFrame:
     """Pairs of words from different chunks that are the same word: equal key, both ends within
     0.75 s.  ``a`` comes from the earlier chunk."""
     key = X.word_key(F.col("text"))
@@ -141,10 +141,17 @@ def votes(words: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def labels(words: DataFrame) -> DataFrame:
-    """Labels per chunk with the position at which each first speaks."""
-    return words.filter("speaker_raw is not null").groupBy(
-        "video_id", "chunk_index", F.col("speaker_raw").alias("raw")
-    ).agg(F.min("pos").alias("first_pos"))
+    """Labels per chunk, the position at which each first speaks, and whether the chunk is the
+    video's first."""
+    first = words.groupBy("video_id").agg(F.min("chunk_index").alias("_first"))
+    return (
+        words.filter("speaker_raw is not null")
+        .groupBy("video_id", "chunk_index", F.col("speaker_raw").alias("raw"))
+        .agg(F.min("pos").alias("first_pos"))
+        .join(first, "video_id")
+        .withColumn("opens", F.col("chunk_index") == F.col("_first"))
+        .drop("_first")
+    )
 
 
 MAPPING = (
@@ -163,7 +170,8 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         k: list(zip(g["from_chunk"].astype(int), g["from_raw"], g["n"].astype(int))) for k, g in heard
     }
     order = pdf.drop_duplicates(["chunk_index", "raw"]).sort_values(["chunk_index", "first_pos"])
-    for turn, (chunk, group) in enumerate(order.groupby("chunk_index", sort=True)):
+    for chunk, group in order.groupby("chunk_index", sort=True):
+        opens = bool(group["opens"].iloc[0])
         waiting, offers = [], []
         for raw in group["raw"]:
             count: dict[int, int] = {}
@@ -171,7 +179,7 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
                 if (c, r) in known:
                     count[known[c, r]] = count.get(known[c, r], 0) + n
             best = sorted(count.values(), reverse=True) + [0, 0]
-            if turn == 0:
+            if opens:
                 waiting.append((raw, "confirmed", 0))
             elif best[0] >= MIN_VOTES and best[0] > best[1]:
                 offers.append((best[0], raw, max(count, key=count.get)))
