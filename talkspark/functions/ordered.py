@@ -376,7 +376,7 @@ def time_nodes(
     Rows are cut into time buckets and the first ``horizon`` seconds of a bucket are copied to
     the one before.  ``limit(rows, next_root, group_offsets)`` gives, per row, the position of the first row a
     group starting there cannot hold.  ``idx`` is dense, so when the copied rows end first the
-    next start is the row after them.
+    next start is the row after them.  ``limit`` may return a second array, kept as ``flag``.
     """
     keys = as_list(keys)
     home = F.floor(F.col(at) / F.lit(bucket)).cast("long")
@@ -392,6 +392,7 @@ def time_nodes(
             T.StructField("idx", T.LongType()),
             T.StructField("nxt", T.LongType()),
             T.StructField("root", T.BooleanType()),
+            T.StructField("flag", T.BooleanType()),
         ]
     )
 
@@ -403,12 +404,17 @@ def time_nodes(
         after = np.full(n, n)
         after[:-1] = np.minimum.accumulate(marks[::-1])[::-1][1:]
         after = np.minimum(after, np.repeat(ends, ends - starts))
-        stop = np.minimum(limit(pdf, after, starts), after)
+        stop = limit(pdf, after, starts)
+        flag = np.zeros(n, dtype=bool)
+        if isinstance(stop, tuple):
+            stop, flag = stop
+        stop = np.minimum(stop, after)
         idx = pdf["idx"].to_numpy(np.int64)
         inside = stop < np.repeat(ends, ends - starts)
         out = pdf[[*keys, "idx"]].copy()
         out["nxt"] = np.where(inside, idx[np.minimum(stop, n - 1)], idx[stop - 1] + 1)
         out["root"] = root
+        out["flag"] = flag
         return out[(pdf["_home"] == pdf["_b"]).to_numpy()]
 
     return map_groups(copied, [*keys, "_b"], "idx", run, shape)

@@ -169,11 +169,13 @@ def split_groups(words: DataFrame, group_table: DataFrame) -> DataFrame:
     least 240 s apart and the search ranges cannot touch, so all cuts are independent; with
     three or four parts the second and third cut wait for the one before.
     """
-    g = group_table.withColumn("_len", F.col("g_end") - F.col("g_start")).withColumn(
-        "parts",
-        F.when(F.col("_len") <= MAX, F.lit(1)).otherwise(
-            F.greatest(F.lit(2), F.ceil(F.col("_len") / TARGET).cast("int"))
-        ),
+    g = cut(
+        group_table.withColumn("_len", F.col("g_end") - F.col("g_start")).withColumn(
+            "parts",
+            F.when(F.col("_len") <= MAX, F.lit(1)).otherwise(
+                F.greatest(F.lit(2), F.ceil(F.col("_len") / TARGET).cast("int"))
+            ),
+        )
     )
     targets = (
         g.filter("parts > 1")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkspark.functions import text as X
+from talkspark.functions.lineage import cut
 from talkspark.functions.ordered import running
 from talkspark.operators.joins import interval_join
 from talkspark.operators.segment import missing_gaps
@@ -58,7 +59,7 @@ def inserted_words(words: DataFrame, cues: DataFrame, tracks: DataFrame) -> Data
     """
     # only tracks that may be translations are excluded; absent counts as original
     trusted = tracks.filter(F.coalesce("original", F.lit(True))).select("video_id")
-    gaps = missing_gaps(words).join(trusted, "video_id", "left_semi")
+    gaps = cut(missing_gaps(words).join(trusted, "video_id", "left_semi"))
     tokens = gap_tokens(gaps, cues)
     present = heard_near(gaps, words).withColumn("heard", F.lit(True))
     marked = tokens.withColumn("key", F.lower("token")).join(
@@ -67,10 +68,12 @@ def inserted_words(words: DataFrame, cues: DataFrame, tracks: DataFrame) -> Data
     shape = F.struct(
         "cue_idx", "token_idx", "token", "key", F.coalesce("heard", F.lit(False)).alias("heard")
     )
-    per_gap = marked.groupBy("video_id", "gap_idx").agg(
-        F.array_sort(F.collect_list(shape)).alias("toks"),
-        F.min("cue_idx").alias("lo"),
-        F.max("cue_idx").alias("hi"),
+    per_gap = cut(
+        marked.groupBy("video_id", "gap_idx").agg(
+            F.array_sort(F.collect_list(shape)).alias("toks"),
+            F.min("cue_idx").alias("lo"),
+            F.max("cue_idx").alias("hi"),
+        )
     )
     linked = running(per_gap, "video_id", "gap_idx", {"seen": ("max", F.col("hi"))}, inclusive=False)
     parts = running(
@@ -137,7 +140,7 @@ def _fold(gaps: Column) -> Column:
 
 def merge(words: DataFrame, cues: DataFrame, tracks: DataFrame) -> DataFrame:
     """Transcript words plus restored ones, renumbered; existing words are untouched."""
-    extra = inserted_words(words, cues, tracks)
+    extra = cut(inserted_words(words, cues, tracks))
     both = (
         words.withColumn("seq", F.lit(-1))
         .unionByName(extra, allowMissingColumns=True)

@@ -98,7 +98,7 @@ cte(
 
 
 def slow(spark, sf):
-    return (
+    return cut(
         A.words(spark, sf)
         .withColumn("start_s", F.col("start_s") * 4.0)
         .withColumn("end_s", F.col("end_s") * 4.0)

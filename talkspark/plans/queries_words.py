@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talkspark.functions import lexicon as L
 from talkspark.functions import text as X
+from talkspark.functions.lineage import cut
 from talkspark.operators import chunks as K
 from talkspark.operators import gapfill as G
 from talkspark.operators import guard as D
@@ -515,7 +516,8 @@ cte(
 
 
 def merged(spark, sf):
-    return G.merge(A.words(spark, sf), A.cues(spark, sf), A.caption_tracks(spark, sf))
+    w = cut(A.words(spark, sf))
+    return G.merge(w, cut(A.cues(spark, sf)), A.caption_tracks(spark, sf))
 
 
 def trusted_gaps(spark, sf):
