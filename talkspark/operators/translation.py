@@ -220,9 +220,10 @@ def check_lines(chained: DataFrame, breaths: DataFrame, glossary: DataFrame) ->
     body = F.when(unsure, F.rtrim(rest.substr(F.lit(1), F.length(rest) - 1))).otherwise(F.col("rest"))
     own = (
         chained.filter("rest is not null and not wants_merge")
-        .join(ends, (chained["video_id"] == ends["video_id"]) & (chained["no"] == ends["root_no"]))
+        .drop("root_no")
+        .join(ends.withColumnRenamed("root_no", "no"), key)
         .select(
-            chained["video_id"], chained["no"], "s_start", "s_end", "s_text", "sentence_key", "last_no", "final_end",
+            *key, "s_start", "s_end", "s_text", "sentence_key", "last_no", "final_end",
             unsure.alias("unsure"),
             F.transform(F.split(body, BREAK, -1), X.trim_ws).alias("segs"),
             F.regexp_extract_all(body, F.lit(BREAK), F.lit(1)).alias("breaks"),
