@@ -333,13 +333,18 @@ def orbit(
         crossing = nodes.filter(F.expr(f"nxt div {width} > idx div {width}")).select(
             *keys, F.col("nxt").alias("idx")
         )
-        open_nodes = (
+        open_nodes = cut(
             exits.filter("not rooted")
             .join(crossing.distinct(), [*keys, "idx"], "left_semi")
             .join(seeds.distinct().withColumn("seed", F.lit(True)), [*keys, "idx"], "left")
             .select(*keys, "idx", "nxt", F.coalesce("seed", F.lit(False)).alias("root"))
         )
-        entries = seeds.unionByName(orbit(open_nodes, keys, widths[1:]))
+        entered = cut(orbit(open_nodes, keys, widths[1:]))
+        # a walk that leaves an open block may enter a block that has a root
+        left = open_nodes.join(entered, [*keys, "idx"], "left_semi").select(
+            *keys, F.col("nxt").alias("idx")
+        )
+        entries = seeds.unionByName(entered).unionByName(left)
     entries = entries.select(
         *keys, "idx", F.lit(None).cast("long").alias("nxt"), F.lit(False).alias("root")
     )
