@@ -21,10 +21,7 @@ CAPTIONS = (
 def read_texts(spark: SparkSession, path: str, glob: str = "*.srt") -> DataFrame:
     """Whole files as (path, content), one row each."""
     return (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .text(path)
+        spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
 
