@@ -189,12 +189,10 @@ def map_groups(
     """Apply ``fn(rows, group_offsets)`` to runs of whole groups, many groups per call.
 
     Spark shuffles by ``group`` and sorts; groups are bounded blocks, so a call handles a few
-    Arrow batches.  The explicit partition count keeps adaptive execution from merging
-    partitions that are small in bytes but long in CPU time.
+    Arrow batches.
     """
     group = list(group)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = df.repartition(n, *group).sortWithinPartitions(*group, order)
+    ready = df.repartition(*group).sortWithinPartitions(*group, order)
 
     def offsets(pdf: pd.DataFrame) -> np.ndarray:
         new = np.zeros(len(pdf), dtype=bool)

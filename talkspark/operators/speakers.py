@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkspark.functions import text as X
-from talkspark.functions.ordered import neighbours, running
+from talkspark.functions.lineage import cut
+from talkspark.functions.ordered import map_groups, neighbours, running
 from talkspark.operators.joins import band_join, point_join
 
 DELTA = 0.75
@@ -154,30 +159,25 @@ def labels(words: DataFrame) -> DataFrame:
     )
 
 
-MAPPING = (
-    "video_id {id}, chunk_index bigint, raw string, speaker_global string, "
-    "speaker_status string, speaker_evidence string, votes bigint"
-)
-
+def _resolve_video(rows: list[tuple]) -> list[tuple]:
+    """Labels of one video in chunk order: accept, claim once, number the rest.
 
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Labels of one video in chunk order: accept, claim once, number the rest."""
+    ``rows`` are (chunk, first_pos, raw, opens, from_chunk, from_raw, n), sorted.
+    """
     known: dict[tuple[int, str], int] = {}
     used = 0
-    rows = []
-    heard = pdf[pdf["from_raw"].notna()].groupby(["chunk_index", "raw"])
-    tallies = {
-        k: list(zip(g["from_chunk"].astype(int), g["from_raw"], g["n"].astype(int))) for k, g in heard
-    }
-    order = pdf.drop_duplicates(["chunk_index", "raw"]).sort_values(["chunk_index", "first_pos"])
-    for chunk, group in order.groupby("chunk_index", sort=True):
-        opens = bool(group["opens"].iloc[0])
+    out = []
+    for chunk, group in groupby(rows, key=lambda r: r[0]):
+        tallies: dict[str, dict[int, int]] = {}
+        opens = False
+        for _, _, raw, first_chunk, from_chunk, from_raw, n in group:
+            opens = first_chunk
+            count = tallies.setdefault(raw, {})
+            speaker = known.get((from_chunk, from_raw))
+            if speaker is not None:
+                count[speaker] = count.get(speaker, 0) + n
         waiting, offers = [], []
-        for raw in group["raw"]:
-            count: dict[int, int] = {}
-            for c, r, n in tallies.get((chunk, raw), []):
-                if (c, r) in known:
-                    count[known[c, r]] = count.get(known[c, r], 0) + n
+        for raw, count in tallies.items():
             best = sorted(count.values(), reverse=True) + [0, 0]
             if opens:
                 waiting.append((raw, "confirmed", 0))
@@ -186,23 +186,33 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
             else:
                 waiting.append((raw, "unresolved", best[0]))
         claimed = set()
-        for n, raw, speaker in sorted(offers, key=lambda o: (o[0], o[1]), reverse=True):
+        for n, raw, speaker in sorted(offers, reverse=True):
             if speaker in claimed:
                 waiting.append((raw, "unresolved", n))
                 continue
             claimed.add(speaker)
             known[chunk, raw] = speaker
-            rows.append((chunk, raw, speaker, "inferred", "overlap", n))
+            out.append((chunk, raw, f"speaker:{speaker}", "inferred", "overlap", n))
         for raw, status, n in waiting:
             known[chunk, raw] = used
-            rows.append((chunk, raw, used, status, None, n))
+            out.append((chunk, raw, f"speaker:{used}", status, None, n))
             used += 1
-    out = pd.DataFrame(
-        rows, columns=["chunk_index", "raw", "_g", "speaker_status", "speaker_evidence", "votes"]
+    return out
+
+
+def _resolve(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    cols = ["chunk_index", "first_pos", "raw", "opens", "from_chunk", "from_raw", "n"]
+    values = list(pdf[cols].astype(object).where(pdf[cols].notna(), None).itertuples(index=False, name=None))
+    videos, out = [], []
+    for lo, hi in zip(starts, np.append(starts[1:], len(pdf))):
+        own = _resolve_video(sorted(values[lo:hi], key=lambda r: (r[0], r[1])))
+        videos += [pdf["video_id"].iloc[lo]] * len(own)
+        out += own
+    done = pd.DataFrame(
+        out, columns=["chunk_index", "raw", "speaker_global", "speaker_status", "speaker_evidence", "votes"]
     )
-    out.insert(0, "video_id", pdf["video_id"].iloc[0])
-    out["speaker_global"] = "speaker:" + out["_g"].astype(str)
-    return out.drop(columns="_g")
+    done.insert(0, "video_id", videos)
+    return done
 
 
 def mapping(label_table: DataFrame, vote_table: DataFrame) -> DataFrame:
@@ -212,10 +222,18 @@ def mapping(label_table: DataFrame, vote_table: DataFrame) -> DataFrame:
     The group holds labels and their vote counts, a few rows per half hour of audio, not words.
     """
     rows = label_table.join(vote_table, ["video_id", "chunk_index", "raw"], "left")
-    kind = label_table.schema["video_id"].dataType.simpleString()
-    schema = MAPPING.format(id=kind)
-    names = [f.split()[0] for f in schema.split(", ")]
-    return rows.groupBy("video_id").applyInPandas(lambda p: _resolve(p)[names], schema)
+    schema = T.StructType(
+        [
+            label_table.schema["video_id"],
+            T.StructField("chunk_index", T.LongType()),
+            T.StructField("raw", T.StringType()),
+            T.StructField("speaker_global", T.StringType()),
+            T.StructField("speaker_status", T.StringType()),
+            T.StructField("speaker_evidence", T.StringType()),
+            T.StructField("votes", T.LongType()),
+        ]
+    )
+    return map_groups(rows, ["video_id"], "chunk_index", _resolve, schema)
 
 
 def enrich(words: DataFrame, map_table: DataFrame) -> DataFrame:
@@ -231,6 +249,6 @@ def enrich(words: DataFrame, map_table: DataFrame) -> DataFrame:
 
 def reconcile(words: DataFrame, chunks: DataFrame) -> DataFrame:
     """All chunks of all videos as one deduplicated, labelled timeline."""
-    gone = dropped_words(words, chunks)
+    gone = cut(dropped_words(words, chunks))
     map_table = mapping(labels(words), votes(words, gone))
     return enrich(keep_words(words, gone), map_table)

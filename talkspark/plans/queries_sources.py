@@ -260,7 +260,7 @@ def _(spark, sf):
 # --- excerpts and frames --------------------------------------------------------------------
 
 cte("v_asked", """SELECT video_id, cue_idx AS request_id, cue_start AS r_start, CASE WHEN cue_idx % 40 = 0 THEN cue_start + 9000 ELSE cue_start + 21.5e0 END AS r_end
-  FROM v_cues WHERE cue_idx % 8 = 0""")
+  FROM v_cues""")
 cte(
     "v_excerpt",
     """SELECT a.video_id, request_id, coalesce(string_agg(w.text, ' ' ORDER BY w.idx), '') AS t, count(w.idx) AS word_count FROM v_asked a
@@ -269,7 +269,7 @@ cte(
 
 
 def excerpt_requests(spark, sf):
-    return A.cues(spark, sf).filter("cue_idx % 8 = 0").select(
+    return A.cues(spark, sf).select(
         "video_id", F.col("cue_idx").alias("request_id"), F.col("cue_start").alias("r_start"),
         F.when(F.col("cue_idx") % 40 == 0, F.col("cue_start") + 9000.0).otherwise(F.col("cue_start") + 21.5).alias("r_end"),
     )

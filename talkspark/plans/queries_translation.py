@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talkspark.functions import lexicon as L
 from talkspark.functions import text as X
 from talkspark.functions.lineage import cut
+from talkspark.operators import fingerprint as FP
 from talkspark.operators import segment as S
 from talkspark.operators import translation as R
 from talkspark.plans.oracle import cte
@@ -388,3 +389,17 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return A.guard_texts(spark, sf).select("doc_id", X.hangul_share(F.col("text")).alias("share"))
+
+
+cte(
+    "v_sfp",
+    """SELECT video_id, 'sha256:' || sha256(string_agg(h, chr(10) ORDER BY i)) AS sentences_fp FROM (
+      SELECT video_id, i // 4096 AS i, sha256(string_agg(h, chr(10) ORDER BY i)) AS h FROM (
+        SELECT video_id, no // 4096 AS i, sha256(string_agg(sentence_key, chr(10) ORDER BY no)) AS h FROM v_sent GROUP BY 1, 2)
+      GROUP BY 1, 2) GROUP BY 1""",
+)
+
+
+@query("agg26_sentences_fingerprint", "SELECT * FROM v_sfp")
+def _(spark, sf):
+    return FP.sentence_list(sentences(spark, sf))

@@ -69,7 +69,7 @@ def responses(spark, sf):
 
 
 def entries(spark, sf):
-    return (
+    return cut(
         response_rows(responses(spark, sf))
         .withColumn("pos", F.col("at._k").cast("long"))
         .withColumn("audio_s", F.col("chunk_end") - F.col("chunk_start"))
@@ -276,7 +276,7 @@ cte(
 
 @query("jon2_same_words", "SELECT video_id, key, ac, ap, bc, bp FROM v_same")
 def _(spark, sf):
-    return P.same_words(A.chunk_words(spark, sf)).select(
+    return P.same_words(cut(A.chunk_words(spark, sf))).select(
         "video_id", "key", F.col("a_chunk_index").alias("ac"), F.col("a_pos").alias("ap"),
         F.col("b_chunk_index").alias("bc"), F.col("b_pos").alias("bp"),
     )
@@ -287,7 +287,7 @@ def _(spark, sf):
     """SELECT video_id, bc AS chunk_index, br AS raw, ac AS from_chunk, ar AS from_raw, count(*) AS n FROM v_same GROUP BY ALL""",
 )
 def _(spark, sf):
-    w = A.chunk_words(spark, sf)
+    w = cut(A.chunk_words(spark, sf))
     return P.votes(w, w.select("video_id", "chunk_index", "pos").filter("false"))
 
 
@@ -304,27 +304,27 @@ def _(spark, sf):
         AND abs(o.start_s - k.start_s) <= 0.75e0 AND abs(o.end_s - k.end_s) <= 0.75e0)""",
 )
 def _(spark, sf):
-    w = A.chunk_words(spark, sf)
-    return P.dropped_words(w, A.chunks(spark, sf))
+    w = cut(A.chunk_words(spark, sf))
+    return cut(P.dropped_words(w, cut(A.chunks(spark, sf))))
 
 
 @query("cmp2_speaker_mapping")
 def _(spark, sf):
-    w = A.chunk_words(spark, sf)
-    gone = P.dropped_words(w, A.chunks(spark, sf))
+    w = cut(A.chunk_words(spark, sf))
+    gone = cut(P.dropped_words(w, cut(A.chunks(spark, sf))))
     return P.mapping(P.labels(w), P.votes(w, gone))
 
 
 @query("cmp3_fresh_speakers")
 def _(spark, sf):
-    w = A.chunk_words(spark, sf)
-    gone = P.dropped_words(w, A.chunks(spark, sf))
+    w = cut(A.chunk_words(spark, sf))
+    gone = cut(P.dropped_words(w, cut(A.chunks(spark, sf))))
     return P.mapping(P.labels(w), P.votes(w, gone)).filter("speaker_status = 'unresolved'")
 
 
 @query("cmp2_reconciled_words")
 def _(spark, sf):
-    return P.reconcile(A.chunk_words(spark, sf), A.chunks(spark, sf)).select(
+    return P.reconcile(cut(A.chunk_words(spark, sf)), cut(A.chunks(spark, sf))).select(
         "video_id", "pos", "text", "start_s", "end_s", "speaker", "speaker_raw", "speaker_global",
         "speaker_status", "speaker_evidence",
     )
@@ -337,7 +337,7 @@ def _(spark, sf):
       CASE WHEN chunk_index % 2 = 0 THEN 'confirmed' ELSE 'unresolved' END AS speaker_status FROM v_cw""",
 )
 def _(spark, sf):
-    w = A.chunk_words(spark, sf)
+    w = cut(A.chunk_words(spark, sf))
     m = P.labels(w).filter("chunk_index % 2 = 0").select(
         "video_id", "chunk_index", "raw", F.concat(F.lit("speaker:"), F.right("raw", F.lit(1))).alias("speaker_global"),
         F.lit("confirmed").alias("speaker_status"), F.lit(None).cast("string").alias("speaker_evidence"),
@@ -415,7 +415,7 @@ cte(
 def guard_rows(spark, sf):
     from talkspark.operators.captions import text_in_ranges
 
-    chunks = A.chunks(spark, sf)
+    chunks = cut(A.chunks(spark, sf))
     caps = text_in_ranges(
         chunks.select(
             "video_id", F.col("chunk_index").alias("range_id"), F.col("chunk_start").alias("r_start"),
@@ -544,7 +544,8 @@ def _(spark, sf):
 
 @query("cmp5_gap_fill", "SELECT * FROM v_insert")
 def _(spark, sf):
-    return G.inserted_words(A.words(spark, sf), A.cues(spark, sf), A.caption_tracks(spark, sf))
+    w = cut(A.words(spark, sf))
+    return G.inserted_words(w, cut(A.cues(spark, sf)), A.caption_tracks(spark, sf))
 
 
 @query("cmp5_merged_words", "SELECT video_id, idx, text, start_s, end_s, speaker, origin FROM v_merged")

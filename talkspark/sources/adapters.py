@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkspark.functions.lineage import cut
 from talkspark.functions.ordered import running
 from talkspark.operators.chunks import plan_chunks
 from talkspark.operators.joins import point_join
@@ -115,7 +116,7 @@ def caption_tracks(spark: SparkSession, sf: str) -> DataFrame:
 
 def srt_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Rolling captions: block 2n shows lines n−1 and n, block 2n+1 shows n alone for 10 ms."""
-    c = cues(spark, sf)
+    c = cut(cues(spark, sf))
     both = c.select(
         "video_id",
         F.expr("cue_idx * 2").alias("block_idx"),

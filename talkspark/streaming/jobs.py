@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkspark.operators import normalize as N
-from talkspark.operators.usage import pacific_day
 from talkspark.sources.responses import response_rows
 
 WATERMARK = "10 minutes"
@@ -29,11 +28,17 @@ def per_minute(attempts: DataFrame) -> DataFrame:
 
 
 def per_day(attempts: DataFrame) -> DataFrame:
-    """Attempts per key and Pacific day, kept for as long as the day can still change."""
+    """Attempts per key and Pacific day.
+
+    The watermark runs on Pacific clock time, so the state of a day is dropped ten minutes after
+    its midnight; the hour repeated in autumn lies inside its day and is never late.
+    """
     return (
-        attempts.withColumn("day", pacific_day(F.col("ts")))
-        .groupBy("key_hash", "day")
+        attempts.withColumn("local_ts", F.from_utc_timestamp("ts", "America/Los_Angeles"))
+        .withWatermark("local_ts", WATERMARK)
+        .groupBy(F.window("local_ts", "1 day"), "key_hash")
         .agg(F.count(F.lit(1)).alias("attempts"))
+        .select("key_hash", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "attempts")
     )
 
 
