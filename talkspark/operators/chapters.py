@@ -166,8 +166,8 @@ def split_groups(words: DataFrame, group_table: DataFrame) -> DataFrame:
     """Groups over 480 s cut near equal parts of about 300 s.
 
     A cut must lie 120 s after the one before it.  With five or more parts the targets are at
-    least 240 s apart and the search ranges cannot touch, so all cuts are independent; with
-    three or four parts the second and third cut wait for the one before.
+    least 240 s apart and the search ranges cannot touch, so all cuts are independent; the two
+    or three cuts of a shorter group are folded in order.
     """
     g = cut(
         group_table.withColumn("_len", F.col("g_end") - F.col("g_start")).withColumn(
@@ -200,27 +200,31 @@ def split_groups(words: DataFrame, group_table: DataFrame) -> DataFrame:
         )
     )
 
-    def choose(rows: DataFrame, lo: Column) -> DataFrame:
-        # candidates of one cut: the words of two minutes
-        ok = F.filter("cand", lambda c: c["at"] >= lo + MIN)
-        best = F.array_max(ok)["at"]
-        return rows.withColumn(
-            "cut_at", F.coalesce(best, F.least(F.col("hi"), F.greatest(lo, F.col("target"))))
-        ).select("video_id", "g_start", "parts", "k", "cut_at")
+    def choose(cand: Column, lo: Column, target: Column, hi: Column) -> Column:
+        best = F.array_max(F.filter(cand, lambda c: c["at"] >= lo + MIN))["at"]
+        return F.coalesce(best, F.least(hi, F.greatest(lo, target)))
 
-    free = choose(
-        found.filter("k = 1 OR parts >= 5").withColumn(
-            "_lo", F.when(F.col("k") == 1, F.col("g_start")).otherwise(F.col("target") - 1000.0)
+    # far apart: any start before the search range will do
+    free = found.filter("parts >= 5").select(
+        *key, choose(F.col("cand"), F.col("target") - 1000.0, F.col("target"), F.col("hi")).alias("cut_at")
+    )
+    # at most three cuts, each with the words of two minutes
+    step = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("k", "target", "hi", "cand"))),
+        F.struct(F.col("g_start").alias("lo"), F.expr("cast(array() as array<double>)").alias("cuts")),
+        lambda acc, x: F.struct(
+            choose(x["cand"], acc["lo"], x["target"], x["hi"]).alias("lo"),
+            F.concat(acc["cuts"], F.array(choose(x["cand"], acc["lo"], x["target"], x["hi"]))).alias("cuts"),
         ),
-        F.col("_lo"),
     )
-    cuts = [free]
-    for k in (2, 3):
-        before = cuts[-1].filter(f"k = {k - 1} AND parts BETWEEN {k + 1} AND 4").select(
-            "video_id", "g_start", F.col("cut_at").alias("_lo")
-        )
-        cuts.append(choose(found.filter(f"k = {k}").join(before, ["video_id", "g_start"]), F.col("_lo")))
-    edges = cuts[0].unionByName(cuts[1]).unionByName(cuts[2]).select("video_id", "g_start", "k", "cut_at")
+    chained = (
+        found.filter("parts < 5")
+        .groupBy("video_id", "g_start")
+        .agg(step.getField("cuts").alias("cuts"))
+        .select("video_id", "g_start", F.posexplode("cuts").alias("p", "cut_at"))
+        .select("video_id", "g_start", (F.col("p") + 1).alias("k"), "cut_at")
+    )
+    edges = free.unionByName(chained)
     starts = g.select("video_id", "g_start", F.lit(0).alias("k"), F.col("g_start").alias("cut_at")).unionByName(edges)
     ends = g.select(
         "video_id", "g_start", (F.col("parts") - 1).alias("k"), F.col("g_end").alias("p_end")
