@@ -182,8 +182,15 @@ def noise_pair(left: Column, right: Column) -> Column:
     return F.arrays_overlap(a, b) | near | (all_common(left) & all_common(right))
 
 
-def script_counts(c: Column) -> dict[str, Column]:
-    return {s: F.regexp_count(c, F.lit(L.script_class(s))) for s in L.SCRIPTS}
+def beyond_ascii(c: Column) -> Column:
+    return F.regexp_replace(c, "[\\x00-\\x7F]+", "")
+
+
+def script_counts(c: Column, rest: Column) -> dict[str, Column]:
+    """Letters per script; ``rest`` is the text beyond ASCII, where all but Latin is found."""
+    return {
+        s: F.regexp_count(c if s == "latin" else rest, F.lit(L.script_class(s))) for s in L.SCRIPTS
+    }
 
 
 def script_of_language(c: Column) -> Column:

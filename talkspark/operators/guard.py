@@ -14,9 +14,17 @@ DOMINANT = 0.3
 TRACE = 0.05
 
 
-def script_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``texts`` plus one count column per script; one pass over each text, no shuffle."""
-    return texts.withColumns({f"n_{s}": c for s, c in X.script_counts(F.col(text)).items()})
+def script_counts(texts: DataFrame, text: str = "text", prefix: str = "n_") -> DataFrame:
+    """``texts`` plus one count column per script; no shuffle.
+
+    The text beyond ASCII is taken out once, so the many classes scan little of a Latin text.
+    """
+    counts = X.script_counts(F.col(text), F.col("_rest"))
+    return (
+        texts.withColumn("_rest", X.beyond_ascii(F.col(text)))
+        .withColumns({prefix + s: c for s, c in counts.items()})
+        .drop("_rest")
+    )
 
 
 def _total(prefix: str = "n_") -> Column:
@@ -65,9 +73,10 @@ def check(rows: DataFrame) -> DataFrame:
     (all nullable but ``text``).  Evidence order: original captions, requested languages,
     metadata.
     """
-    base = script_counts(rows)
-    caps = F.coalesce("captions", F.lit(""))
-    base = base.withColumns({f"c_{s}": c for s, c in X.script_counts(caps).items()})
+    caps = F.col("_caps")
+    base = script_counts(
+        script_counts(rows.withColumn("_caps", F.coalesce("captions", F.lit("")))), "_caps", "c_"
+    )
     from_captions = F.when(
         F.coalesce(F.col("captions_language").endswith("-orig"), F.lit(False))
         & (F.length(caps) >= MIN_CAPTIONS),
@@ -83,5 +92,5 @@ def check(rows: DataFrame) -> DataFrame:
         & (share(F.col("expected_script")) < TRACE)
     )
     return out.withColumn("translated", F.coalesce(flagged, F.lit(False))).drop(
-        *[p + s for p in ("n_", "c_") for s in L.SCRIPTS]
+        "_caps", *[p + s for p in ("n_", "c_") for s in L.SCRIPTS]
     )
