@@ -9,7 +9,6 @@ from talkspark.functions.lineage import cut
 from talkspark.operators import chapters as H
 from talkspark.operators import fingerprint as FP
 from talkspark.operators import summary as M
-from talkspark.operators.captions import validate_words  # noqa: F401
 from talkspark.plans.oracle import cte
 from talkspark.plans.queries_words import merged
 from talkspark.plans.registry import query

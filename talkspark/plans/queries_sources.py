@@ -90,7 +90,6 @@ def _(spark, sf):
       CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS playable_in_embed FROM documents""",
 )
 def _(spark, sf):
-    text = F.to_json(F.struct("text"))
     json = F.concat(
         F.expr("substring(to_json(named_struct('id', cast(doc_id as string), 'title', text, 'language', lang, 'uploader', lang)), 1, "
                "length(to_json(named_struct('id', cast(doc_id as string), 'title', text, 'language', lang, 'uploader', lang))) - 1)"),
@@ -106,7 +105,6 @@ def _(spark, sf):
                "WHEN 2 THEN ',\"playable_in_embed\":\"true\"' ELSE '' END"),
         F.lit("}"),
     )
-    del text
     return I.metadata(A.table(spark, sf, "documents").select(json.alias("json"))).withColumn(
         "auto_caption_langs", F.array_join("auto_caption_langs", ",")
     ).withColumn("subtitle_langs", F.array_join("subtitle_langs", ","))
