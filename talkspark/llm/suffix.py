@@ -366,19 +366,22 @@ def _shard(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterato
         yield solve(held)
 
 
+def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _kept_parts(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """Bytes outside the union of the ranges, bytes removed, and maximal removed runs."""
-    parts, at, spans, gone = [], 0, 0, 0
-    for a, b in sorted(ranges):
-        if a > at or spans == 0:
-            parts.append(data[at:a])
-            spans += 1
-            gone += b - a
-        elif b > at:
-            gone += b - at
-        at = max(at, b)
-    parts.append(data[at:])
-    return b"".join(parts), gone, spans
+    runs = _union(ranges)
+    edges = [0, *(x for run in runs for x in run), len(data)]
+    left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    return left, len(data) - len(left), len(runs)
 
 
 def covered(rows: DataFrame, length: int, shard_bytes: int, hot: int, step: int) -> tuple[DataFrame, DataFrame]:
@@ -446,3 +449,44 @@ def removed(
         F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
     )
+
+
+def _whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
+    """Bytes outside the union of the ranges; a character that a range only touches stays whole."""
+    parts, at = [], 0
+    for a, b in _union(ranges):
+        while a < b and (data[a] & 0xC0) == 0x80:
+            a += 1
+        while a < b < len(data) and (data[b] & 0xC0) == 0x80:
+            b -= 1
+        parts.append(data[at:a])
+        at = max(at, b)
+    return b"".join([*parts, data[at:]])
+
+
+def without_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 4 << 20, hot: int = 4096, step: int = 24) -> DataFrame:
+    """The rows of ``docs`` (all columns) with every repeated string cut out of ``text``.
+
+    Cuts are as in ``removed``, but keep whole characters.  Rows of which only white space is left
+    by the cuts go; rows that nothing is cut from stay as they are, null and empty texts included.
+    """
+    light, found = covered(docs.select(F.lit(0).cast("long").alias("_row"), "text"), length, shard_bytes, hot, step)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                _whole_characters(data, [(r["start"], r["stop"]) for r in ranges])
+                for data, ranges in zip(batch.column("bytes").to_pylist(), batch.column("ranges").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("one"), batch.column("two"), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())],
+                names=["_one", "_two", "_left"],
+            )
+
+    copied = light.where(F.col("n_bytes") >= length).groupBy("one", "two").agg(F.count("*").alias("copies")).where("copies > 1")
+    copied = copied.select(F.col("one").alias("_one"), F.col("two").alias("_two"), F.lit("").alias("_left"))
+    partly = found.mapInArrow(cut, "_one long, _two long, _left string")
+    changed = keep(partly.unionByName(copied).groupBy("_one", "_two").agg(F.min("_left").alias("_left")))
+    joined = _join_text(docs).drop("_bytes").join(changed, ["_one", "_two"], "left")
+    gone = F.coalesce(F.regexp_replace("_left", "[\\x20\\x09-\\x0D]+", "") == "", F.lit(False))
+    return joined.where(~gone).withColumn("text", F.coalesce("_left", "text")).select(*docs.columns)
