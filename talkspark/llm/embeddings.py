@@ -143,8 +143,7 @@ def near_duplicates(
             if piece.num_rows > 1:
                 yield _compare(piece, least, tables)
 
-    dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = cut(dealt.mapInArrow(compared, "id long, degree long, peer long"))
+    found = cut(links.dealt(members).mapInArrow(compared, "id long, degree long, peer long"))
     degrees = found.groupBy("id").agg(F.sum("degree").alias("degree"))
     groups = links.components(found.select(F.col("id").alias("a"), F.col("peer").alias("b")))
     state = (

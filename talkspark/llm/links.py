@@ -66,25 +66,37 @@ def smallest_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node in ``edges`` (a, b); the component is its smallest node.
 
-    Each round maps a node to the smallest of itself and its neighbours, follows that map once
-    more, and contracts the graph; edges inside a contracted node vanish.  Rounds grow with the
-    logarithm of the longest chain.  Edges stay in Spark; only "is it empty" reaches the driver.
+    In each round a node goes to the neighbour that is first in a random order of that round, if
+    it comes before the node itself; that step is followed twice and the graph contracted, so that
+    whatever its shape the nodes left fall by a constant factor a round.  Edges stay in Spark; only
+    "is it empty" reaches the driver.
     """
     left = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    maps: list[DataFrame] = []
-    while not maps or not left.isEmpty():
+    found: DataFrame | None = None
+    number = 0
+    while found is None or not left.isEmpty():
         both = left.union(left.select("b", "a")).toDF("node", "peer")
-        parent = both.groupBy("node").agg(F.least(F.min("peer"), F.col("node")).alias("up"))
+
+        def place(column: str, number: int = number):
+            return F.struct(F.xxhash64(F.lit(number), column).alias("h"), F.col(column).alias("id"))
+
+        parent = both.groupBy("node").agg(F.min(place("peer")).alias("first")).select("node", F.least("first", place("node"))["id"].alias("up"))
         higher = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
         step = cut(parent.join(higher, "up").select("node", F.col("top").alias("up")))
-        maps.append(step)
         of_a = step.select(F.col("node").alias("a"), F.col("up").alias("a_up"))
         of_b = step.select(F.col("node").alias("b"), F.col("up").alias("b_up"))
         moved = left.join(of_a, "a").join(of_b, "b").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"))
         left = cut(moved.where("a < b").distinct())
-    found = maps[0].withColumnRenamed("up", "component")
-    for step in maps[1:]:
-        found = found.join(step.select(F.col("node").alias("component"), "up"), "component", "left").select(
-            "node", F.coalesce("up", "component").alias("component")
-        )
-    return found
+        if found is None:
+            found = step.toDF("node", "root")
+        else:
+            onward = step.toDF("root", "next")
+            found = cut(found.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        number += 1
+    return found.join(found.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """Pieces dealt over as many tasks as the session shuffles to; small rows may mean long work."""
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")

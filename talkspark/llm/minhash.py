@@ -27,18 +27,19 @@ class Sketch:
     """``base`` spaces the register values, ``rate`` is the exponential's.
 
     24 bands of 4 registers miss a pair at similarity 0.80 once in 300,000 times, at 0.85 once in
-    40 million.
+    40 million.  The registers beyond the bands sharpen the estimate alone.
     """
 
     bands: int = 24
     rows: int = 4
+    more: int = 96
     base: float = 1.001
     rate: float = 20.0
     seed: int = 6
 
     @property
     def size(self) -> int:
-        return self.bands * self.rows
+        return self.bands * self.rows + self.more
 
     def factors(self) -> np.ndarray:
         return arrow.mix(np.arange(1, self.size + 1, dtype=np.uint64) + np.uint64(self.seed << 32)) | np.uint64(1)
@@ -116,7 +117,7 @@ def bands(registers: np.ndarray, sketch: Sketch) -> np.ndarray:
     return out
 
 
-def credible(equal: np.ndarray, more: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, limit: float, sketch: Sketch, sigmas: float = 5.0) -> np.ndarray:
+def credible(equal: np.ndarray, more: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, limit: float, sketch: Sketch, sigmas: float = 4.5) -> np.ndarray:
     """Whether a similarity of ``limit`` or more is within ``sigmas`` of the likeliest one.
 
     The log likelihood of similarity J is D+ log p(u - vJ) + D- log p(v - uJ) + D0 log(rest) with
@@ -125,7 +126,7 @@ def credible(equal: np.ndarray, more: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     less = sketch.size - equal - more
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
-    grid = np.linspace(0, 1, 101)[None, :] * np.minimum(u / v, v / u)
+    grid = np.linspace(0, 1, 51)[None, :] * np.minimum(u / v, v / u)
 
     def law(x: np.ndarray) -> np.ndarray:
         return np.maximum(-np.log1p(-np.clip(x, 0, 1) * (sketch.base - 1) / sketch.base) / math.log(sketch.base), 1e-9)
@@ -155,27 +156,30 @@ def _candidates(piece: pa.Table, percent: int, sketch: Sketch, best: bool) -> pa
     one = part == piece.column("i")[0].as_py()
     rows, columns = np.flatnonzero(one), np.arange(len(ids)) if alone else np.flatnonzero(~one)
     limit = percent / 100
-    found_a, found_b, found_equal, found_more = [], [], [], []
-    own = np.ascontiguousarray(registers.T)
+    banded = np.ascontiguousarray(registers[:, : sketch.bands * sketch.rows])
+    # Far fewer equal registers than the limit leads to: no further look is needed.
+    few = banded.shape[1] * (limit - 5 * math.sqrt(limit * (1 - limit) / banded.shape[1]))
+    marks = bands(registers, sketch)
+    band = int(np.argmax(marks[0] == key))
+    found_a, found_b, found_equal = [], [], []
     for r in rows:
         to = columns[(group[columns] != group[r]) & (np.minimum(n[columns], n[r]) >= limit * np.maximum(n[columns], n[r]))]
         if alone:
             to = to[to > r]
+        to = to[(banded[to] == banded[r]).sum(1) >= few]
+        if len(to) and band:  # a pair counts in the first band that holds it
+            to = to[~(marks[to, :band] == marks[r, :band]).any(1)]
         if not len(to):
             continue
         equal = (registers[to] == registers[r]).sum(1)
-        to, equal = to[equal >= sketch.size * 0.3], equal[equal >= sketch.size * 0.3]
-        if len(to):
-            found_a.append(np.full(len(to), r))
-            found_b.append(to)
-            found_equal.append(equal)
-            found_more.append((own[:, r][None, :] > registers[to]).sum(1))
+        more = (registers[to] < registers[r]).sum(1)
+        fine = credible(equal, more, np.full(len(to), n[r]), n[to], limit, sketch)
+        found_a.append(np.full(int(fine.sum()), r))
+        found_b.append(to[fine])
+        found_equal.append(equal[fine])
     if not found_a:
         return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
-    a, b, equal, more = map(np.concatenate, (found_a, found_b, found_equal, found_more))
-    fine = credible(equal, more, n[a], n[b], limit, sketch)
-    a, b, equal = a[fine], b[fine], equal[fine]
-    marks = bands(registers, sketch)
+    a, b, equal = map(np.concatenate, (found_a, found_b, found_equal))
     if best and len(a):
         # For each row and component across, the pair with most equal registers, either way.
         keep_pair = np.zeros(len(a), bool)
@@ -185,10 +189,6 @@ def _candidates(piece: pa.Table, percent: int, sketch: Sketch, best: bool) -> pa
             first[1:] = (x[order][1:] != x[order][:-1]) | (group[y[order]][1:] != group[y[order]][:-1])
             keep_pair[order[first]] = True
         a, b = a[keep_pair], b[keep_pair]
-    elif len(a):
-        band = int(np.argmax(marks[0] == key))  # a pair counts in the first band that holds it
-        fresh = ~(marks[a, :band] == marks[b, :band]).any(1) if band else np.ones(len(a), bool)
-        a, b = a[fresh], b[fresh]
     return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
 
@@ -299,8 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(
             for piece in links.pieces(batches, ("key", "i", "j")):
                 yield _candidates(piece, percent, sketch, best)
 
-        dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = dealt.mapInArrow(candidates, "a long, b long").distinct()
+        pairs = links.dealt(members).mapInArrow(candidates, "a long, b long")
         edges = edges.union(keep(verified(pairs, texts, percent)))
         groups = links.components(edges)
     named = linkable.groupBy("first", "second", "n").agg(F.min("doc_id").alias("id"))

@@ -32,31 +32,35 @@ GRAM = 32
 def _induce_small(text: np.ndarray, is_s: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """Suffix array of a large alphabet's text from its sorted leftmost-smaller positions."""
     n = len(text)
-    t, s = text.tolist(), is_s.tolist()
-    sa = [-1] * n
-    tail = ends.tolist()
-    for p in lms[::-1].tolist():
-        c = t[p]
-        tail[c] -= 1
-        sa[tail[c]] = p
+    # Symbol in front of each position if that is of the kind asked for, else -1; empty places are -1.
+    front = np.full(n + 1, -1, np.int64)
+    own = text[: n - 1].astype(np.int64)
+    front[1:n] = np.where(is_s[: n - 1], -1, own)
+    larger = front.tolist()
+    front[1:n] = np.where(is_s[: n - 1], own, -1)
+    smaller = front.tolist()
+    seeded = np.full(n, -1, np.int64)
+    symbol = text[lms]  # sorted
+    seeded[ends[symbol] - (np.searchsorted(symbol, symbol, "right") - np.arange(len(lms)))] = lms
+    sa = seeded.tolist()
     head = [0, *ends[:-1].tolist()]
-    c = t[n - 1]  # the end of the text is smaller than all, so its last suffix leads its bucket
-    if not s[n - 1]:
+    if not is_s[n - 1]:  # the end of the text is smaller than all, so its last suffix leads its bucket
+        c = int(text[n - 1])
         sa[head[c]] = n - 1
         head[c] += 1
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not s[p]:
-            c = t[p]
-            sa[head[c]] = p
-            head[c] += 1
+    for p in sa:  # the list grows ahead of the walk
+        c = larger[p]
+        if c >= 0:
+            at = head[c]
+            sa[at] = p - 1
+            head[c] = at + 1
     tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and s[p]:
-            c = t[p]
-            tail[c] -= 1
-            sa[tail[c]] = p
+    for p in reversed(sa):
+        c = smaller[p]
+        if c >= 0:
+            at = tail[c] - 1
+            sa[at] = p - 1
+            tail[c] = at
     return np.array(sa, np.int64)
 
 
@@ -384,7 +388,7 @@ def _kept_parts(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int,
     return left, len(data) - len(left), len(runs)
 
 
-def covered(rows: DataFrame, length: int, shard_bytes: int, hot: int, step: int) -> tuple[DataFrame, DataFrame]:
+def covered(rows: DataFrame, length: int, shard_bytes: int, sort_bytes: int, hot: int, step: int) -> tuple[DataFrame, DataFrame]:
     """A light row per document, and ``one, two, bytes, ranges`` of each text with repeats."""
     named = _join_text(rows)
     light = keep(
@@ -408,13 +412,13 @@ def covered(rows: DataFrame, length: int, shard_bytes: int, hot: int, step: int)
     shards = max(1, -(-total // shard_bytes))
     segments = texts.mapInArrow(lambda b: _segments(b, length, step), "key long, one long, two long, first long, starts long, segment binary")
     dealt = segments.repartition(int(shards), "key").sortWithinPartitions("key")
-    found = keep(dealt.mapInArrow(lambda b: _shard(b, length, shard_bytes), "one long, two long, start long, stop long"))
+    found = keep(dealt.mapInArrow(lambda b: _shard(b, length, sort_bytes), "one long, two long, start long, stop long"))
     ranges = found.groupBy("one", "two").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     return light.drop("anchors"), texts.drop("runs").join(ranges, ["one", "two"])
 
 
 def removed(
-    docs: DataFrame, length: int = 400, shard_bytes: int = 4 << 20, hot: int = 4096, step: int = 24
+    docs: DataFrame, length: int = 400, shard_bytes: int = 4 << 20, sort_bytes: int = 1 << 19, hot: int = 4096, step: int = 24
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs``.
 
@@ -424,7 +428,7 @@ def removed(
     null ids stay null; repeated rows keep a row each; other columns are not read; an empty table
     gives an empty result.
     """
-    light, found = covered(docs.select(F.col("doc_id").cast("long").alias("_row"), "text"), length, shard_bytes, hot, step)
+    light, found = covered(docs.select(F.col("doc_id").cast("long").alias("_row"), "text"), length, shard_bytes, sort_bytes, hot, step)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -464,13 +468,13 @@ def _whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def without_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 4 << 20, hot: int = 4096, step: int = 24) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 4 << 20, sort_bytes: int = 1 << 19, hot: int = 4096, step: int = 24) -> DataFrame:
     """The rows of ``docs`` (all columns) with every repeated string cut out of ``text``.
 
     Cuts are as in ``removed``, but keep whole characters.  Rows of which only white space is left
     by the cuts go; rows that nothing is cut from stay as they are, null and empty texts included.
     """
-    light, found = covered(docs.select(F.lit(0).cast("long").alias("_row"), "text"), length, shard_bytes, hot, step)
+    light, found = covered(docs.select(F.lit(0).cast("long").alias("_row"), "text"), length, shard_bytes, sort_bytes, hot, step)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
