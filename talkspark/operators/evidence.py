@@ -78,11 +78,12 @@ def query_terms(questions: DataFrame) -> DataFrame:
 def term_hits(rows: DataFrame, terms: DataFrame, row_id: list[str], text: str = "text") -> DataFrame:
     """(row, term, count) for every row that contains the term.
 
-    Terms meet rows on the term's first three characters (or the whole term when shorter), an
-    equi join; ``count`` then checks the whole term.  Only grams of asked terms are joined.
+    Terms meet rows on the term's first three characters (or the whole term when shorter).  Only
+    the row's id travels with its grams, so the shuffle grows with the length of the texts; the
+    texts of the rows that met a term are joined back once and ``count`` checks the whole term.
     """
     distinct = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3))
-    low = rows.withColumn("_low", F.lower(F.col(text)))
+    low = rows.select(*row_id, F.lower(F.col(text)).alias("_low")).filter(F.length("_low") > 0)
     grams = F.array_distinct(
         F.flatten(
             F.transform(
@@ -95,13 +96,29 @@ def term_hits(rows: DataFrame, terms: DataFrame, row_id: list[str], text: str =
             )
         )
     )
-    pairs = low.filter(F.length("_low") > 0).select(
-        *row_id, "_low", F.explode(grams).alias("gram")
-    ).join(distinct, "gram")
+    met = (
+        low.select(*row_id, F.explode(grams).alias("gram"))
+        .join(distinct, "gram")
+        .groupBy(*row_id)
+        .agg(F.collect_set("term").alias("_terms"))
+    )
     count = (
         (F.length("_low") - F.length(F.replace("_low", F.col("term"), F.lit("")))) / F.length("term")
     ).cast("long")
-    return pairs.withColumn("n", count).filter("n > 0").select(*row_id, "term", "n")
+    return (
+        low.join(met, row_id)
+        .select(*row_id, "_low", F.explode("_terms").alias("term"))
+        .withColumn("n", count)
+        .filter("n > 0")
+        .select(*row_id, "term", "n")
+    )
+
+
+def with_id(rows: DataFrame) -> DataFrame:
+    """Adds ``evidence_id``; equal rows are told apart by their number."""
+    named = rows.withColumn("_print", F.xxhash64(*COLUMNS))
+    nth = F.row_number().over(Window.partitionBy("_print").orderBy("start_s"))
+    return named.withColumn("evidence_id", F.concat_ws("-", F.hex("_print"), nth)).drop("_print")
 
 
 def search(
@@ -112,27 +129,24 @@ def search(
 ) -> DataFrame:
     """Top ``limit`` evidence rows per question (and video): term count, confidence, start.
 
-    The window's rank limit is applied before the shuffle, so a question that matches a third of
-    the corpus still moves only ``limit`` rows per task.
+    Every evidence row counts on its own, equal ones too.  Questions with a ``video_id`` meet the
+    rows of that video alone.  Hits are ranked on ids; a row's other columns are joined to the
+    winners.
     """
-    ident = ["video_id", "start_s", "source_kind", "row_key"]
-    keyed = rows.withColumn("row_key", F.xxhash64("video_id", "start_s", "end_s", "text", "source_kind"))
+    keyed = rows if "evidence_id" in rows.columns else with_id(rows)
+    asked = ["question_id", *(c for c in ("video_id",) if c in questions.columns)]
     terms = query_terms(questions)
-    hits = (
-        term_hits(keyed, terms, [*ident, "end_s", "text", "confidence", "speaker"])
-        .join(terms, "term")
-        .groupBy("question_id", *ident, "end_s", "text", "confidence", "speaker")
-        .agg(F.sum("n").alias("hits"))
-    )
+    hits = term_hits(keyed, terms, ["evidence_id"]).join(terms, "term").groupBy("question_id", "evidence_id").agg(F.sum("n").alias("hits"))
+    described = hits.join(keyed, "evidence_id")
+    if len(asked) > 1:
+        described = described.join(questions.select(*asked).distinct(), asked, "left_semi")
     part = ["question_id", "video_id"] if per_video else ["question_id"]
     order = [F.col("hits").desc(), F.col("confidence").desc(), F.col("start_s")]
     tie = [F.col("video_id"), F.col("end_s"), F.col("source_kind"), F.col("text")]
     w = Window.partitionBy(*part).orderBy(*order, *tie)
-    return (
-        hits.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= limit)
-        .drop("row_key")
-    )
+    columns = ["question_id", "video_id", "start_s", "source_kind", "end_s", "text", "confidence", "speaker", "hits"]
+    return described.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select(*columns, "rank")
+
 
 
 def answers(found: DataFrame, asked: DataFrame, frames: DataFrame, pad: float = 2.0) -> DataFrame:

@@ -100,12 +100,18 @@ def drop_duplicates(words: DataFrame) -> DataFrame:
     return first.select(*CHUNK, "start_s", "end_s", "text", "_w.*")
 
 
-def corruption(repaired: DataFrame) -> DataFrame:
-    """Per chunk: words after duplicate removal, repairs, allowance, accepted or not."""
+def corruption(repaired: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """Per chunk: words after duplicate removal, repairs, allowance, accepted or not.
+
+    ``chunks`` lists all chunks; one whose response has no words gets a row too and is refused.
+    """
     kept = drop_duplicates(repaired).groupBy(*CHUNK).agg(F.count(F.lit(1)).alias("n_words"))
     fixes = repaired.groupBy(*CHUNK).agg(
         F.sum(F.col("bad_start").cast("int") + F.col("bad_end").cast("int")).alias("n_repairs")
     )
+    if chunks is not None:
+        fixes = chunks.select(*CHUNK).distinct().join(fixes, CHUNK, "left")
+    fixes = fixes.withColumn("n_repairs", F.coalesce("n_repairs", F.lit(0)))
     allowance = F.greatest(F.lit(MIN_ALLOWANCE), F.floor(F.col("n_words") * MAX_RATIO))
     return (
         fixes.join(kept, CHUNK, "left")

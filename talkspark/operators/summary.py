@@ -238,10 +238,17 @@ def outline_stats(words: DataFrame) -> DataFrame:
     )
 
 
-def outline(chapters: DataFrame, stats: DataFrame, max_entries: int = 100) -> DataFrame:
-    """Chapter entries with timecodes beside the video's statistics."""
+def outline(chapters: DataFrame, stats: DataFrame, max_entries: int | None = None) -> DataFrame:
+    """Chapter entries with timecodes beside the video's statistics.
+
+    All chapters, unless the caller asks for the first ``max_entries``; ``left_out`` then counts
+    the video's other chapters.
+    """
+    entries = chapters
+    if max_entries is not None:
+        over = F.count_if(F.col("chapter_no") > max_entries).over(Window.partitionBy("video_id"))
+        entries = chapters.withColumn("left_out", over).filter(F.col("chapter_no") <= max_entries)
     return (
-        chapters.filter(F.col("chapter_no") <= max_entries)
-        .withColumn("timecode", X.timecode(F.col("c_start")))
+        entries.withColumn("timecode", X.timecode(F.col("c_start")))
         .join(stats, "video_id")
     )

@@ -64,7 +64,7 @@ def term_lines(replies: DataFrame) -> DataFrame:
         *keep,
         "line_no",
         F.when(term, "term").when(skip, "skip").otherwise("unmatched").alias("kind"),
-        F.when(term | skip, F.regexp_extract("line", "^([TSC]\\d+)", 1)).otherwise(F.substring("line", 1, 120)).alias("item"),
+        F.when(term | skip, F.regexp_extract("line", "^([TSC]\\d+)", 1)).otherwise(F.col("line")).alias("item"),
         F.when(
             term,
             F.transform(F.split(F.regexp_replace("line", "^T\\d+\\s*\\|\\s*", ""), "\\|"), X.trim_ws),

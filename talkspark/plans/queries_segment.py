@@ -125,7 +125,8 @@ cte(
     "v_hits",
     """SELECT question_id, e.video_id, start_s, end_s, text, source_kind, confidence, speaker,
     sum((length(lower(text)) - length(replace(lower(text), term, ''))) // length(term)) AS hits
-    FROM v_evidence e JOIN v_terms t ON contains(lower(e.text), t.term) GROUP BY ALL""",
+    FROM (SELECT *, row_number() OVER () AS rid FROM v_evidence) e JOIN v_terms t ON contains(lower(e.text), t.term)
+    GROUP BY question_id, rid, e.video_id, start_s, end_s, text, source_kind, confidence, speaker""",
 )
 cte(
     "v_top1",

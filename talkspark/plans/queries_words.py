@@ -71,7 +71,6 @@ def responses(spark, sf):
 def entries(spark, sf):
     return cut(
         response_rows(responses(spark, sf))
-        .withColumn("pos", F.col("at._k").cast("long"))
         .withColumn("audio_s", F.col("chunk_end") - F.col("chunk_start"))
         .drop("at")
     )

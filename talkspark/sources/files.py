@@ -139,9 +139,18 @@ def write_srt(blocks: DataFrame, path: str) -> None:
     ).text(path)
 
 
-def rewrite_without(table: DataFrame, path: str, partition: str) -> None:
-    """Dynamic partition overwrite of the partitions a takedown touched."""
-    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+def rewrite_without(spark: SparkSession, path: str, gone: DataFrame, keys: list[str], partition: str) -> str:
+    """A new version of the table at ``path`` without the rows whose ``keys`` are in ``gone``.
+
+    Overwriting partitions in place would leave those that have no rows any more.  The new
+    version is written whole, and only then is the old folder deleted; its path is returned.
+    """
+    left = spark.read.parquet(path).join(gone.select(*keys).distinct(), keys, "left_anti")
+    version = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    left.write.partitionBy(partition).parquet(version)
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return version
 
 
 def latest_summaries(summaries: DataFrame) -> DataFrame:

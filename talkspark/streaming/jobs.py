@@ -85,12 +85,11 @@ def ingest(spark: SparkSession, source: str, out: str, checkpoint: str, files_pe
             tagged = tagged.join(known, ["video_id", "chunk_index", "fingerprint"], "left_anti")
         entries = (
             response_rows(tagged.drop("fingerprint"))
-            .withColumn("pos", F.col("at._k").cast("long"))
             .withColumn("audio_s", F.col("chunk_end") - F.col("chunk_start"))
             .drop("at")
         )
         fixed = N.repair(entries)
-        gate = N.corruption(fixed)
+        gate = N.corruption(fixed, tagged)
         words = N.absolute(N.drop_duplicates(fixed)).join(
             gate.filter("accepted").select(*N.CHUNK), N.CHUNK, "left_semi"
         )

@@ -12,94 +12,85 @@ from talkspark.operators import summary as M
 WORD = "video_id int, idx long, text string, start_s double, end_s double"
 
 
-def native_loop(native, duration):
-    """Plain statement of the grouping rule."""
-    spans = sorted(
-        ((max(0.0, a), i, min(duration, b), t) for i, (a, b, t) in enumerate(native) if min(duration, b) > max(0.0, a))
-    )
-    items = []
-    for i, (a, _, _, t) in enumerate(spans):
-        end = spans[i + 1][0] if i + 1 < len(spans) else duration
-        items.append([0.0 if i == 0 else a, end, t or None])
-    groups, i = [], 0
-    while i < len(items):
-        a, b, t = items[i]
-        i += 1
-        if b - a > 480:
-            t = None
-        elif b - a < 120:
-            while i < len(items) and b - a < 120 and items[i][1] - a <= 480:
-                b, t = items[i][1], None
-                i += 1
-        groups.append([a, b, t])
-    out = []
-    for g in groups:
-        if out and g[1] - g[0] < 120 and g[1] - out[-1][0] <= 480:
-            out[-1][1:] = [g[1], None]
-        else:
-            out.append(g)
-    if len(out) > 1 and out[0][1] - out[0][0] < 120 and out[1][1] - out[0][0] <= 480:
-        out[1][0], out[1][2] = out[0][0], None
-        out.pop(0)
-    return [tuple(g) for g in out]
-
-
-def test_native_groups_equal_the_rule(spark):
+NATIVE = "video_id int, duration double, native_chapters array<struct<start_time:double,end_time:double,title:string>>"
+
+
+def grouped(spark, talks):
+    got = {}
+    for r in H.native_groups(spark.createDataFrame(talks, NATIVE)).collect():
+        got.setdefault(r.video_id, []).append((r.g_start, r.g_end, r.source_title))
+    return {v: sorted(g) for v, g in got.items()}
+
+
+def test_native_groups_by_hand(spark):
+    talks = [
+        (1, 600.0, [(0.0, 300.0, "A"), (300.0, 600.0, "B")]),
+        (2, 300.0, [(0.0, 60.0, "A"), (60.0, 120.0, "B"), (120.0, 300.0, "C")]),
+        (3, 700.0, [(0.0, 700.0, "A")]),
+        (4, 260.0, [(5.0, 200.0, "A"), (200.0, 260.0, "B")]),
+        (5, 100.0, [(150.0, 200.0, "late")]),
+    ]
+    assert grouped(spark, talks) == {
+        1: [(0.0, 300.0, "A"), (300.0, 600.0, "B")],
+        2: [(0.0, 120.0, None), (120.0, 300.0, "C")],
+        3: [(0.0, 700.0, None)],
+        4: [(0.0, 260.0, None)],
+    }
+
+
+def test_native_groups_cover_the_talk(spark):
     rng = random.Random(11)
-    talks, want = [], {}
+    talks = []
     for v in range(60):
         at, native = rng.choice([0.0, 5.0]), []
-        for i in range(rng.randint(0, 9)):
+        for i in range(rng.randint(1, 9)):
             n = float(rng.choice([10, 20, 60, 119, 120, 150, 300, 480, 481, 700]))
             native.append((at, at + n - rng.choice([0, 3]), rng.choice([f"Part {i}", ""])))
             at += n
-        duration = at * rng.choice([0.7, 1.0, 1.1]) + 1
-        talks.append((v, duration, native))
-        want[v] = native_loop(native, duration)
-    df = spark.createDataFrame(
-        talks, "video_id int, duration double, native_chapters array<struct<start_time:double,end_time:double,title:string>>"
-    )
-    got = {}
-    for r in H.native_groups(df).collect():
-        got.setdefault(r.video_id, []).append((r.g_start, r.g_end, r.source_title))
-    assert {v: sorted(g) for v, g in got.items()} == {v: sorted(g) for v, g in want.items() if g}
-
-
-def split_loop(words, start, end):
-    if end - start <= 480:
-        return [(start, end)]
-    n = max(2, math.ceil((end - start) / 300))
-    cuts = [start]
-    for k in range(1, n):
-        target, lo = start + (end - start) * k / n, cuts[-1]
-        best = None
-        for p, w in zip(words, words[1:]):
-            if max(lo + 120, target - 60) <= w[1] <= min(end - 120, target + 60):
-                score = (2.0 if p[0].endswith(".") else 0.0) + min(max(0.0, w[1] - p[2]), 3.0) - abs(w[1] - target) / 60
-                best = max(best, (score, w[1])) if best else (score, w[1])
-        cuts.append(best[1] if best else min(end, max(lo, target)))
-    cuts.append(end)
-    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+        talks.append((v, at * rng.choice([0.7, 1.0, 1.1]) + 1, native))
+    got = grouped(spark, talks)
+    for v, duration, native in talks:
+        groups, begins = got[v], {0.0, *(a for a, _, _ in native[1:])}
+        assert groups[0][0] == 0.0 and groups[-1][1] == duration
+        assert all(x[1] == y[0] for x, y in zip(groups, groups[1:]))
+        assert {a for a, _, _ in groups} <= begins
+        for a, b, title in groups:
+            inside = [c for c in begins if a < c < b]
+            assert b - a <= 480 or not inside  # only one chapter of its own is longer
+            assert title is None or (not inside and title in {t for _, _, t in native})
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_split_equals_the_sequential_rule(spark, seed):
-    """Includes lengths at which a cut depends on the one before it."""
+def test_splits_cover_and_stay_in_bounds(spark, seed):
     rng = random.Random(seed)
-    rows, groups, want = [], [], set()
+    rows, groups, begins = [], [], {}
     for v, length in enumerate([300, 481, 601, 610, 700, 905, 930, 1201, 1330, 2900]):
         words, at = [], 0.0
         while at < length:
             n = rng.choice([0.3, 0.6])
             words.append((rng.choice(["word", "stop."]), round(at, 3), round(at + n, 3)))
             at += n + rng.choice([0.1, 1.0, 4.0, 30.0])
-        end = words[-1][2]
         rows += [(v, i, *w) for i, w in enumerate(words)]
-        groups.append((v, 0.0, end, "T"))
-        want |= {(v, a, b) for a, b in split_loop(words, 0.0, end)}
-    df = spark.createDataFrame(rows, WORD)
+        groups.append((v, 0.0, words[-1][2], "T"))
+        begins[v] = {w[1] for w in words}
     gs = spark.createDataFrame(groups, "video_id int, g_start double, g_end double, source_title string")
-    assert {(r.video_id, r.p_start, r.p_end) for r in H.split_groups(df, gs).collect()} == want
+    got = {}
+    for r in H.split_groups(spark.createDataFrame(rows, WORD), gs).collect():
+        got.setdefault(r.video_id, []).append((r.p_start, r.p_end))
+    for v, start, end, _ in groups:
+        parts = sorted(got[v])
+        assert parts[0][0] == start and parts[-1][1] == end
+        assert all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+        assert len(parts) == (1 if end <= 480 else max(2, math.ceil(end / 300)))
+        assert all(120 <= b - a <= 480 for a, b in parts)
+        assert all(a in begins[v] for a, _ in parts)
+
+
+def test_a_split_prefers_the_end_of_a_sentence(spark):
+    words = [(1, i, "end." if i == 32 else "word", i * 10.0, i * 10.0 + 9.9) for i in range(60)]
+    gs = spark.createDataFrame([(1, 0.0, 599.9, "T")], "video_id int, g_start double, g_end double, source_title string")
+    got = sorted((r.p_start, r.p_end) for r in H.split_groups(spark.createDataFrame(words, WORD), gs).collect())
+    assert got == [(0.0, 330.0), (330.0, 599.9)]
 
 
 def test_long_talk_is_covered(spark):
