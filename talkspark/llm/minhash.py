@@ -22,6 +22,10 @@ from talkspark.llm import arrow, links
 from talkspark.llm.store import keep
 
 
+#: Pairs that a row may propose per piece in the round before the whole one.
+LIKELIEST = 4
+
+
 @dataclass(frozen=True)
 class Sketch:
     """``base`` spaces the register values, ``rate`` is the exponential's.
@@ -143,7 +147,12 @@ def credible(equal: np.ndarray, more: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
 
 
 def _candidates(piece: pa.Table, percent: int, sketch: Sketch, best: bool) -> pa.RecordBatch:
-    """Pairs of one piece that lie in different components and may reach the limit."""
+    """Pairs of one piece that lie in different components and may reach the limit.
+
+    With ``best`` these are the likeliest few of each row.  Else all credible ones are held
+    against the rows' shingles cut to 32 bits, which can only find too many in common, so that no
+    pair that reaches the limit is lost and few others leave the task.
+    """
     ids = piece.column("id").to_numpy()
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
@@ -159,6 +168,7 @@ def _candidates(piece: pa.Table, percent: int, sketch: Sketch, best: bool) -> pa
     banded = np.ascontiguousarray(registers[:, : sketch.bands * sketch.rows])
     # Far fewer equal registers than the limit leads to: no further look is needed.
     few = banded.shape[1] * (limit - 5 * math.sqrt(limit * (1 - limit) / banded.shape[1]))
+    sets = [] if best else [np.frombuffer(x, np.uint32) for x in np.array(piece.column("cut").to_pylist(), object)[order]]
     marks = bands(registers, sketch)
     band = int(np.argmax(marks[0] == key))
     found_a, found_b, found_equal = [], [], []
@@ -174,20 +184,27 @@ def _candidates(piece: pa.Table, percent: int, sketch: Sketch, best: bool) -> pa
         equal = (registers[to] == registers[r]).sum(1)
         more = (registers[to] < registers[r]).sum(1)
         fine = credible(equal, more, np.full(len(to), n[r]), n[to], limit, sketch)
-        found_a.append(np.full(int(fine.sum()), r))
-        found_b.append(to[fine])
-        found_equal.append(equal[fine])
+        to, equal = to[fine], equal[fine]
+        if not best and len(to):
+            flat = np.concatenate([sets[t] for t in to])
+            at = np.concatenate([[0], np.cumsum([len(sets[t]) for t in to])])
+            spot = np.minimum(np.searchsorted(sets[r], flat), len(sets[r]) - 1)
+            both = arrow.sums(sets[r][spot] == flat, at)
+            reach = 100 * both >= percent * (n[to] + n[r] - both)
+            to, equal = to[reach], equal[reach]
+        found_a.append(np.full(len(to), r))
+        found_b.append(to)
+        found_equal.append(equal)
     if not found_a:
         return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
     a, b, equal = map(np.concatenate, (found_a, found_b, found_equal))
     if best and len(a):
-        # For each row and component across, the pair with most equal registers, either way.
         keep_pair = np.zeros(len(a), bool)
-        for x, y in ((a, b), (b, a)):
-            order = np.lexsort((-equal, group[y], x))
-            first = np.ones(len(order), bool)
-            first[1:] = (x[order][1:] != x[order][:-1]) | (group[y[order]][1:] != group[y[order]][:-1])
-            keep_pair[order[first]] = True
+        for x in (a, b):
+            order = np.lexsort((-equal, x))
+            first = np.concatenate([[True], x[order][1:] != x[order][:-1]])
+            place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+            keep_pair[order[place < LIKELIEST]] = True
         a, b = a[keep_pair], b[keep_pair]
     return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
@@ -208,6 +225,16 @@ def _shared(texts_a: pa.Array, texts_b: pa.Array) -> tuple[np.ndarray, np.ndarra
     return both, sides[0][2] + sides[1][2] - both
 
 
+def _cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, cut``: the distinct shingles of each text, cut to 32 bits and sorted."""
+    for batch in batches:
+        for part in arrow.slices(batch, "text"):
+            values, at = shingles(part.column("text"))
+            mask, _ = distinct(values, at)
+            cut = [np.sort((values[a:b][mask[a:b]] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(cut, pa.binary())], names=["id", "cut"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the limit; ``texts`` has id and text."""
 
@@ -228,8 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(
 
     Equal sets are one class, represented by its smallest doc_id.  Rounds of verification:
     the centre that a class shares most bands with; then, in buckets that still hold several
-    components, the likeliest pair of each class with each other component; then every other
-    credible pair across components.  A pair inside one component needs no check, as it can't
+    components, the likeliest few pairs of each class across components; then all of them.  A pair inside one component needs no check, as it can't
     change the components; no bucket, partner or pair is capped.
 
     Null, empty and wordless texts have an empty set and link with nothing; rows without doc_id
@@ -293,6 +319,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(
             .where("low <> high")
             .select("key", "size")
         )
+        if not best:
+            busy = near.select("key", "id").join(mixed, "key").select("id").distinct()
+            state = state.join(texts.join(busy, "id", "left_semi").mapInArrow(_cut_sets, "id long, cut binary"), "id")
         members = links.blocks(near.select("key", "id"), mixed, part_rows).join(state, "id")
 
         def candidates(batches: Iterator[pa.RecordBatch], best: bool = best) -> Iterator[pa.RecordBatch]:
