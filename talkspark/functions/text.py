@@ -11,10 +11,6 @@ WS = "[ \\t\\n\\r\\f\\x0B]"
 _EDGE = "[.,;:!?\"'()\\[\\]]"
 
 
-def lit_array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -39,11 +35,10 @@ def latin_tokens(c: Column) -> Column:
 def content_tokens(c: Column) -> Column:
     raw = F.regexp_extract_all(c, F.lit(L.CONTENT_TOKEN), F.lit(0))
     clean = F.transform(raw, lambda t: F.lower(F.regexp_replace(t, "^[._+#-]+|[._+#-]+$", "")))
-    stop = lit_array(L.STOP_WORDS)
     return F.filter(
         clean,
         lambda t: (F.length(t) >= 2)
-        & ~F.array_contains(stop, t)
+        & ~t.isin(L.STOP_WORDS)
         & ~t.rlike("^[0-9]+$"),
     )
 
@@ -89,9 +84,8 @@ def particle_fragment(c: Column) -> Column:
 
 def everyday(c: Column) -> Column:
     words = F.regexp_extract_all(c, F.lit("[A-Za-z']+"), F.lit(0))
-    known = lit_array(L.EVERYDAY_WORDS)
     return (c == F.lower(c)) & (F.size(words) > 0) & F.forall(
-        words, lambda w: F.array_contains(known, w)
+        words, lambda w: w.isin(L.EVERYDAY_WORDS)
     )
 
 
@@ -173,11 +167,10 @@ def noise_pair(left: Column, right: Column) -> Column:
         return (x != "") & y.startswith(x) & (F.length(y) - F.length(x) <= 3)
 
     near = F.exists(a, lambda x: F.exists(b, lambda y: prefixed(x, y) | prefixed(y, x)))
-    common = lit_array(L.COMMON_WORDS)
 
     def all_common(c: Column) -> Column:
         words = F.transform(split_ws(c), lambda t: F.lower(strip_edges(t)))
-        return (F.size(words) > 0) & F.forall(words, lambda t: F.array_contains(common, t))
+        return (F.size(words) > 0) & F.forall(words, lambda t: t.isin(L.COMMON_WORDS))
 
     return F.arrays_overlap(a, b) | near | (all_common(left) & all_common(right))
 

@@ -396,7 +396,7 @@ def _(spark, sf):
     source, out = I.scratch(spark, "responses"), I.scratch(spark, "ingested")
     responses(spark, sf).repartition(4).write.json(source)
     J.ingest(spark, source, out, out + "-state", files_per_batch=2)
-    return spark.read.parquet(f"{out}/words").groupBy("video_id", "chunk_index").agg(F.count(F.lit(1)).alias("n_words"))
+    return J.current_words(spark, out).groupBy("video_id", "chunk_index").agg(F.count(F.lit(1)).alias("n_words"))
 
 
 # --- scalar expressions ---------------------------------------------------------------------

@@ -18,7 +18,7 @@ WATERMARK = "10 minutes"
 
 
 def per_minute(attempts: DataFrame) -> DataFrame:
-    """Attempts per key and minute of event time; later than ten minutes are dropped."""
+    """Attempts per key and minute of event time; ``run_available`` counts those over ten minutes late."""
     return (
         attempts.withWatermark("ts", WATERMARK)
         .groupBy(F.window("ts", "1 minute"), "key_hash")
@@ -49,16 +49,24 @@ def _by_batch(path: str, shape: Callable[[DataFrame], DataFrame] = lambda d: d):
     return write
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", shape=lambda d: d) -> None:
-    """Process what has arrived, then stop."""
-    (
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", shape=lambda d: d) -> int:
+    """Process what has arrived, then stop; the number of rows that came behind the watermark."""
+    done = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(_by_batch(path, shape))
         .trigger(availableNow=True)
         .start()
-        .awaitTermination()
     )
+    done.awaitTermination()
+    return sum(s.get("numRowsDroppedByWatermark", 0) for p in done.recentProgress for s in p["stateOperators"])
+
+
+def current_words(spark: SparkSession, out: str) -> DataFrame:
+    """Words of the response that each chunk's latest accepted batch brought."""
+    chunks = spark.read.parquet(f"{out}/chunks").filter("accepted")
+    newest = chunks.groupBy("video_id", "chunk_index").agg(F.max("batch_id").alias("batch_id"))
+    return spark.read.parquet(f"{out}/words").join(newest, ["video_id", "chunk_index", "batch_id"], "left_semi")
 
 
 def latest(spark: SparkSession, path: str, keys: list[str], value: str) -> DataFrame:
