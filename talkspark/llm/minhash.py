@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(
     shared = near.where("id <> centre").groupBy("id", "centre").agg(F.count("*").alias("bands"))
     stars = shared.groupBy("id").agg(F.max_by("centre", F.struct("bands", -F.col("centre"))).alias("b")).select(F.col("id").alias("a"), "b")
     edges = keep(verified(stars, texts, percent))
-    groups = links.components(edges)
+    groups = keep(links.components(edges))
     for best in (True, False):
         state = classes.select("id", "n", "registers").join(groups.withColumnRenamed("node", "id"), "id", "left")
         state = keep(
@@ -329,8 +329,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(
                 yield _candidates(piece, percent, sketch, best)
 
         pairs = links.dealt(members).mapInArrow(candidates, "a long, b long")
-        edges = edges.union(keep(verified(pairs, texts, percent)))
-        groups = links.components(edges)
+        fresh = keep(verified(pairs, texts, percent))
+        if not fresh.isEmpty():  # else the components stand as they are
+            edges = edges.union(fresh)
+            groups = keep(links.components(edges))
     named = linkable.groupBy("first", "second", "n").agg(F.min("doc_id").alias("id"))
     state = named.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         "first", "second", "n", F.coalesce("component", "id").alias("component_id")
