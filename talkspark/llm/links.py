@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkspark.functions.lineage import cut
+from talkspark.llm.store import keep
 
 
 def blocks(keys: DataFrame, sizes: DataFrame, most: int = 1024) -> DataFrame:
@@ -71,7 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
     whatever its shape the nodes left fall by a constant factor a round.  Edges stay in Spark; only
     "is it empty" reaches the driver.
     """
-    left = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    left = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     found: DataFrame | None = None
     number = 0
     while found is None or not left.isEmpty():
@@ -82,16 +82,16 @@ def components(edges: DataFrame) -> DataFrame:
 
         parent = both.groupBy("node").agg(F.min(place("peer")).alias("first")).select("node", F.least("first", place("node"))["id"].alias("up"))
         higher = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        step = cut(parent.join(higher, "up").select("node", F.col("top").alias("up")))
+        step = keep(parent.join(higher, "up").select("node", F.col("top").alias("up")))
         of_a = step.select(F.col("node").alias("a"), F.col("up").alias("a_up"))
         of_b = step.select(F.col("node").alias("b"), F.col("up").alias("b_up"))
         moved = left.join(of_a, "a").join(of_b, "b").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"))
-        left = cut(moved.where("a < b").distinct())
+        left = keep(moved.where("a < b").distinct())
         if found is None:
             found = step.toDF("node", "root")
         else:
             onward = step.toDF("root", "next")
-            found = cut(found.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+            found = keep(found.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
         number += 1
     return found.join(found.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
