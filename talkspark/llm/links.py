@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,35 +64,48 @@ def smallest_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+#: Rows of a table of edges or nodes that one task takes.
+ROWS_A_TASK = 100_000
+
+
+def packed(table: DataFrame, rows: int) -> DataFrame:
+    """``table`` of ``rows`` rows read by as many tasks as they fill; one task needs no exchange."""
+    most = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.coalesce(max(1, min(most, math.ceil(rows / ROWS_A_TASK))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node in ``edges`` (a, b); the component is its smallest node.
 
-    In each round a node goes to the neighbour that is first in a random order of that round, if
-    it comes before the node itself; that step is followed twice and the graph contracted, so that
-    whatever its shape the nodes left fall by a constant factor a round.  Edges stay in Spark; only
-    "is it empty" reaches the driver.
+    In each round a node goes to the node that is first, in a random order of that round, among
+    itself, its neighbours and theirs; that step is followed twice and the graph contracted, so
+    that a star is one node after a round and whatever the shape the nodes left fall by a constant
+    factor a round.  Edges stay in Spark; only their number reaches the driver.
     """
     left = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     found: DataFrame | None = None
-    number = 0
-    while found is None or not left.isEmpty():
-        both = left.union(left.select("b", "a")).toDF("node", "peer")
+    number = total = 0
+    while (rows := left.count()) or found is None:
+        total = max(total, rows)
+        few = packed(left, rows)
+        both = few.select(F.inline(F.expr("array(struct(a as node, b as peer), struct(b as node, a as peer))")))
 
         def place(column: str, number: int = number):
             return F.struct(F.xxhash64(F.lit(number), column).alias("h"), F.col(column).alias("id"))
 
-        parent = both.groupBy("node").agg(F.min(place("peer")).alias("first")).select("node", F.least("first", place("node"))["id"].alias("up"))
+        first = both.groupBy("node").agg(F.min(place("peer")).alias("first")).select(F.col("node").alias("peer"), F.least("first", place("node")).alias("first"))
+        parent = both.join(first, "peer").groupBy("node").agg(F.min("first")["id"].alias("up"))
         higher = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        step = keep(parent.join(higher, "up").select("node", F.col("top").alias("up")))
+        step = packed(keep(parent.join(higher, "up").select("node", F.col("top").alias("up"))), 2 * rows)
         of_a = step.select(F.col("node").alias("a"), F.col("up").alias("a_up"))
         of_b = step.select(F.col("node").alias("b"), F.col("up").alias("b_up"))
-        moved = left.join(of_a, "a").join(of_b, "b").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"))
+        moved = few.join(of_a, "a").join(of_b, "b").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"))
         left = keep(moved.where("a < b").distinct())
         if found is None:
             found = step.toDF("node", "root")
         else:
             onward = step.toDF("root", "next")
-            found = keep(found.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+            found = packed(keep(found.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"))), 2 * total)
         number += 1
     return found.join(found.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
