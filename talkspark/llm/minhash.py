@@ -125,12 +125,15 @@ def credible(equal: np.ndarray, more: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     """Whether a similarity of ``limit`` or more is within ``sigmas`` of the likeliest one.
 
     The log likelihood of similarity J is D+ log p(u - vJ) + D- log p(v - uJ) + D0 log(rest) with
-    p(x) = -log_b(1 - x (b - 1) / b) and u, v the shares of the two set sizes.
+    p(x) = -log_b(1 - x (b - 1) / b) and u, v the shares of the two set sizes.  The similarities
+    from ``limit`` to the size ratio have a grid of their own that begins at ``limit``: where the
+    two are close, the likelihood falls steeply towards the ratio, at which the smaller set has
+    nothing of its own.
     """
     less = sketch.size - equal - more
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
-    grid = np.linspace(0, 1, 51)[None, :] * np.minimum(u / v, v / u)
+    ratio = np.minimum(u / v, v / u)
 
     def law(x: np.ndarray) -> np.ndarray:
         return np.maximum(-np.log1p(-np.clip(x, 0, 1) * (sketch.base - 1) / sketch.base) / math.log(sketch.base), 1e-9)
@@ -139,11 +142,9 @@ def credible(equal: np.ndarray, more: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
         up, down = law(u - v * j), law(v - u * j)
         return more[:, None] * np.log(up) + less[:, None] * np.log(down) + equal[:, None] * np.log(np.maximum(1 - up - down, 1e-9))
 
-    values = likelihood(grid)
-    best = values.max(1)
-    enough = grid >= limit - 1e-9
-    reached = np.where(enough, values, -np.inf).max(1)
-    return reached >= best - sigmas * sigmas / 2
+    best = likelihood(np.linspace(0, 1, 51)[None, :] * ratio).max(1)
+    reached = likelihood(limit + np.linspace(0, 1, 9)[None, :] * (ratio - limit)).max(1)
+    return (reached >= best - sigmas * sigmas / 2) & (ratio[:, 0] >= limit - 1e-9)
 
 
 def _candidates(piece: pa.Table, percent: int, sketch: Sketch, best: bool) -> pa.RecordBatch:

@@ -319,6 +319,29 @@ def test_minhash_cases(documents, odd, nothing):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in minhash.near_duplicates(documents).where("kept").collect()}
 
 
+def test_credible_keeps_pairs_of_uneven_sizes(spark):
+    """Pairs whose size ratio is just above the limit, the smaller set with a few shingles of its own."""
+    sketch, draws = minhash.Sketch(), np.random.default_rng(3)
+    for large, small, own, limit in ((1000, 866, 5, 0.85), (200, 172, 1, 0.85), (1000, 806, 2, 0.8), (100, 85, 0, 0.85)):
+        j = (small - own) / (large + own)
+        assert j >= limit
+        u = large / (large + small)
+        up, down = (-np.log1p(-x * (sketch.base - 1) / sketch.base) / math.log(sketch.base) for x in (u - (1 - u) * j, 1 - u - u * j))
+        more, less, equal = draws.multinomial(sketch.size, [up, max(0, down), 1 - up - max(0, down)], 5000).T
+        assert (~minhash.credible(equal, more, np.full(5000, float(large)), np.full(5000, float(small)), limit, sketch)).mean() < 0.001
+    rng = random.Random(8)
+    rows = []
+    for g in range(0, 30, 3):
+        hub = [f"w{rng.randrange(10**9)}" for _ in range(1004)]
+        left, right = hub[:870], hub[134:]
+        left[-5] = right[4] = f"own{g}"
+        rows += [(g, " ".join(left)), (g + 1, " ".join(right)), (g + 2, " ".join(hub))]
+    a, b, hub = (shingle_set(t) for _, t in rows[:3])
+    assert len(a - hub) == 5 and min(len(a & hub) / len(a | hub), len(b & hub) / len(b | hub)) >= 0.85 > len(a & b) / len(a | b)
+    got = keyed(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85))
+    assert [got[i]["component_id"] for i, _ in rows] == [i - i % 3 for i, _ in rows]
+
+
 def test_registers_merge_and_estimate():
     sketch = minhash.Sketch()
     a, b = " ".join(map(str, range(300))), " ".join(map(str, range(150, 450)))
