@@ -22,12 +22,12 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
+    """One row of each near-duplicate group stays (five-word shingles, similarity 0.8), whatever its doc_id."""
     return minhash.one_of_each_group(docs.select(*COLUMNS), percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats of strings of 400 bytes go but for one occurrence; emptied documents go."""
+    """Strings of 400 bytes that repeat go wherever they stand, none of them stays; emptied documents go."""
     cut = suffix.without_repeats(docs.select(*COLUMNS))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

@@ -344,6 +344,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(
 
 
 def one_of_each_group(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those whose group has a smaller doc_id; all columns stay."""
-    gone = keep(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of ``docs`` (all columns) of each group of near-duplicates, the first by doc_id, null last.
+
+    Every row is a node of its own here, so that rows that share a doc_id and rows without one are
+    held against the others like any row; ties go by row number.  Rows without words link with
+    nothing and stay.
+    """
+    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent)
+    groups = keep(groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
+    first = rows.select("doc_id", "_row").join(groups, "_row").groupBy("_group").agg(F.min(order)["_row"].alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)

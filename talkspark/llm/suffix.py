@@ -471,8 +471,10 @@ def _whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
 def without_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 4 << 20, sort_bytes: int = 1 << 19, hot: int = 4096, step: int = 24) -> DataFrame:
     """The rows of ``docs`` (all columns) with every repeated string cut out of ``text``.
 
-    Cuts are as in ``removed``, but keep whole characters.  Rows of which only white space is left
-    by the cuts go; rows that nothing is cut from stay as they are, null and empty texts included.
+    Cuts are as in ``removed``: all occurrences of a repeated string go, none stays, so a text of
+    ``length`` bytes in several rows goes from all of them; let only one of equal rows in.
+    Cuts keep whole characters.  Rows of which only white space is left by the cuts go; rows that
+    nothing is cut from stay as they are, null and empty texts included.
     """
     light, found = covered(docs.select(F.lit(0).cast("long").alias("_row"), "text"), length, shard_bytes, sort_bytes, hot, step)
 

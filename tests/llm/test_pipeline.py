@@ -90,3 +90,17 @@ def test_mix_takes_whole_documents(spark, stages):
 def test_run_is_repeatable(spark, stages):
     rows = corpus_pipeline.run(spark, SMALL)
     assert sorted((r["doc_id"], tuple(r["pieces"])) for r in rows.collect()) == sorted((r["doc_id"], tuple(r["pieces"])) for r in stages[-1].collect())
+
+
+def test_repeated_rows_stay_once(spark):
+    """Rows of one doc_id, or of none, with one text of over 400 bytes; a passage in two other documents."""
+    text = {k: " ".join(f"{k}{i}" for i in range(150)) for k in "abcdefg"}
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(7, text["a"]), (7, text["a"]), (None, text["b"]), (None, text["b"]), (3, text["c"]), (None, text["c"]), (9, text["d"]), (9, text["e"])]
+    rows += [(20, text["f"] + "!" + passage), (21, text["g"] + "?" + passage)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    once = corpus_pipeline.deduplicate(spark, docs, SMALL)
+    want = [(None, text["b"]), (3, text["c"]), (7, text["a"]), (9, text["d"]), (9, text["e"]), *rows[-2:]]
+    assert Counter((r["doc_id"], r["text"]) for r in once.collect()) == Counter(want)
+    left = corpus_pipeline.cut_repeats(spark, once, SMALL).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter(want[:-2] + [(20, text["f"] + "!"), (21, text["g"] + "?")])
