@@ -6,7 +6,8 @@ more than once in the corpus can repeat.  Their surroundings are dealt to shards
 shard builds the suffix array of its distinct surroundings by induced sorting and the permuted
 common prefixes, and a start repeats if its neighbours share ``length`` bytes.  An anchor with many
 surroundings is dealt by shorter runs of starts and the bytes that all strings of the run share,
-so that no anchor fills a task.
+so that no anchor fills a task.  A task sends equal surroundings to a shard twice at most, and the
+ranges found in a surrounding are joined back to its occurrences.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from talkspark.llm import arrow
 from talkspark.llm.store import keep
 
 GRAM = 32
+#: A task that has seen a surrounding so often deals its further occurrences to so many salts.
+OFTEN, SALTS = 32, 128
+#: Surroundings that a task remembers.
+REMEMBERED = 200_000
 
 
 # --- suffix array by induced sorting -------------------------------------------------------------
@@ -285,7 +290,13 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iterator[pa.RecordBatch]:
-    """Surroundings of the starts of each run; runs of hot anchors in parts of ``step`` places."""
+    """Surroundings of the starts of each run; runs of hot anchors in parts of ``step`` places.
+
+    Each occurrence has a row with a 128-bit name of its surrounding.  The bytes are on the rows of
+    the first and second time that the task sees it, which is enough to tell one from several, and
+    on the row that says that salts begin.
+    """
+    seen: dict[tuple, int] = {}
     for batch in batches:
         for part in arrow.slices(batch, "bytes"):
             out: list[tuple] = []
@@ -314,58 +325,66 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iter
                     out += [
                         (k, one, two, a, b - a, data[a : b - 1 + length]) for k, a, b in zip(keys.tolist(), low.tolist(), high.tolist())
                     ]
-            columns = list(zip(*out)) or [()] * 6
+            rows = []
+            for key, one, two, first, starts, segment in out:
+                name = hashlib.blake2b(segment, digest_size=16).digest()
+                times = seen.get((key, starts, name), 0) + 1
+                seen[key, starts, name] = times
+                salted = times == OFTEN + 1
+                salt = 1 + times % SALTS if times > OFTEN else 0
+                rows.append((key, one, two, first, starts, salt, name, salted, segment if times <= 2 or salted else None))
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            columns = list(zip(*rows)) or [()] * 9
+            kinds = [pa.int64()] * 6 + [pa.binary(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(list(c), pa.int64()) for c in columns[:5]), pa.array(list(columns[5]), pa.binary())],
-                names=["key", "one", "two", "first", "starts", "segment"],
+                [pa.array(list(c), kind) for c, kind in zip(columns, kinds)],
+                names=["key", "one", "two", "first", "starts", "salt", "name", "salted", "segment"],
             )
 
 
 def _shard(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Covered byte ranges of texts, from a stream of surroundings in the order of their keys.
+    """Covered byte ranges of surroundings, from a stream of surroundings in the order of their keys.
 
     Whole keys are taken together until they hold about ``most`` distinct bytes.
     """
-    names = ["one", "two", "start", "stop"]
+    names = ["key", "starts", "name", "salted", "low", "high"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()]
 
-    def solve(distinct: dict[tuple, list[tuple]]) -> pa.RecordBatch:
-        out: list[list[np.ndarray]] = [[], [], [], []]
+    def solve(distinct: dict[tuple, list]) -> pa.RecordBatch:
+        out: list[tuple] = []
         of_key: dict[int, int] = {}
         for key, _, _ in distinct:
             of_key[key] = of_key.get(key, 0) + 1
         # The copies of a key's only segment repeat as a whole; the others are sorted.
-        plain = [s for s in distinct if of_key[s[0]] == 1 and len(distinct[s]) > 1]
-        sorted_ones = [s for s in distinct if of_key[s[0]] > 1 or len(distinct[s]) == 1]
-        flags = [np.ones(n, bool) for _, _, n in plain]
+        plain = [s for s in distinct if of_key[s[0]] == 1 and distinct[s][1] > 1]
+        sorted_ones = [s for s in distinct if of_key[s[0]] > 1 or distinct[s][1] == 1]
+        flags = [np.ones(n, bool) for _, n, _ in plain]
         if sorted_ones:
-            copies = [len(distinct[s]) for s in sorted_ones]
-            flags += repeated_starts([s for _, s, _ in sorted_ones], [n for *_, n in sorted_ones], copies, length)
-        segments = plain + sorted_ones
-        for key, flag in zip(segments, flags):
+            copies = [distinct[s][1] for s in sorted_ones]
+            flags += repeated_starts([distinct[s][0] for s in sorted_ones], [n for _, n, _ in sorted_ones], copies, length)
+        for own, flag in zip(plain + sorted_ones, flags):
             on = np.flatnonzero(np.diff(np.concatenate([[False], flag, [False]]).astype(np.int8)))
-            low, high = on[::2], on[1::2] - 1 + length
-            for one, two, first in distinct[key]:
-                out[0].append(np.full(len(low), one))
-                out[1].append(np.full(len(low), two))
-                out[2].append(low + first)
-                out[3].append(high + first)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=names)
-
-    held: dict[tuple, list[tuple]] = {}
+            out += [(*own, distinct[own][2], low, high) for low, high in zip(on[::2].tolist(), (on[1::2] - 1 + length).tolist())]
+        columns = list(zip(*out)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names=names)
+
+    held: dict[tuple, list] = {}
     size = 0
     last = None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("key", "one", "two", "first", "starts", "segment")]
-        for key, one, two, first, starts, segment in zip(*columns):
+        columns = [batch.column(c).to_pylist() for c in ("key", "starts", "name", "salted", "segment")]
+        for key, starts, name, salted, segment in zip(*columns):
             if key != last and size >= most:
                 yield solve(held)
                 held, size = {}, 0
             last = key
-            own = (key, segment, starts)
+            own = (key, starts, name)
             if own not in held:
-                held[own] = []
+                held[own] = [segment, 0, False]
                 size += len(segment)
-            held[own].append((one, two, first))
+            held[own][1] += 1
+            held[own][2] |= salted
     if held:
         yield solve(held)
 
@@ -410,9 +429,19 @@ def covered(rows: DataFrame, length: int, shard_bytes: int, sort_bytes: int, hot
     texts = keep(texts.join(per_text, ["one", "two"]))
     total = per_text.select(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["first"] + length))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    segments = texts.mapInArrow(lambda b: _segments(b, length, step), "key long, one long, two long, first long, starts long, segment binary")
-    dealt = segments.repartition(int(shards), "key").sortWithinPartitions("key")
-    found = keep(dealt.mapInArrow(lambda b: _shard(b, length, sort_bytes), "one long, two long, start long, stop long"))
+    segments = keep(
+        texts.mapInArrow(
+            lambda b: _segments(b, length, step),
+            "key long, one long, two long, first long, starts long, salt long, name binary, salted boolean, segment binary",
+        )
+    )
+    distinct = segments.where("segment is not null").select("key", "starts", "name", "salted", "segment")
+    dealt = distinct.repartition(int(shards), "key").sortWithinPartitions("key")
+    solved = dealt.mapInArrow(lambda b: _shard(b, length, sort_bytes), "key long, starts long, name binary, salted boolean, low long, high long")
+    salts = F.when(F.col("salted"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    solved = keep(solved).withColumn("salt", F.explode(salts)).drop("salted")
+    found = segments.drop("segment", "salted").join(solved, ["key", "starts", "name", "salt"])
+    found = found.select("one", "two", (F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high")).alias("stop"))
     ranges = found.groupBy("one", "two").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     return light.drop("anchors"), texts.drop("runs").join(ranges, ["one", "two"])
 

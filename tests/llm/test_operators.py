@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -220,6 +222,33 @@ def test_suffix_dedup(documents, texts, options):
         assert tuple(got[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == want, i
 
 
+def test_equal_surroundings_leave_a_task_twice(spark, tmp_path, monkeypatch):
+    """A passage of over 423 bytes in a third of the documents, all different."""
+    rng = random.Random(5)
+    passage = prose(rng, 300)
+    texts = [prose(rng, 70) + (f" {passage} " if i % 3 == 0 else " ") + prose(rng, 70) for i in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shard = suffix._shard
+
+    def counted(batches, *options):
+        def passed():
+            for batch in batches:
+                (tmp_path / f"{os.getpid()}-{time.time_ns()}").write_text("\n".join(hashlib.sha256(x.as_py()).hexdigest() for x in batch.column("segment")))
+                yield batch
+
+        yield from shard(passed(), *options)
+
+    monkeypatch.setattr(suffix, "_shard", counted)
+    for hot in (4096, 100):
+        for path in tmp_path.iterdir():
+            path.unlink()
+        got = keyed(suffix.removed(docs, hot=hot))
+        for i, want in enumerate(brute_repeats([t.encode() for t in texts], 400)):
+            assert tuple(got[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == want, i
+        rows = Counter(line for p in tmp_path.iterdir() for line in p.read_text().split("\n"))
+        assert 1 < max(rows.values()) < 100  # of 300 occurrences
+
+
 def test_suffix_dedup_cases(documents, texts, odd, nothing):
     assert suffix.removed(odd).count() == 5 and suffix.removed(nothing).count() == 0
     left = keyed(suffix.without_repeats(documents))
