@@ -33,8 +33,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, in shards, shuffled within each."""
-    return mixing.mixed_documents(docs.select(*COLUMNS)).select(*COLUMNS)
+    """Documents as often as the mix of sources takes them, each shard in one partition, shuffled within."""
+    mixed = mixing.mixed_documents(docs.select(*COLUMNS))
+    return mixed.repartition("shard").sortWithinPartitions("shard", "place").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

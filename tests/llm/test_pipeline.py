@@ -104,3 +104,15 @@ def test_repeated_rows_stay_once(spark):
     assert Counter((r["doc_id"], r["text"]) for r in once.collect()) == Counter(want)
     left = corpus_pipeline.cut_repeats(spark, once, SMALL).collect()
     assert Counter((r["doc_id"], r["text"]) for r in left) == Counter(want[:-2] + [(20, text["f"] + "!"), (21, text["g"] + "?")])
+
+
+def test_mix_is_written_in_shards_by_place(spark, tmp_path):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat('w', id, ' a b') AS text", "'en' AS lang", "concat('s', id % 3) AS source", "9L AS n_chars")
+    corpus_pipeline.mix(spark, docs, SMALL).write.parquet(str(tmp_path / "mix"))
+    got = [[r["doc_id"] for r in spark.read.parquet(str(p)).collect()] for p in sorted((tmp_path / "mix").glob("*.parquet"))]
+    shards = defaultdict(list)
+    for r in mixing.mixed_documents(docs).orderBy("shard", "place").collect():
+        shards[r["shard"]].append(r["doc_id"])
+    assert len(shards) > 1 and sum(map(len, got)) == sum(map(len, shards.values()))
+    for ids in shards.values():
+        assert any(ids == part[k : k + len(ids)] for part in got for k in range(len(part)) if part[k] == ids[0])
