@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
+Reader = Callable[[str], list[tuple[str, str, int, int]]]
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings with a meaning to this template or to common tokenizers; none may come from a text.
@@ -40,6 +41,10 @@ def markup(turns: list[Turn]) -> str:
     return "".join(f"{TURN}{escape(role)}{TEXT}{escape(text)}{END}\n" for role, text in turns)
 
 
+#: Declares that an output is the turns' own outputs side by side, whatever comes before or after.
+markup.concatenative = True
+
+
 def read_back(formatted: str) -> list[tuple[str, str, int, int]]:
     """Role, text, and the span of the (escaped) text of each turn in a ``markup`` output."""
     return [(unescape(m[1]), unescape(m[2]), m.start(2), m.end(2)) for m in _TURN.finditer(formatted)]
@@ -48,9 +53,10 @@ def read_back(formatted: str) -> list[tuple[str, str, int, int]]:
 class Incremental:
     """Renders a conversation turn by turn.
 
-    ``add`` returns what the new turn adds and whether the history changed.  After ``window``
-    turns only the last ones are rendered again, if the output ends with just their own rendering
-    (so what went before has no influence on it); the cost then stays linear in the turns.
+    ``add`` returns what the new turn adds (all of the output if the history changed) and whether
+    the history stayed.  After ``window`` turns a template that is declared ``concatenative`` gets
+    the last turn only, so that the cost stays linear in the turns; any other one gets all turns
+    each time, as only a look at the whole output shows that it leaves the history alone.
     """
 
     def __init__(self, template: Template, window: int = 32):
@@ -67,7 +73,7 @@ class Incremental:
         self.rewrites += not kept
         self.turns.append(turn)
         self.out = new
-        if not self.rewrites and len(self.turns) >= self.window:
+        if getattr(self.template, "concatenative", False) and not self.rewrites and len(self.turns) >= self.window:
             tail = self.template(self.turns[-1:])
             if new.endswith(tail):
                 self.gone += len(new) - len(tail)
@@ -97,17 +103,27 @@ def locate(template: Template, turns: list[Turn]) -> tuple[str, list[tuple[int,
 
 
 class _Digest:
-    def __init__(self, conv: int | None):
-        self.conv = conv
-        self.steps = Incremental(markup)
+    def __init__(self, conv: int | None, template: Template, reader: Reader):
+        self.conv, self.reader = conv, reader
+        self.steps = Incremental(template)
+        self.given = 0
+        self.rewriting: list[int] = []
+        self.clear()
+
+    def clear(self) -> None:
         self.n = self.loss = 0
         self.turns, self.masked = hashlib.sha256(), hashlib.sha256()
 
     def add(self, role: str, text: str) -> None:
         added, kept = self.steps.add((role, text))
         if not kept:
-            raise ValueError("the template rewrites history")
-        for r, t, _, _ in read_back(added):
+            self.rewriting.append(self.given)
+        self.given += 1
+        if not self.rewriting:
+            self.read(added)
+
+    def read(self, formatted: str) -> None:
+        for r, t, _, _ in self.reader(formatted):
             self.n += 1
             self.turns.update(f"{r}\n{t}\n".encode())
             if r == "assistant":
@@ -115,7 +131,10 @@ class _Digest:
                 self.masked.update(t.encode())
 
     def row(self) -> tuple:
-        return (self.conv, self.n, self.turns.hexdigest(), self.loss, self.masked.hexdigest(), self.steps.length)
+        if self.rewriting:  # what was read before no longer stands
+            self.clear()
+            self.read(self.steps.out)
+        return (self.conv, self.n, self.turns.hexdigest(), self.loss, self.masked.hexdigest(), self.steps.length, self.rewriting)
 
 
 def in_order(conversations: DataFrame) -> DataFrame:
@@ -126,45 +145,54 @@ def in_order(conversations: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def format_all(conversations: DataFrame) -> DataFrame:
-    """``conv_id, formatted, loss_spans`` with one row per conversation.
+def format_all(conversations: DataFrame, template: Template = markup, reader: Reader = read_back) -> DataFrame:
+    """``conv_id, formatted, loss_spans, rewriting`` with one row per conversation.
 
-    ``loss_spans`` are (start, end) code points of the escaped assistant texts.  Null role and text
+    ``loss_spans`` are (start, end) code points of the assistant texts that ``reader`` finds in the
+    output (escaped ones in ``markup``); ``rewriting`` are the numbers of the turns, from 0, that
+    changed the output of those before.  Null role and text
     are empty; rows without conv_id form one conversation; ties in ``turn`` are ordered by role and
     text; an empty table gives an empty result.  One formatted conversation must fit in memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(conv, pieces):
+        def emit(conv, pieces, rewriting):
             text = "".join(pieces)
-            spans = [[a, b] for r, _, a, b in read_back(text) if r == "assistant"]
+            spans = [[a, b] for r, _, a, b in reader(text) if r == "assistant"]
             return pa.RecordBatch.from_arrays(
-                [pa.array([conv], pa.int64()), pa.array([text]), pa.array([spans], pa.list_(pa.list_(pa.int64())))],
-                names=["conv_id", "formatted", "loss_spans"],
+                [pa.array([conv], pa.int64()), pa.array([text]), pa.array([spans], pa.list_(pa.list_(pa.int64()))), pa.array([rewriting], pa.list_(pa.int64()))],
+                names=["conv_id", "formatted", "loss_spans", "rewriting"],
             )
 
-        conv, steps, pieces = None, None, []
+        conv, steps, pieces, number, rewriting = None, None, [], 0, []
         for batch in batches:
             for c, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text"))):
                 if steps is None or c != conv:
                     if steps is not None:
-                        yield emit(conv, pieces)
-                    conv, steps, pieces = c, Incremental(markup), []
-                pieces.append(steps.add((role or "", text or ""))[0])
+                        yield emit(conv, pieces, rewriting)
+                    conv, steps, pieces, number, rewriting = c, Incremental(template), [], 0, []
+                added, kept = steps.add((role or "", text or ""))
+                if not kept:
+                    pieces.clear()
+                    rewriting.append(number)
+                pieces.append(added)
+                number += 1
         if steps is not None:
-            yield emit(conv, pieces)
+            yield emit(conv, pieces, rewriting)
 
-    return in_order(conversations).mapInArrow(run, "conv_id long, formatted string, loss_spans array<array<long>>")
+    return in_order(conversations).mapInArrow(run, "conv_id long, formatted string, loss_spans array<array<long>>, rewriting array<long>")
 
 
-def digests(conversations: DataFrame) -> DataFrame:
-    """What is read back from the formatted conversations, one row each.
+def digests(conversations: DataFrame, template: Template = markup, reader: Reader = read_back) -> DataFrame:
+    """What ``reader`` finds in the formatted conversations, one row each, and the rewriting turns.
 
-    Turns stream through in sorted order, so a conversation may be longer than memory: its task
-    holds one Arrow batch and a short window of turns.  Cases as in ``format_all``.
+    Turns stream through in sorted order, so with a ``concatenative`` template a conversation may
+    be longer than memory: its task holds one Arrow batch and a short window of turns.  With any
+    other template it holds the conversation.  Cases as in ``format_all``.
     """
 
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewriting"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: _Digest | None = None
@@ -174,13 +202,13 @@ def digests(conversations: DataFrame) -> DataFrame:
                 if current is None or c != current.conv:
                     if current is not None:
                         done.append(current.row())
-                    current = _Digest(c)
+                    current = _Digest(c, template, reader)
                 current.add(role or "", text or "")
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x)) if i else pa.array(list(x), pa.int64()) for i, x in enumerate(zip(*done))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*done), kinds)], names=names)
         if current is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) if i else pa.array([x], pa.int64()) for i, x in enumerate(current.row())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(current.row(), kinds)], names=names)
 
     return in_order(conversations).mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewriting array<long>"
     )

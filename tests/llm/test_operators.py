@@ -561,3 +561,20 @@ def test_rewriting_templates_are_detected():
     assert rewriting == [2] and spans[0] == (0, 7)
     steps = chat.Incremental(last_only)
     assert [steps.add(t)[1] for t in turns] == [True, True, False] and steps.rewrites == 1
+
+
+def test_rewriting_after_many_turns_is_reported(spark):
+    def last_forty(turns):
+        return chat.markup(turns[-40:])
+
+    turns = [("assistant" if i % 2 else "user", f"t{i}") for i in range(60)]
+    rewriting = chat.locate(last_forty, turns)[2]
+    assert rewriting == list(range(40, 60))
+    steps = chat.Incremental(last_forty)
+    assert [i for i, t in enumerate(turns) if not steps.add(t)[1]] == rewriting and steps.length == len(last_forty(turns))
+    frame = spark.createDataFrame([(c, i, r, t) for c, n in ((1, 60), (2, 35)) for i, (r, t) in enumerate(turns[:n])], "conv_id long, turn long, role string, text string")
+    got, full = keyed(chat.digests(frame, last_forty), "conv_id"), keyed(chat.format_all(frame, last_forty), "conv_id")
+    for c, n in ((1, 60), (2, 35)):
+        out = last_forty(turns[:n])
+        assert got[c]["rewriting"] == full[c]["rewriting"] == (rewriting if n == 60 else []) and full[c]["formatted"] == out
+        assert (got[c]["n_turns"], got[c]["formatted_chars"]) == (min(n, 40), len(out))
