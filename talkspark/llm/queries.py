@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from talkspark.llm import chat, embeddings, minhash, mixing, pieces, quality, rules, suffix, tokens, urls
+from talkspark.llm import chat, embeddings, minhash, mixing, pieces, quality, rules, sharding, suffix, tokens, trie, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,6 +181,107 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16)
+
+
+#: The steps of ``sharding.shuffled`` and the draws of ``hypergeometric.deal``, for up to 256 partitions.
+SHARD_SQL = """
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), b) ORDER BY b) AS tab FROM range(256) r(b)),
+d AS (
+  SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, md5(text) AS print,
+    xor(4294967295, coalesce(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
+      lambda c, x: xor(c >> 8, tab[xor(c, x) % 256 + 1]), 4294967295::BIGINT), 4294967295)) AS text_crc32
+  FROM documents, tab),
+g AS (
+  SELECT *, md5(concat_ws('|', 'shard', coalesce(doc_id::VARCHAR, '-'), size, text_crc32, coalesce(print, '-'))) AS digest,
+    unnest(range(0, n)) AS nth FROM (SELECT doc_id, size, text_crc32, print, count(*) AS n FROM d GROUP BY ALL)),
+z AS (SELECT count(*) AS total, greatest(1, ceil(count(*) / {partition_rows}))::BIGINT AS parts FROM g),
+l AS (
+  SELECT *, (('0x' || substr(md5(concat_ws('|', digest, 'leaf', nth // 1024)), 1, 8))::BIGINT * parts) >> 32 AS leaf FROM g, z),
+y AS (
+  SELECT list(coalesce(n, 0) ORDER BY i) AS sizes FROM z, unnest(range(0, parts)) u(i)
+  LEFT JOIN (SELECT leaf, count(*) AS n FROM l GROUP BY leaf) x ON x.leaf = i),
+m AS (
+  SELECT -1 AS t, NULL::BIGINT AS v, list_transform(range(8), lambda j: total // 8 + (j < total % 8)::BIGINT) AS counts, total AS n, sizes[1] AS d,
+    []::BIGINT[] AS x, sizes, parts FROM z, y
+  UNION ALL
+  SELECT t, v, CASE WHEN i = 7 THEN list_transform(list_zip(counts, x || [v]), lambda e: e[1] - e[2]) ELSE counts END,
+    CASE WHEN i = 7 THEN n_all - d_all ELSE n - k END, CASE WHEN i = 7 THEN sizes[t // 8 + 2] ELSE d - v END,
+    CASE WHEN i = 7 THEN [] ELSE x || [v] END, sizes, parts
+  FROM (SELECT *, list_sum(counts)::BIGINT AS n_all, sizes[t // 8 + 1] AS d_all, coalesce(
+      list_reduce(down, lambda a, x: {{'w': {down}, 'c': a.c + {down}, 'x': coalesce(a.x, CASE WHEN a.c + {down} >= aim THEN x END)}},
+        {{'w': 1e0, 'c': f.c, 'x': f.x}}).x, mode) AS v
+    FROM (SELECT *, list_reduce(up, lambda a, x: {{'w': {up}, 'c': a.c + {up}, 'x': coalesce(a.x, CASE WHEN a.c + {up} >= aim THEN x END)}},
+        {{'w': 1e0, 'c': 1e0, 'x': CASE WHEN aim <= 1e0 THEN mode END}}) AS f
+      FROM (SELECT *, u * (1e0 + list_reduce(up, lambda a, x: {{'w': {up}, 'c': a.c + {up}}}, {{'w': 1e0, 'c': 0e0}}).c
+          + list_reduce(down, lambda a, x: {{'w': {down}, 'c': a.c + {down}}}, {{'w': 1e0, 'c': 0e0}}).c) AS aim
+        FROM (SELECT *, range(mode + 1, least(d, k, mode + w) + 1) AS up, range(mode - 1, greatest(0, d + k - n, mode - w) - 1, -1) AS down
+          FROM (SELECT *, least(greatest(floor((d + 1e0) * (k + 1e0) / (n + 2e0))::BIGINT, d + k - n, 0), d, k) AS mode,
+              (ceil(12 * sqrt(d * (k / greatest(n, 1e0)) * (1 - k / greatest(n, 1e0)))) + 12)::BIGINT AS w
+            FROM (SELECT t + 1 AS t, (t + 1) % 8 AS i, counts, n, d, x, sizes, parts, counts[(t + 1) % 8 + 1] AS k,
+                ('0x' || substr(md5(concat_ws('|', 'shard', '0', 0, (t + 1) // 8, (t + 1) % 8)), 1, 13))::BIGINT / 4503599627370496e0 AS u
+              FROM m WHERE t + 1 < parts * 8))))))),
+e AS (SELECT t // 8 AS leaf, list(v ORDER BY t) AS counts FROM m WHERE t >= 0 GROUP BY t // 8),
+s AS (SELECT leaf, list_transform(range(1, 9), lambda j: list_sum(counts[1:j])::BIGINT) AS stops FROM e),
+p AS (
+  SELECT l.*, row_number() OVER (PARTITION BY leaf ORDER BY md5(concat_ws('|', digest, 'first', nth)), digest, nth) - 1 AS place FROM l),
+q AS (
+  SELECT doc_id, size, text_crc32, digest, nth, len(list_filter(stops, lambda x: x <= place))::INT AS shard FROM p JOIN s USING (leaf))
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws('|', digest, 'second', nth)), digest, nth) - 1 AS slot, NULL::INT AS grown_shard
+FROM q
+"""
+_UP = "a.w * ((k - x + 1e0) * (d - x + 1e0)) / (x * (n - k - d + x::DOUBLE))"
+_DOWN = "a.w * ((x + 1e0) * (n - k - d + x + 1e0)) / ((k - x::DOUBLE) * (d - x::DOUBLE))"
+
+
+def shard_sql(partition_rows: int = 4096) -> str:
+    return SHARD_SQL.format(up=_UP, down=_DOWN, partition_rows=partition_rows)
+
+
+@query("op12_sharding", shard_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
+TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, count(*) AS k, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+    list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT),
+    lambda v, b: list_reduce(range(8), lambda w, j: xor(w >> 1, 3988292384 * (w & 1)), xor(v, b)), 4294967295::BIGINT)) % 6 AS h
+  FROM t GROUP BY conv_id),
+b AS (SELECT c.*, least(c.h, coalesce(x.k, 0)) AS taken FROM c LEFT JOIN c x ON x.conv_id = c.base),
+r AS (
+  SELECT b.conv_id, n AS depth, role, text FROM b JOIN t ON t.conv_id = b.base AND n <= taken
+  UNION ALL SELECT b.conv_id, taken + n - h, role, text FROM b JOIN t ON t.conv_id = b.conv_id AND n > h),
+p AS (
+  SELECT conv_id, depth, length(text) AS chars, string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+v AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS saved FROM p GROUP BY path, depth),
+f AS (SELECT path, string_agg(conv_id, ',' ORDER BY conv_id) AS ends FROM (SELECT arg_max(path, depth) AS path, conv_id FROM p GROUP BY conv_id) GROUP BY path),
+k AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n FROM v WHERE depth > 0 GROUP BY 1),
+s AS (
+  SELECT v.path, count(*) FILTER (k.n IS NULL) AS n_leaves, sum(x.saved)::BIGINT AS saved_tokens
+  FROM v JOIN v x ON starts_with(x.path, v.path) LEFT JOIN k ON k.path = x.path GROUP BY v.path)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0) AS n_children, n_leaves, saved_tokens,
+  sha256(coalesce(ends, '')) AS ends_sha256
+FROM v JOIN s USING (path) LEFT JOIN f USING (path) LEFT JOIN k USING (path)
+LEFT JOIN v u ON v.depth > 0 AND u.path = left(v.path, length(v.path) - 32)
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
