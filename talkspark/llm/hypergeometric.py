@@ -7,10 +7,10 @@ category as a uniform draw without replacement would give it.  Leaves are dealt
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FAN = 256
+FAN = 16
 
 #: A draw by inversion: ``s`` has n (all), k (marked), d (drawn) and u in [0, 1).  Outcomes are
 #: visited from the mode upwards, then downwards, within 12 standard deviations.
@@ -51,6 +51,11 @@ def fraction(text: str) -> str:
     return f"cast(conv(substring(md5({text}), 1, 13), 16, 10) as bigint) / 4503599627370496D"
 
 
+def draw(n: str, k: str, d: str, u: str) -> str:
+    """SQL for a draw: how many of ``d`` items drawn from ``n`` are among the ``k`` marked ones."""
+    return f"element_at(transform(array(named_struct('n', {n}, 'k', {k}, 'd', {d}, 'u', {u})), s -> {_DRAW}), 1)"
+
+
 def split(nodes: DataFrame, seed: str, level: int) -> DataFrame:
     """``node, counts`` of all children of ``nodes`` (node, counts, sizes): child c of node k is k * FAN + c."""
     uniform = fraction(f"concat_ws('|', '{seed}', '{level}', node, c, i)")
@@ -60,18 +65,19 @@ def split(nodes: DataFrame, seed: str, level: int) -> DataFrame:
     )
 
 
-def deal(leaves: DataFrame, n_leaves: int, totals: Column, seed: str) -> DataFrame:
+def deal(leaves: DataFrame, n_leaves: int, totals: DataFrame, seed: str) -> DataFrame:
     """``leaf, counts``: how many of each category every leaf takes.
 
-    ``leaves`` has ``leaf`` (0 to ``n_leaves`` - 1, a row each) and ``size``; ``totals`` is an
-    array of category counts with the same sum, as long as a row may be.  Counts of a leaf add up
-    to its size and counts of a category to its total, exactly.  A level of the tree is one join
-    of its nodes with their children's sizes, at most ``FAN`` a node.
+    ``leaves`` has ``leaf`` (0 to ``n_leaves`` - 1, a row each) and ``size``; ``totals`` is one row
+    with ``counts``, an array of category counts with the same sum.  Counts of a leaf add up to
+    its size and counts of a category to its total, exactly.  A level of the tree is one join of
+    its nodes with their children's sizes, at most ``FAN`` a node; its expression stands in the
+    plan once a level.  A draw takes as many steps as 24 standard deviations of its outcome.
     """
     sizes = [leaves.select(F.col("leaf").alias("node"), "size")]
     while FAN ** len(sizes) < n_leaves:
         sizes.append(sizes[-1].groupBy(F.expr(f"node div {FAN}").alias("node")).agg(F.sum("size").alias("size")))
-    nodes = leaves.sparkSession.range(0, 1, 1, 1).select(F.col("id").alias("node"), totals.cast("array<bigint>").alias("counts"))
+    nodes = totals.select(F.lit(0).cast("long").alias("node"), F.col("counts").cast("array<bigint>").alias("counts"))
     for level in reversed(range(len(sizes))):
         children = (
             sizes[level]

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkspark.llm import arrow, links
+from talkspark.llm.names import fresh
 from talkspark.llm.store import keep
 
 
@@ -350,9 +351,10 @@ def one_of_each_group(docs: DataFrame, percent: int = 80) -> DataFrame:
     held against the others like any row; ties go by row number.  Rows without words link with
     nothing and stay.
     """
-    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent)
-    groups = keep(groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")))
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
-    first = rows.select("doc_id", "_row").join(groups, "_row").groupBy("_group").agg(F.min(order)["_row"].alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    row, group, first = (fresh(c, docs.columns) for c in ("row", "group", "first"))
+    rows = keep(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent)
+    groups = keep(groups.select(F.col("doc_id").alias(row), F.col("component_id").alias(group)))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(row).alias("number"))
+    chosen = rows.select("doc_id", row).join(groups, row).groupBy(group).agg(F.min(order).alias(first)).select(F.col(first)["number"].alias(row))
+    return rows.join(chosen, row, "left_semi").select(*docs.columns)

@@ -17,9 +17,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talkspark.functions.lineage import cut
+from talkspark.functions.ordered import running
+from talkspark.llm.hypergeometric import deal
+from talkspark.llm.hypergeometric import draw as hypergeometric  # noqa: F401
+from talkspark.llm.names import fresh
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5, 2, 1)
+#: Parts that the rows of one source are dealt to when they meet the row of the source.
+SALTS = 64
+
+
+def by_source(rows: DataFrame, sources: DataFrame, on: str, spread: tuple[str, ...]) -> DataFrame:
+    """``rows`` joined with a row per source on ``on`` (null equals null); a large source is many keys.
+
+    ``sources`` is a catalogue; it is copied once for each of ``SALTS`` parts.
+    """
+    salted = rows.withColumn("part", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    copies = sources.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed(on, "joined")
+    joined = salted.join(copies, (salted["part"] == copies["part"]) & salted[on].eqNullSafe(copies["joined"]))
+    return joined.drop("part", "joined")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -67,7 +84,7 @@ def blocks(documents: DataFrame, sources: DataFrame, block_words: int | None, se
     words = size if block_words is None else F.least(F.lit(block_words), size - first)
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("nth"), F.col("block")))
     return (
-        documents.join(sources.select("sid", "source", "source_size", "target"), documents["source"].eqNullSafe(sources["source"]))
+        by_source(documents, sources.select("sid", "source", "source_size", "target"), "source", ("doc_id", "print", "nth"))
         .drop("source")
         .where(size > 0)
         .withColumn("block", F.explode(F.sequence(F.lit(0), count - 1)))
@@ -86,7 +103,7 @@ def ranked(cut_blocks: DataFrame, bucket_rows: int = 50_000) -> DataFrame:
     lead = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     counts = cut_blocks.groupBy("sid").agg(F.count("*").alias("n_blocks"))
     buckets = F.ceil(F.col("n_blocks") / bucket_rows)
-    keyed = cut_blocks.join(counts, "sid").withColumn("bucket", F.shiftright(lead * buckets, 32))
+    keyed = by_source(cut_blocks, counts, "sid", ("key",)).withColumn("bucket", F.shiftright(lead * buckets, 32))
     running = W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = (
         keyed.groupBy("sid", "bucket")
@@ -119,88 +136,21 @@ def drawn(in_order: DataFrame) -> DataFrame:
     )
 
 
-#: Draw from a hypergeometric law by inversion: s has n (all), k (marked), d (drawn) and u in [0, 1).
-#: Outcomes are visited from the mode upwards, then downwards, within 12 standard deviations.
-_DRAW = """
-element_at(transform(array(named_struct(
-    'm', cast(floor((s.d + 1D) * (s.k + 1D) / (s.n + 2D)) as bigint),
-    'w', cast(ceil(12 * sqrt(s.d * (s.k / greatest(s.n, 1D)) * (1 - s.k / greatest(s.n, 1D)))) + 12 as bigint))), p ->
-  element_at(transform(array(named_struct(
-      'm', least(greatest(p.m, s.d + s.k - s.n, 0L), s.d, s.k),
-      'up', if(least(s.d, s.k, p.m + p.w) > p.m, sequence(p.m + 1, least(s.d, s.k, p.m + p.w)), cast(array() as array<bigint>)),
-      'down', if(greatest(0L, s.d + s.k - s.n, p.m - p.w) < p.m, sequence(p.m - 1, greatest(0L, s.d + s.k - s.n, p.m - p.w)), cast(array() as array<bigint>)))), q ->
-    element_at(transform(array(s.u * (1D
-        + aggregate(q.up, named_struct('w', 1D, 'c', 0D), (a, k) -> named_struct(
-            'w', a.w * ((s.k - k + 1D) * (s.d - k + 1D)) / (k * (s.n - s.k - s.d + cast(k as double))),
-            'c', a.c + a.w * ((s.k - k + 1D) * (s.d - k + 1D)) / (k * (s.n - s.k - s.d + cast(k as double)))), a -> a.c)
-        + aggregate(q.down, named_struct('w', 1D, 'c', 0D), (a, k) -> named_struct(
-            'w', a.w * ((k + 1D) * (s.n - s.k - s.d + k + 1D)) / ((s.k - cast(k as double)) * (s.d - cast(k as double))),
-            'c', a.c + a.w * ((k + 1D) * (s.n - s.k - s.d + k + 1D)) / ((s.k - cast(k as double)) * (s.d - cast(k as double)))), a -> a.c))), aim ->
-      aggregate(q.down,
-        aggregate(q.up, named_struct('w', 1D, 'c', 1D, 'x', if(aim <= 1D, q.m, cast(null as bigint))), (a, k) -> named_struct(
-            'w', a.w * ((s.k - k + 1D) * (s.d - k + 1D)) / (k * (s.n - s.k - s.d + cast(k as double))),
-            'c', a.c + a.w * ((s.k - k + 1D) * (s.d - k + 1D)) / (k * (s.n - s.k - s.d + cast(k as double))),
-            'x', coalesce(a.x, if(a.c + a.w * ((s.k - k + 1D) * (s.d - k + 1D)) / (k * (s.n - s.k - s.d + cast(k as double))) >= aim, k, null))),
-            a -> named_struct('w', 1D, 'c', a.c, 'x', a.x)),
-        (a, k) -> named_struct(
-            'w', a.w * ((k + 1D) * (s.n - s.k - s.d + k + 1D)) / ((s.k - cast(k as double)) * (s.d - cast(k as double))),
-            'c', a.c + a.w * ((k + 1D) * (s.n - s.k - s.d + k + 1D)) / ((s.k - cast(k as double)) * (s.d - cast(k as double))),
-            'x', coalesce(a.x, if(a.c + a.w * ((k + 1D) * (s.n - s.k - s.d + k + 1D)) / ((s.k - cast(k as double)) * (s.d - cast(k as double))) >= aim, k, null))),
-        a -> coalesce(a.x, q.m))), 1)), 1)), 1)
-"""
-
-
-def hypergeometric(n: str, k: str, d: str, u: str) -> str:
-    """SQL for a draw: how many of ``d`` items drawn from ``n`` are among the ``k`` marked ones."""
-    return f"element_at(transform(array(named_struct('n', {n}, 'k', {k}, 'd', {d}, 'u', {u})), s -> {_DRAW}), 1)"
-
-
-def split(nodes: DataFrame, seed: str) -> DataFrame:
-    """Both halves of each node (``node, shards, counts``); a node with one shard stays."""
-    uniform = f"shiftrightunsigned(xxhash64('{seed}', node, first_shard, shards, i), 11) / 9007199254740992D"
-    draw = hypergeometric("a.n", "counts[i]", "a.d", uniform)
-    left = f"""
-        aggregate(sequence(0, size(counts) - 1),
-          named_struct('n', total, 'd', total * left_shards div shards, 'x', cast(array() as array<bigint>)),
-          (a, i) -> element_at(transform(array({draw}), x -> named_struct('n', a.n - counts[i], 'd', a.d - x, 'x', concat(a.x, array(x)))), 1),
-          a -> a.x)"""
-    halves = (
-        nodes.withColumn("total", F.expr("aggregate(counts, 0L, (a, c) -> a + c)"))
-        .withColumn("left_shards", F.expr("shards div 2"))
-        .withColumn("left", F.expr(f"if(shards = 1, counts, {left})"))
-    )
-    return halves.withColumn(
-        "half",
-        F.expr(
-            """if(shards = 1, array(named_struct('node', node, 'first_shard', first_shard, 'shards', shards, 'counts', counts)),
-              array(named_struct('node', 2 * node, 'first_shard', first_shard, 'shards', left_shards, 'counts', left),
-                    named_struct('node', 2 * node + 1, 'first_shard', first_shard + left_shards, 'shards', shards - left_shards,
-                                 'counts', zip_with(counts, left, (c, l) -> c - l))))"""
-        ),
-    ).select(F.explode("half").alias("h")).select("h.*")
-
-
-def quotas(per_source: DataFrame, shards: int, seed: str) -> DataFrame:
+def quotas(per_source: DataFrame, shards: int, total: int, seed: str) -> DataFrame:
     """``sid, shard, start, stop``: the range of each source's numbers that each shard takes.
 
-    A node is one row with a count per source (sources are a catalogue, not data).  The levels of
-    the tree are one lazy plan; from 256 nodes on, the nodes are dealt over the cluster.
+    A node of the tree is one row with a count per source (sources are a catalogue, not data).
+    Nodes are split from the root on by separate tasks, and a source's ranges are summed in blocks.
     """
-    root = per_source.agg(F.sort_array(F.collect_list(F.struct("sid", "n"))).alias("all")).select(
-        F.lit(1).cast("long").alias("node"),
-        F.lit(0).cast("long").alias("first_shard"),
-        F.lit(shards).cast("long").alias("shards"),
-        F.col("all.n").alias("counts"),
-        F.col("all.sid").alias("sids"),
+    root = per_source.agg(F.sort_array(F.collect_list(F.struct("sid", "n"))).alias("all"))
+    counts, sids = root.select(F.col("all.n").alias("counts")), root.select(F.posexplode("all.sid").alias("at", "sid"))
+    leaves = per_source.sparkSession.range(0, shards).select(
+        F.col("id").alias("leaf"), F.expr(f"{total}L * (id + 1) div {shards} - {total}L * id div {shards}").alias("size")
     )
-    nodes, sids = root.where("size(counts) > 0").select("node", "first_shard", "shards", "counts"), root.select(F.posexplode("sids").alias("at", "sid"))
-    for level in range(math.ceil(math.log2(max(1, shards)))):
-        nodes = split(nodes, seed)
-        if level == 8:
-            nodes = nodes.repartition("node")
-    leaves = nodes.select(F.col("first_shard").alias("shard"), F.posexplode("counts").alias("at", "n"))
-    stop = F.sum("n").over(W.partitionBy("sid").orderBy("shard"))
-    return leaves.join(sids, "at").select("sid", "shard", (stop - F.col("n")).alias("start"), stop.alias("stop")).where("stop > start")
+    dealt = deal(leaves, shards, counts.where("size(counts) > 0"), seed)
+    cells = dealt.select(F.col("leaf").alias("shard"), F.posexplode("counts").alias("at", "n")).join(sids, "at")
+    stops = running(cells, "sid", "shard", {"stop": ("sum", F.col("n"))})
+    return stops.select("sid", "shard", (F.col("stop") - F.col("n")).alias("start"), "stop").where("stop > start")
 
 
 def mix(
@@ -221,45 +171,59 @@ def mix(
     total = per_source.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / shard_blocks))
     chunk = shard_blocks
-    ranges = quotas(per_source, shards, seed).withColumn(
+    ranges = quotas(per_source, shards, total, seed).withColumn(
         "chunk", F.explode(F.sequence(F.expr(f"start div {chunk}"), F.expr(f"(stop - 1) div {chunk}")))
     )
     placed = taken.withColumn("chunk", F.expr(f"v div {chunk}")).join(ranges, ["sid", "chunk"]).where("v >= start and v < stop")
-    shuffle = F.xxhash64(F.lit(seed), F.lit("place"), "sid", "v")
+    shuffle = F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), "sid", "v"))
     return placed.withColumn("place", F.row_number().over(W.partitionBy("shard").orderBy(shuffle, "sid", "v"))).drop("start", "stop", "chunk", "v")
 
 
-def mixed_words(docs: DataFrame, block_words: int | None = 256, **options) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for each row of ``docs``.
+def mixed_words(docs: DataFrame, block_words: int | None = 256, shard_blocks: int = 4096, **options) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, n_shards, places`` for each row of ``docs``.
 
     ``size`` is the number of words (null text: 0); ``taken`` sums the words of all blocks that
-    shards take, repeats counted, and is 0 for a document that the mix leaves out.  A null source
-    is a source; null ids and repeated rows keep a row each; other columns are not read; an empty
-    table gives an empty result; if no document has words, targets and taken are 0.
+    shards take, repeats counted, and is 0 for a document that the mix leaves out.  ``n_shards``
+    is the number of shards that hold a block of it, ``places`` the sum of the positions of these
+    blocks in the mix (shard times ``shard_blocks`` plus place).  A null source is a source; null
+    ids and repeated rows keep a row each; other columns are not read; an empty table gives an
+    empty result; if no document has words, targets and taken are 0.
     """
     documents = cut(sized(docs))
     sources = cut(targets(documents))
-    pieces = mix(documents, sources, block_words, **options)
+    pieces = mix(documents, sources, block_words, shard_blocks, **options)
     keys = ["doc_id", "print", "nth", "sid", "size"]
-    all_docs = documents.join(sources, documents["source"].eqNullSafe(sources["source"])).select(*keys, F.lit(0).cast("long").alias("n_words"))
-    per_doc = all_docs.unionByName(pieces.select(*keys, "n_words")).groupBy(*keys).agg(F.sum("n_words").alias("taken"))
-    return per_doc.join(sources, "sid").select("doc_id", "size", "source_size", "target", "taken")
+    numbered = by_source(documents, sources.select("sid", "source"), "source", ("doc_id", "print", "nth"))
+    none = F.lit(None).cast("long")
+    all_docs = numbered.select(*keys, F.lit(0).cast("long").alias("n_words"), none.alias("shard"), F.lit(0).cast("long").alias("position"))
+    found = pieces.select(*keys, "n_words", "shard", (F.col("shard") * shard_blocks + F.col("place") - 1).alias("position"))
+    per_shard = all_docs.unionByName(found).groupBy(*keys, "shard").agg(F.sum("n_words").alias("taken"), F.sum("position").alias("places"))
+    per_doc = per_shard.groupBy(*keys).agg(F.sum("taken").alias("taken"), F.count("shard").alias("n_shards"), F.sum("places").alias("places"))
+    totals = sources.select("sid", "source_size", "target")
+    return by_source(per_doc, totals, "sid", ("doc_id", "print", "nth")).select(
+        "doc_id", "size", "source_size", "target", "taken", "n_shards", "places"
+    )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` as the mix takes them, whole documents as blocks, a row per copy, by shard and place."""
-    row = docs.withColumns({"_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_print": F.xxhash64("text")})
-    same = W.partitionBy("doc_id", "source", "_print", "_size").orderBy("_size")
+    """Rows of ``docs`` as the mix takes them, whole documents as blocks, a row per copy, with shard and place.
+
+    ``docs`` keeps its columns; if it has one of these names, the new column's gets an underscore.
+    """
+    names = docs.columns
+    size, mark, nth = (fresh(c, names) for c in ("words_of_row", "print_of_row", "nth_of_row"))
+    shard, place = fresh("shard", names), fresh("place", names)
+    row = docs.withColumns({size: F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), mark: F.xxhash64("text")})
+    same = W.partitionBy("doc_id", "source", mark, size).orderBy(size)
     documents = cut(sized(docs))
     sources = cut(targets(documents))
     pieces = mix(documents, sources, None, **options).join(sources.select("sid", "source"), "sid")
-    pieces = pieces.select("doc_id", F.col("source").alias("_source"), "print", "nth", "shard", "place").withColumnRenamed("doc_id", "_doc")
-    numbered = row.withColumn("_nth", F.row_number().over(same))
+    numbered = row.withColumn(nth, F.row_number().over(same))
     on = (
-        numbered["doc_id"].eqNullSafe(pieces["_doc"])
-        & (numbered["_print"] == pieces["print"])
-        & (numbered["_nth"] == pieces["nth"])
-        & numbered["source"].eqNullSafe(pieces["_source"])
+        numbered["doc_id"].cast("long").eqNullSafe(pieces["doc_id"])
+        & (numbered[mark] == pieces["print"])
+        & (numbered[nth] == pieces["nth"])
+        & numbered["source"].eqNullSafe(pieces["source"])
     )
     joined = numbered.join(pieces, on)
-    return joined.select(*[joined[c] for c in docs.columns], "shard", "place")
+    return joined.select(*[numbered[c] for c in names], pieces["shard"].alias(shard), pieces["place"].alias(place))

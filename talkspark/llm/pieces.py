@@ -6,8 +6,9 @@ with its share of that weight.  Draws depend on the row key and the place alone,
 same on every run and in every partitioning.
 
 No piece holds a space behind another character, so the lattice falls apart into chunks (spaces
-and the word behind them).  The edges of all chunks of a slice are found, filtered and sampled
-together with numpy, by place within the chunk; chunks over ``LONG`` bytes go one by one.
+and the word behind them).  The lattices of the distinct chunks of a slice are found and filtered
+together with numpy, by place within the chunk; then every chunk draws from the lattice of its
+kind.  Chunks over ``LONG`` bytes go one by one, by the same law and the same draws.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 from talkspark.llm import arrow
 
 SPACE = "\u2581"
-LONG = 48
+LONG = 48  # at most 1,000, as places within a chunk are sorted as 16-bit numbers
 #: Weights are multiplied by this per byte, which changes no share and keeps sums in range.
 LIFT = math.exp(3.5)
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 20
+#: Places of distinct chunks whose lattices a task keeps, some 60 bytes each.
+KEPT = 1 << 21
 
 
 class Lattices:
@@ -78,6 +81,7 @@ class Lattices:
         data = np.frombuffer(b"".join(names), np.uint8)
         stop = np.cumsum([len(p) for p in names])
         hashes = self._hash(arrow.prefix_hash(data), stop - [len(p) for p in names], stop)
+        self._forget()
         self.probes = 1
         for h, p in zip(hashes.tolist(), names):
             at = h >> (64 - self.bits)
@@ -135,96 +139,29 @@ class Lattices:
         text = np.searchsorted(begin, start, "right") - 1
         draw = arrow.mix(keys[full][text] + (start - begin[text]).astype(np.uint64))
         n = len(data)
-        # piece that ends a path's step at each place: kept as (end place -> id) per length
-        chunk_of = np.repeat(np.arange(len(start)), size)
-        inside = np.arange(n) - start[chunk_of]
-        short = size <= LONG
-        rest = np.where(short[chunk_of], size[chunk_of] - inside, 0)
-        prefix = arrow.prefix_hash(data)
-        ends_in: dict[int, np.ndarray] = {}
-        all_end, all_len, all_id = [], [], []
-        live = np.flatnonzero(rest > 0)
-        single = np.zeros(n, bool)
-        lead = (data & 0xC0) != 0x80
-        after = np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, np.where(data >= 0xC0, 2, 1)))
-        for length in self.lengths:
-            live = live[rest[live] >= length]
-            if not len(live):
-                break
-            hit, ids = self._found(self._hash(prefix, live, live + length))
-            place = live[hit]
-            single[place[after[place] == length]] = True
-            own = ends_in.setdefault(length, np.full(n + 1, -1, np.int32))
-            own[place + length] = ids
-            all_end.append(place + length)
-            all_len.append(np.full(len(place), length, np.int64))
-            all_id.append(ids)
-        none = np.flatnonzero(lead & ~single & (rest > 0))
-        width = np.minimum(after[none], rest[none])
-        for length in (1, 2, 3, 4):
-            place = none[width == length]
-            if len(place):
-                own = ends_in.setdefault(length, np.full(n + 1, -1, np.int32))
-                own[place + length] = -2  # its bytes, one piece each
-                all_end.append(place + length)
-                all_len.append(np.full(len(place), length, np.int64))
-                all_id.append(np.full(len(place), -2, np.int32))
-        end, length, ids = map(np.concatenate, (all_end, all_len, all_id)) if all_end else (np.zeros(0, np.int64),) * 3
-        by_byte = self.byte_weight ** np.arange(5)
-        weight = np.where(ids >= 0, self.weight[np.maximum(ids, 0)], by_byte[np.minimum(length, 4)])
-        # forward: by place within the chunk, and length, so that no place comes twice in a group
-        group = (inside[end - 1] + 1) * 64 + np.minimum(length, 63)
-        order = np.argsort(group.astype(np.uint16), kind="stable")
-        end, length, weight, group = end[order], length[order], weight[order], group[order]
-        total = np.zeros(n + 1)
-        reached = np.zeros(n + 1)  # at a chunk's begin the way is free; sums of other places follow
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            e, back = end[a:b], end[a:b] - length[a:b]
-            before = np.where(inside[back] == 0, 1.0, reached[back])
-            reached[e] += before * weight[a:b]
-        # ``reached`` of a chunk's end is a place of its own: the next chunk's begin is told by ``inside``
-        del total
-        lengths = sorted(ends_in)
-        where = np.flatnonzero(short)
-        place, step = edges[1:][where].copy(), 0
-        seed = draw[where]
-        who = np.arange(len(where))
+        where = np.flatnonzero(size <= LONG)
+        kind = self._kinds(data, start[where], size[where])
+        first_edge, width, lengths, ids, upto = self.known
+        base = self.homes[kind]
+        place, step = base + width[kind], 0
+        seed, who = draw[where], np.arange(len(where))
         rounds = []
         while len(place):
             u = ((arrow.mix(seed[who] + np.uint64(2 * step + 1)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-            aim = u * reached[place]
-            first = start[where[who]]
-            taken = np.zeros(len(place), np.int64)
-            piece = np.zeros(len(place), np.int32)
-            open_ = np.arange(len(place))
-            for size_ in lengths:
-                open_ = open_[place[open_] - first[open_] >= size_]
-                if not len(open_):
-                    break
-                at = place[open_]
-                own = ends_in[size_][at]
-                have = np.flatnonzero(own != -1)
-                if not len(have):
-                    continue
-                spot = open_[have]
-                back = at[have] - size_
-                w = np.where(own[have] >= 0, self.weight[np.maximum(own[have], 0)], by_byte[min(size_, 4)])
-                aim[spot] -= np.where(back == first[spot], 1.0, reached[back]) * w
-                # the last edge that was passed stays as the choice if rounding leaves a rest
-                usable = (back == first[spot]) | (reached[back] > 0)
-                taken[spot[usable]], piece[spot[usable]] = size_, own[have][usable]
-                open_ = open_[aim[open_] > 0]
-            rounds.append((where[who], place, taken, piece))
+            # Edges that end at a place stand together; the first whose summed share reaches u is drawn.
+            edge = first_edge[place]
+            open_ = np.flatnonzero(upto[edge] < u)
+            while len(open_):
+                edge[open_] += 1
+                open_ = open_[upto[edge[open_]] < u[open_]]
+            taken = lengths[edge].astype(np.int64)
+            rounds.append((start[where[who]] + place - base[who], taken, ids[edge]))
             place = place - taken
-            on = place > first
+            on = place > base[who]
             who, place, step = who[on], place[on], step + 1
-        chunk = np.concatenate([r[0] for r in rounds] or [np.zeros(0, np.int64)])
-        stop = np.concatenate([r[1] for r in rounds] or [np.zeros(0, np.int64)])
-        took = np.concatenate([r[2] for r in rounds] or [np.zeros(0, np.int64)])
-        piece = np.concatenate([r[3] for r in rounds] or [np.zeros(0, np.int32)])
+        stop = np.concatenate([r[0] for r in rounds] or [np.zeros(0, np.int64)])
+        took = np.concatenate([r[1] for r in rounds] or [np.zeros(0, np.int64)])
+        piece = np.concatenate([r[2] for r in rounds] or [np.zeros(0, np.int32)])
         # one slot per place: the piece that ends there, or the byte piece of the byte before it
         out = np.full(n + 1, -1, np.int32)
         normal = piece >= 0
@@ -233,7 +170,7 @@ class Lattices:
             own = stop[~normal & (took == size_)]
             for k in range(size_):
                 out[own - k] = self.byte_ids[data[own - k - 1]]
-        for i in np.flatnonzero(~short):
+        for i in np.flatnonzero(size > LONG):
             for at, piece_id in self._one(data[start[i] : start[i] + size[i]].tobytes(), int(draw[i])):
                 out[start[i] + at] = piece_id
         slots = np.flatnonzero(out >= 0)
@@ -243,33 +180,140 @@ class Lattices:
         at[full + 1] = np.diff(np.concatenate([[0], number]))
         return out[slots], np.cumsum(at)
 
+    def _kinds(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Number of each chunk's lattice; those not met before are found and kept.
+
+        Equal chunks have equal lattices, so a task keeps up to ``KEPT`` bytes of distinct chunks
+        and begins anew beyond that.  What is kept changes no draw.
+        """
+        name, sample, kind = np.unique(arrow.span_hash(arrow.prefix_hash(data), start, start + size), return_index=True, return_inverse=True)
+        if len(self.known[0]) > KEPT:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.names, name), max(0, len(self.names) - 1))
+        new = self.names[at] != name if len(self.names) else np.ones(len(name), bool)
+        if new.any():
+            width = size[sample[new]]
+            home = np.cumsum(width) - width
+            own = data[np.repeat(start[sample[new]] - home, width) + np.arange(int(width.sum()))]
+            first_edge, lengths, ids, upto = self._lattice(own, home, width)
+            places, edges, had = len(self.known[0]), len(self.known[2]), len(self.homes)
+            parts = (first_edge + edges, width, lengths.astype(np.uint8), ids.astype(np.int32), upto)
+            # A place more than bytes in a chunk: that of its end.
+            self.known = tuple(np.concatenate(pair) for pair in zip(self.known, parts))
+            self.homes = np.concatenate([self.homes, home + np.arange(len(home)) + places])
+            names, numbers = np.concatenate([self.names, name[new]]), np.concatenate([self.numbers, had + np.arange(len(home))])
+            order = np.argsort(names)
+            self.names, self.numbers = names[order], numbers[order]
+            at = np.searchsorted(self.names, name)
+        return self.numbers[at][kind]
+
+    def _forget(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.names, self.numbers, self.homes = np.zeros(0, np.uint64), none, none
+        self.known = (none, none, np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0))
+
+    def _lattice(self, data: np.ndarray, home: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Edges of the chunks at ``home``: number of the first that ends at each place (a chunk has
+        a place more than bytes), then length, piece (-2: single bytes) and summed share of each.
+
+        The share is that of the edge in all ways to the place where it ends, longest edge first:
+        forward filtering by place within the chunk, all chunks at once.
+        """
+        n = len(data)
+        chunk = np.repeat(np.arange(len(home)), width)
+        inside = np.arange(n) - home[chunk]
+        rest = width[chunk] - inside
+        prefix = arrow.prefix_hash(data)
+        all_end, all_len, all_id = [], [], []
+        live = np.arange(n)
+        single = np.zeros(n, bool)
+        lead = (data & 0xC0) != 0x80
+        after = np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, np.where(data >= 0xC0, 2, 1)))
+        for length in self.lengths:
+            live = live[rest[live] >= length]
+            if not len(live):
+                break
+            hit, ids = self._found(self._hash(prefix, live, live + length))
+            place = live[hit]
+            single[place[after[place] == length]] = True
+            all_end.append(place + length)
+            all_len.append(np.full(len(place), length, np.int64))
+            all_id.append(ids)
+        none = np.flatnonzero(lead & ~single)
+        wide = np.minimum(after[none], rest[none])
+        all_end.append(none + wide)
+        all_len.append(wide)
+        all_id.append(np.full(len(none), -2, np.int32))
+        end, length, ids = map(np.concatenate, (all_end, all_len, all_id))
+        weight = np.where(ids >= 0, self.weight[np.maximum(ids, 0)], (self.byte_weight ** np.arange(5))[np.minimum(length, 4)])
+        # By place within the chunk and length, so that no place comes twice in a group.
+        group = (inside[end - 1] + 1) * 64 + np.minimum(length, 63)
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        end, length, ids, weight, group = end[order], length[order], ids[order], weight[order], group[order]
+        reached, share = np.zeros(n + 1), np.zeros(len(end))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            back = end[a:b] - length[a:b]
+            # A chunk's begin is free; its place otherwise tells of the end of the chunk before.
+            if b > a:
+                share[a:b] = np.where(inside[back] == 0, 1.0, reached[back]) * weight[a:b]
+                reached[end[a:b]] += share[a:b]
+        able = share > 0
+        end, length, ids, share = end[able], length[able], ids[able], share[able]
+        order = np.argsort(end * 64 + 63 - np.minimum(length, 63), kind="stable")
+        end, length, ids, share = end[order], length[order], ids[order], share[order] / reached[end[order]]
+        place = end + chunk[end - 1]
+        first = np.searchsorted(place, np.arange(n + len(home)))
+        turn = np.arange(len(end)) - first[place]
+        for k in range(1, int(turn.max(initial=0)) + 1):
+            at = np.flatnonzero(turn == k)
+            share[at] += share[at - 1]
+        share[np.append(np.flatnonzero(np.diff(place)), len(place) - 1)] = 1.0
+        return first, length, ids, share
+
+    def _edges(self, chunk: bytes, i: int, longest: int) -> list[tuple[int, int, float]]:
+        """End, piece and log weight of the edges that begin at byte ``i``."""
+        n = len(chunk)
+        ways = [(j, p, math.log(self.weight[p])) for j in range(i + 1, min(n, i + longest) + 1) if (p := self.piece.get(chunk[i:j])) is not None]
+        width = self._width(chunk, i)
+        if width and all(j != i + width for j, _, _ in ways):
+            ways.append((i + width, -2, width * math.log(self.byte_weight)))
+        return ways
+
+    @staticmethod
+    def _width(chunk: bytes, i: int) -> int:
+        """Bytes of the character that begins at byte ``i``; 0 inside a character."""
+        c = chunk[i]
+        return 0 if c & 0xC0 == 0x80 else min(len(chunk) - i, 1 if c < 0xC0 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
+
     def _one(self, chunk: bytes, draw: int) -> list[tuple[int, int]]:
-        """The same draws for one long chunk: (end place, piece) pairs; log weights."""
+        """The same draws for one long chunk: (end place, piece) pairs; log weights.
+
+        Only the sums are kept, eight bytes a byte of the chunk; the walk back finds the edges anew.
+        """
         n, longest = len(chunk), self.lengths[-1]
         logs = np.full(n + 1, -np.inf)
         logs[0] = 0.0
-        into: list[list[tuple[float, int, int]]] = [[] for _ in range(n + 1)]
         for i in range(n):
-            if logs[i] == -np.inf:
-                continue
-            width = min(n - i, 1 if chunk[i] < 0xC0 else 2 if chunk[i] < 0xE0 else 3 if chunk[i] < 0xF0 else 4)
-            found = [(j, p) for j in range(i + 1, min(n, i + longest) + 1) if (p := self.piece.get(chunk[i:j])) is not None]
-            ways = [(j, p, math.log(self.weight[p])) for j, p in found]
-            if all(j != i + width for j, _ in found):
-                ways.append((i + width, -2, width * math.log(self.byte_weight)))
-            for j, p, w in ways:
-                into[j].append((logs[i] + w, i, p))
-                logs[j] = np.logaddexp(logs[j], logs[i] + w)
+            if logs[i] > -np.inf:
+                for j, _, w in self._edges(chunk, i, longest):
+                    logs[j] = np.logaddexp(logs[j], logs[i] + w)
         out = []
         j, step = n, 0
         while j > 0:
             u = (int(arrow.mix(np.array([(draw + 2 * step + 1) % 2**64], np.uint64))[0] >> np.uint64(11)) + 0.5) / 2.0**53
-            for w, i, p in into[j]:
-                u -= math.exp(w - logs[j])
+            back, piece = j, 0
+            for i in range(max(0, j - longest), j):
+                piece_of = self.piece.get(chunk[i:j])
+                if logs[i] == -np.inf or (piece_of is None and self._width(chunk, i) != j - i):
+                    continue
+                back, piece = i, -2 if piece_of is None else piece_of
+                weight = (j - i) * math.log(self.byte_weight) if piece_of is None else math.log(self.weight[piece_of])
+                u -= math.exp(logs[i] + weight - logs[j])
                 if u <= 0:
                     break
-            out += [(j, p)] if p >= 0 else [(k + 1, int(self.byte_ids[chunk[k]])) for k in range(i, j)]
-            j, step = i, step + 1
+            out += [(j, piece)] if piece >= 0 else [(k + 1, int(self.byte_ids[chunk[k]])) for k in range(back, j)]
+            j, step = back, step + 1
         return out
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +342,8 @@ def encode(
     The segmentation is drawn by the row key (doc_id; null counts as 0) and ``seed``.  ``lossless``
     tells that the decoded pieces are the text's bytes.  Null and empty texts have no pieces;
     repeated rows get the same pieces; other columns are not read; an empty table gives an empty
-    result.  No shuffle.
+    result.  No shuffle.  A run of over ``LONG`` bytes without a space takes some 20 bytes of memory
+    for each of its bytes and is walked in plain Python.
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"carried_{c}") for c in carry])
 

@@ -121,15 +121,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8192, epochs: int = 3)
             )
 
     rows = sample.labelled(docs, labels, "quality", most).select("doc_id", "label", "text")
-    found = rows.mapInArrow(run, "doc_id long, label int, at binary, x binary").toPandas().sort_values(["doc_id", "at"], kind="stable")
+    found = rows.mapInArrow(run, "doc_id long, label int, at binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending")])
     model = Ftrl((1 << BITS) + 1)
-    vectors = [
-        (np.append(np.frombuffer(a, np.int32), 1 << BITS), np.append(np.frombuffer(x, np.float32), 1.0).astype(np.float64), y)
-        for a, x, y in zip(found["at"], found["x"], found["label"])
-    ]
+    at, x, y = (found.column(c).combine_chunks() for c in ("at", "x", "label"))
     for epoch in range(epochs):
-        for i in np.random.default_rng(epoch).permutation(len(vectors)):
-            model.learn(*vectors[i])
+        for i in np.random.default_rng(epoch).permutation(found.num_rows):
+            # Views of the collected buffers: no second copy of the sample is made.
+            own, values = np.frombuffer(at[i].as_buffer(), np.int32), np.frombuffer(x[i].as_buffer(), np.float32)
+            model.learn(np.append(own, 1 << BITS), np.append(values, 1.0).astype(np.float64), y[i].as_py())
     weights = model.weights()
     return weights[:-1].astype(np.float32), float(weights[-1])
 

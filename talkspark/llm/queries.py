@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -41,6 +42,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048)
 
 
+#: For a mix of one shard (up to 4,096 blocks); tests hold several shards against a plain loop.
 MIX_SQL = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
@@ -56,17 +58,18 @@ t AS (
   SELECT *, CASE WHEN lv IS NULL THEN cap ELSE least(cap, weight * lv) END AS target
   FROM (SELECT *, (SELECT arg_min(level, cap / weight) FROM l WHERE cap / weight > level) AS lv FROM l)),
 b AS (
-  SELECT doc_id, t.source, size, source_size, target, unnest(range(0, CAST(ceil(size / 256.0) AS BIGINT))) AS block
+  SELECT doc_id, t.source, sid, size, source_size, target, unnest(range(0, CAST(ceil(size / 256.0) AS BIGINT))) AS block
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (
   SELECT *, least(256, size - block * 256) AS n_words, md5('mix|' || doc_id || '|1|' || block) AS key FROM b),
 r AS (
   SELECT *, coalesce(sum(n_words) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-         floor(target / source_size) AS passes FROM k),
-m AS (
-  SELECT doc_id, sum(n_words * (passes + CASE WHEN before + n_words / 2 <= target - passes * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-  FROM r GROUP BY doc_id)
-SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(m.taken, 0) AS taken
+         floor(target / source_size) AS passes, row_number() OVER (PARTITION BY source ORDER BY key) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM k),
+e AS (
+  SELECT *, unnest(range(0, CAST(passes + CASE WHEN before + n_words / 2 <= target - passes * source_size THEN 1 ELSE 0 END AS BIGINT))) AS copy FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', 'mix', 'place', sid, copy * n + rank)), sid, copy * n + rank) - 1 AS place FROM e),
+m AS (SELECT doc_id, sum(n_words)::BIGINT AS taken, sum(place)::BIGINT AS places FROM o GROUP BY doc_id)
+SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(m.taken, 0) AS taken, (m.taken IS NOT NULL)::BIGINT AS n_shards, coalesce(places, 0) AS places
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN m ON d.doc_id = m.doc_id
 """
 
@@ -104,7 +107,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length({_escaped("role")}) + length({_escaped("text")}) + {len(chat.TURN + chat.TEXT + chat.END) + 1})::BIGINT AS formatted_chars
+  sum(length({_escaped("role")}) + length({_escaped("text")}) + {len(chat.TURN + chat.TEXT + chat.END) + 1})::BIGINT AS formatted_chars,
+  0::BIGINT AS n_rewriting
 FROM c GROUP BY conv_id
 """
 
@@ -115,7 +119,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(0, 2, 1, 1).selectExpr(
         "-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", f"'{PLANTED_TURN}' AS text"
     )
-    return chat.digests(rows.unionByName(planted)).drop("rewriting")
+    found = chat.digests(rows.unionByName(planted))
+    return found.withColumn("n_rewriting", F.size("rewriting").cast("long")).drop("rewriting")
 
 
 @query("op2_quality_classifier")
@@ -186,7 +191,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16)
 
 
-#: The steps of ``sharding.shuffled`` and the draws of ``hypergeometric.deal``, for up to 256 partitions.
+#: The steps of ``sharding.shuffled`` and the draws of ``hypergeometric.deal``, for up to 16 partitions (one level of the tree).
 SHARD_SQL = """
 WITH RECURSIVE tab AS (
   SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), b) ORDER BY b) AS tab FROM range(256) r(b)),

@@ -15,8 +15,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     """``doc_id, text, label`` of a bounded sample of the labelled rows that may be learned from.
 
     Rows whose crc32 of the id (as text) leaves 2 modulo 4 are held out and never drawn.  The
-    sample is drawn from the small label table first, so the texts of the other documents are not
-    shuffled when Spark finds the sample small.  Null ids and null labels are left out.
+    sample is drawn from the label table first: at most ``most`` pairs of an id and a label, which are
+    broadcast, so the texts of other documents are not shuffled.  Of several rows with one id the
+    text with the smallest hash counts, so ``most`` bounds the rows too.  Null ids and null labels
+    are left out.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -25,7 +27,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(bounded(chosen, "doc_id", most), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(bounded(chosen, "doc_id", most)), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("print"), "text")).alias("row"))
+    return one.select("doc_id", F.col("row.text").alias("text"), "label")
 
 
 def held_out(column: str):

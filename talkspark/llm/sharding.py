@@ -17,18 +17,12 @@ from pyspark.sql import functions as F
 
 from talkspark.functions.lineage import cut
 from talkspark.llm import hypergeometric
+from talkspark.llm.names import fresh
 
 #: Copies of one row that stay together until the local permutation.
 CHUNK = 1024
 
 
-def fresh(name: str, taken: list[str]) -> str:
-    """``name``, with underscores behind it if a column of that name (in any case) is there."""
-    while name.lower() in {t.lower() for t in taken}:
-        name += "_"
-    return name
-
-
 def scaled(digest: str, parts: str) -> str:
     """SQL: the leading 32 bits of a hexadecimal digest, scaled to 0 .. parts - 1."""
     return f"shiftright(cast(conv(substring({digest}, 1, 8), 16, 10) as bigint) * ({parts}), 32)"
@@ -61,8 +55,9 @@ def shuffled(rows: DataFrame, shards: int = 8, partition_rows: int = 4096, seed:
     found = chunks.groupBy("leaf").agg(F.sum("held").alias("size"))
     all_leaves = rows.sparkSession.range(0, parts).withColumnRenamed("id", "leaf")
     leaves = cut(all_leaves.join(found, "leaf", "left").select("leaf", F.coalesce("size", F.lit(0)).alias("size")))
-    sizes = F.array(*[F.lit(total // shards + (j < total % shards)) for j in range(shards)])
-    matrix = hypergeometric.deal(leaves, parts, sizes, seed).select(
+    sizes = F.array(*[F.lit(total // shards + (j < total % shards)).cast("long") for j in range(shards)])
+    totals = rows.sparkSession.range(0, 1, 1, 1).select(sizes.alias("counts"))
+    matrix = hypergeometric.deal(leaves, parts, totals, seed).select(
         "leaf", F.expr("transform(counts, (v, i) -> aggregate(slice(counts, 1, i + 1), 0L, (a, x) -> a + x))").alias("stops")
     )
     singles = (

@@ -522,6 +522,10 @@ def without_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 4 <<
     copied = copied.select(F.col("one").alias("_one"), F.col("two").alias("_two"), F.lit("").alias("_left"))
     partly = found.mapInArrow(cut, "_one long, _two long, _left string")
     changed = keep(partly.unionByName(copied).groupBy("_one", "_two").agg(F.min("_left").alias("_left")))
-    joined = _join_text(docs).drop("_bytes").join(changed, ["_one", "_two"], "left")
+    # The other columns travel in a struct, so that no name of theirs meets one of these.
+    others = [c for c in docs.columns if c != "text"]
+    whole = docs.select(F.struct(*others).alias("_others") if others else F.lit(None).alias("_others"), "text")
+    joined = _join_text(whole).drop("_bytes").join(changed, ["_one", "_two"], "left")
     gone = F.coalesce(F.regexp_replace("_left", "[\\x20\\x09-\\x0D]+", "") == "", F.lit(False))
-    return joined.where(~gone).withColumn("text", F.coalesce("_left", "text")).select(*docs.columns)
+    text = F.coalesce("_left", "text").alias("text")
+    return joined.where(~gone).select(*[text if c == "text" else F.col("_others")[c].alias(c) for c in docs.columns])

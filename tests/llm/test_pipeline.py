@@ -65,12 +65,13 @@ def test_one_of_each_group_stays(stages):
     assert set(after) == {i for i in ids if top(i) == i}
 
 
-def test_no_string_of_400_bytes_repeats_as_input(stages):
+def test_no_passage_repeats_as_input(stages):
+    n = corpus_pipeline.PASSAGE_BYTES
     before, after = by_id(stages[2]), by_id(stages[3])
-    seen = Counter(t[k : k + 400] for r in before.values() for t in [r["text"].encode()] for k in range(len(t) - 399))
+    seen = Counter(t[k : k + n] for r in before.values() for t in [r["text"].encode()] for k in range(len(t) - n + 1))
     for i, r in before.items():
         text = r["text"].encode()
-        hit = any(seen[text[k : k + 400]] > 1 for k in range(len(text) - 399))
+        hit = any(seen[text[k : k + n]] > 1 for k in range(len(text) - n + 1))
         assert (i not in after or after[i]["text"] != r["text"]) if hit else after[i]["text"] == r["text"]
 
 
@@ -116,3 +117,23 @@ def test_mix_is_written_in_shards_by_place(spark, tmp_path):
     assert len(shards) > 1 and sum(map(len, got)) == sum(map(len, shards.values()))
     for ids in shards.values():
         assert any(ids == part[k : k + len(ids)] for part in got for k in range(len(part)) if part[k] == ids[0])
+
+
+def test_passages_of_51_words_go(stages):
+    """No run of 51 words stands in two documents after the cut, whatever their length in bytes."""
+    rows = [(i, WORD.findall(r["text"])) for i, r in by_id(stages[3]).items()]
+    held = defaultdict(set)
+    for i, words in rows:
+        for k in range(len(words) - 50):
+            held[tuple(words[k : k + 51])].add(i)
+    assert not [w for w, ids in held.items() if len(ids) > 1]
+
+
+def test_stages_take_odd_and_no_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard int, _row int, _one int"
+    rows = [(None, None, None, None, None, 1, 2, 3), (1, "", "en", "s", 0, 1, 2, 3), (1, "", "en", "s", 0, 1, 2, 3), (2, "word " * 60_000, "en", None, 300_000, 1, 2, 3)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SMALL)
+            assert number == 4 or tuple(out.columns) == corpus_pipeline.COLUMNS
+            out.count()
