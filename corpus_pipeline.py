@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read back as
 the next stage's ``docs``.  All but the last return the columns of ``documents``.
+
+Null and empty texts: the classifier scores them by its bias, near-dedup and the cut of repeats
+keep them, the mix leaves out documents without words.  Null ids and sources, ties and repeated
+rows are described at the operators; repeated rows are one row after stage 2.  Columns beyond those
+of ``documents`` are not carried.  An empty table gives empty stages.  Texts are never shortened.
 """
 
 from __future__ import annotations
@@ -12,6 +17,9 @@ from pyspark.sql import functions as F
 from talkspark.llm import minhash, mixing, pieces, quality, suffix
 from talkspark.llm.store import keep
 
+#: Bytes of the strings that stage 3 cuts: 51 words of four letters with their spaces, so that a
+#: repeated passage of over 50 words goes also where its words are shorter than usual.
+PASSAGE_BYTES = 256
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -27,8 +35,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that repeat go wherever they stand, none of them stays; emptied documents go."""
-    cut = suffix.without_repeats(docs.select(*COLUMNS))
+    """Strings of ``PASSAGE_BYTES`` that repeat go wherever they stand, none of them stays; emptied documents go."""
+    cut = suffix.without_repeats(docs.select(*COLUMNS), PASSAGE_BYTES)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
