@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from talkspark.llm import arrow
 
 SPACE = "\u2581"
-LONG = 48  # at most 1,000, as places within a chunk are sorted as 16-bit numbers
+LONG = 48  # some 100 at most: sums of weights must stay in the range of doubles
 #: Weights are multiplied by this per byte, which changes no share and keeps sums in range.
 LIFT = math.exp(3.5)
 SLICE_BYTES = 1 << 20

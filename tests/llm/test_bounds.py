@@ -131,9 +131,9 @@ def test_url_verdicts_follow_the_ruled_ones(spark):
 
 def test_long_chunks_draw_as_short_ones(monkeypatch):
     own = pieces.Lattices(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
-    texts = pa.array(["".join(f"Wörd{i}日本é{i % 7}x" for i in range(40)), "some words and " * 50, "x" * 800, "é" * 300, "\n\t a  b"])
+    texts = pa.array(["".join(f"Wörd{i}日本é{i % 7}x" for i in range(5)), "some words and " * 50, "x" * 90, "é" * 50, "\n\t a  b"])
     keys = np.arange(5, dtype=np.uint64)
-    monkeypatch.setattr(pieces, "LONG", 1000)
+    monkeypatch.setattr(pieces, "LONG", 110)
     together = own.encode(texts, keys)
     monkeypatch.setattr(pieces, "LONG", 0)
     alone = own.encode(texts, keys)
