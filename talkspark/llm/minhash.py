@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from talkspark.llm import arrow, links
 from talkspark.llm.names import fresh
-from talkspark.llm.store import keep
+from talkspark.llm.store import keep, scope
 
 
 #: Pairs that a row may propose per piece in the round before the whole one.
@@ -252,6 +252,12 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def components_of(edges: DataFrame) -> DataFrame:
+    """The components, kept; the tables of their rounds go."""
+    with scope() as rounds:
+        return rounds.save(keep(links.components(edges)))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(), part_rows: int = 1024) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
@@ -290,51 +296,53 @@ def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(
             keys = bands(registers, sketch).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys), pa.list_(pa.int64()))], names=["id", "n", "registers", "keys"])
 
-    classes = keep(
-        linkable.groupBy("first", "second", "n")
-        .agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"))
-        .select("id", "n", "registers")
-        .mapInArrow(banded, "id long, n long, registers binary, keys array<long>")
-    )
-    keys = classes.select(F.explode("keys").alias("key"), "id")
-    centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    near = keep(keys.join(centres, "key").select("key", "id", "centre"))
-    texts = keep(
-        base.join(near.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
-        .join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("id"), "text")
-    )
-    shared = near.where("id <> centre").groupBy("id", "centre").agg(F.count("*").alias("bands"))
-    stars = shared.groupBy("id").agg(F.max_by("centre", F.struct("bands", -F.col("centre"))).alias("b")).select(F.col("id").alias("a"), "b")
-    edges = keep(verified(stars, texts, percent))
-    groups = keep(links.components(edges))
-    for best in (True, False):
-        state = classes.select("id", "n", "registers").join(groups.withColumnRenamed("node", "id"), "id", "left")
-        state = keep(
-            state.join(near.select("id").distinct(), "id", "left_semi").select("id", "n", "registers", F.coalesce("component", "id").alias("component"))
+    with scope() as inner:
+        classes = keep(
+            linkable.groupBy("first", "second", "n")
+            .agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"))
+            .select("id", "n", "registers")
+            .mapInArrow(banded, "id long, n long, registers binary, keys array<long>")
         )
-        mixed = (
-            near.select("key", "id")
-            .join(state.select("id", "component"), "id")
-            .groupBy("key")
-            .agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low <> high")
-            .select("key", "size")
+        keys = classes.select(F.explode("keys").alias("key"), "id")
+        centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
+        near = keep(keys.join(centres, "key").select("key", "id", "centre"))
+        texts = keep(
+            base.join(near.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
+            .join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+            .select(F.col("doc_id").alias("id"), "text")
         )
-        if not best:
-            busy = near.select("key", "id").join(mixed, "key").select("id").distinct()
-            state = state.join(texts.join(busy, "id", "left_semi").mapInArrow(_cut_sets, "id long, cut binary"), "id")
-        members = links.blocks(near.select("key", "id"), mixed, part_rows).join(state, "id")
-
-        def candidates(batches: Iterator[pa.RecordBatch], best: bool = best) -> Iterator[pa.RecordBatch]:
-            for piece in links.pieces(batches, ("key", "i", "j")):
-                yield _candidates(piece, percent, sketch, best)
-
-        pairs = links.dealt(members).mapInArrow(candidates, "a long, b long")
-        fresh = keep(verified(pairs, texts, percent))
-        if not fresh.isEmpty():  # else the components stand as they are
-            edges = edges.union(fresh)
-            groups = keep(links.components(edges))
+        shared = near.where("id <> centre").groupBy("id", "centre").agg(F.count("*").alias("bands"))
+        stars = shared.groupBy("id").agg(F.max_by("centre", F.struct("bands", -F.col("centre"))).alias("b")).select(F.col("id").alias("a"), "b")
+        edges = keep(verified(stars, texts, percent))
+        groups = components_of(edges)
+        for best in (True, False):
+            state = classes.select("id", "n", "registers").join(groups.withColumnRenamed("node", "id"), "id", "left")
+            state = keep(
+                state.join(near.select("id").distinct(), "id", "left_semi").select("id", "n", "registers", F.coalesce("component", "id").alias("component"))
+            )
+            mixed = (
+                near.select("key", "id")
+                .join(state.select("id", "component"), "id")
+                .groupBy("key")
+                .agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+                .where("low <> high")
+                .select("key", "size")
+            )
+            if not best:
+                busy = near.select("key", "id").join(mixed, "key").select("id").distinct()
+                state = state.join(texts.join(busy, "id", "left_semi").mapInArrow(_cut_sets, "id long, cut binary"), "id")
+            members = links.blocks(near.select("key", "id"), mixed, part_rows).join(state, "id")
+
+            def candidates(batches: Iterator[pa.RecordBatch], best: bool = best) -> Iterator[pa.RecordBatch]:
+                for piece in links.pieces(batches, ("key", "i", "j")):
+                    yield _candidates(piece, percent, sketch, best)
+
+            pairs = links.dealt(members).mapInArrow(candidates, "a long, b long")
+            fresh = keep(verified(pairs, texts, percent))
+            if not fresh.isEmpty():  # else the components stand as they are
+                edges = edges.union(fresh)
+                groups = components_of(edges)
+        inner.save(groups)
     named = linkable.groupBy("first", "second", "n").agg(F.min("doc_id").alias("id"))
     state = named.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         "first", "second", "n", F.coalesce("component", "id").alias("component_id")
@@ -353,8 +361,9 @@ def one_of_each_group(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     row, group, first = (fresh(c, docs.columns) for c in ("row", "group", "first"))
     rows = keep(docs.withColumn(row, F.monotonically_increasing_id()))
-    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent)
-    groups = keep(groups.select(F.col("doc_id").alias(row), F.col("component_id").alias(group)))
+    with scope() as inner:
+        groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent)
+        groups = inner.save(keep(groups.select(F.col("doc_id").alias(row), F.col("component_id").alias(group))))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(row).alias("number"))
     chosen = rows.select("doc_id", row).join(groups, row).groupBy(group).agg(F.min(order).alias(first)).select(F.col(first)["number"].alias(row))
     return rows.join(chosen, row, "left_semi").select(*docs.columns)

@@ -21,6 +21,7 @@ from talkspark.functions.ordered import running
 from talkspark.llm.hypergeometric import deal
 from talkspark.llm.hypergeometric import draw as hypergeometric  # noqa: F401
 from talkspark.llm.names import fresh
+from talkspark.llm.store import keep
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -39,15 +40,16 @@ def by_source(rows: DataFrame, sources: DataFrame, on: str, spread: tuple[str, .
     return joined.drop("part", "joined")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, print, nth, size``: ``nth`` tells repeated rows apart, ``print`` hashes the text."""
+def sized(docs: DataFrame, *carry: str) -> DataFrame:
+    """``doc_id, source, print, nth, size``, ``carry``: ``nth`` tells repeated rows apart, ``print`` hashes the text."""
     rows = docs.select(
+        *carry,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.xxhash64("text").alias("print"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    return rows.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "source", "print", "size").orderBy("size")))
+    return rows.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "source", "print", "size").orderBy("size", *carry)))
 
 
 def targets(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -211,19 +213,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     ``docs`` keeps its columns; if it has one of these names, the new column's gets an underscore.
     """
     names = docs.columns
-    size, mark, nth = (fresh(c, names) for c in ("words_of_row", "print_of_row", "nth_of_row"))
     shard, place = fresh("shard", names), fresh("place", names)
-    row = docs.withColumns({size: F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), mark: F.xxhash64("text")})
-    same = W.partitionBy("doc_id", "source", mark, size).orderBy(size)
-    documents = cut(sized(docs))
-    sources = cut(targets(documents))
-    pieces = mix(documents, sources, None, **options).join(sources.select("sid", "source"), "sid")
-    numbered = row.withColumn(nth, F.row_number().over(same))
-    on = (
-        numbered["doc_id"].cast("long").eqNullSafe(pieces["doc_id"])
-        & (numbered[mark] == pieces["print"])
-        & (numbered[nth] == pieces["nth"])
-        & numbered["source"].eqNullSafe(pieces["source"])
-    )
-    joined = numbered.join(pieces, on)
-    return joined.select(*[numbered[c] for c in names], pieces["shard"].alias(shard), pieces["place"].alias(place))
+    number = fresh("row_number_of_mix", names)
+    # Rows get a number, so that texts are shuffled once, to meet their copies.
+    rows = keep(docs.withColumn(number, F.monotonically_increasing_id()))
+    documents = cut(sized(rows, number))
+    pieces = mix(documents, cut(targets(documents)), None, **options)
+    joined = rows.join(pieces.select(number, F.col("shard").alias(shard), F.col("place").alias(place)), number)
+    return joined.select(*names, shard, place)

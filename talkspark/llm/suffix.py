@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkspark.llm import arrow
-from talkspark.llm.store import keep
+from talkspark.llm.store import keep, scope
 
 GRAM = 32
 #: A task that has seen a surrounding so often deals its further occurrences to so many salts.
@@ -421,10 +421,12 @@ def covered(rows: DataFrame, length: int, shard_bytes: int, sort_bytes: int, hot
         .agg(F.first("anchors").alias("anchors"))
         .mapInArrow(_unpacked, "one long, two long, anchor long, first long, end long, inside boolean")
     )
-    runs = keep(runs)
-    seen = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).where("n > 1 or inside")
-    wanted = runs.drop("inside").join(seen.select("anchor", (F.col("n") > hot).alias("hot")), "anchor")
-    per_text = keep(wanted.groupBy("one", "two").agg(F.collect_list(F.struct("anchor", "first", "end", "hot")).alias("runs")))
+    with scope() as inner:
+        runs = keep(runs)
+        seen = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).where("n > 1 or inside")
+        wanted = runs.drop("inside").join(seen.select("anchor", (F.col("n") > hot).alias("hot")), "anchor")
+        per_text = keep(wanted.groupBy("one", "two").agg(F.collect_list(F.struct("anchor", "first", "end", "hot")).alias("runs")))
+        inner.save(per_text)
     texts = named.groupBy(F.col("_one").alias("one"), F.col("_two").alias("two")).agg(F.first("_bytes").alias("bytes"))
     texts = keep(texts.join(per_text, ["one", "two"]))
     total = per_text.select(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["first"] + length))).first()[0] or 0
@@ -505,23 +507,24 @@ def without_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 4 <<
     Cuts keep whole characters.  Rows of which only white space is left by the cuts go; rows that
     nothing is cut from stay as they are, null and empty texts included.
     """
-    light, found = covered(docs.select(F.lit(0).cast("long").alias("_row"), "text"), length, shard_bytes, sort_bytes, hot, step)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                _whole_characters(data, [(r["start"], r["stop"]) for r in ranges])
-                for data, ranges in zip(batch.column("bytes").to_pylist(), batch.column("ranges").to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("one"), batch.column("two"), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())],
-                names=["_one", "_two", "_left"],
-            )
-
-    copied = light.where(F.col("n_bytes") >= length).groupBy("one", "two").agg(F.count("*").alias("copies")).where("copies > 1")
-    copied = copied.select(F.col("one").alias("_one"), F.col("two").alias("_two"), F.lit("").alias("_left"))
-    partly = found.mapInArrow(cut, "_one long, _two long, _left string")
-    changed = keep(partly.unionByName(copied).groupBy("_one", "_two").agg(F.min("_left").alias("_left")))
+    with scope() as inner:
+        light, found = covered(docs.select(F.lit(0).cast("long").alias("_row"), "text"), length, shard_bytes, sort_bytes, hot, step)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [
+                    _whole_characters(data, [(r["start"], r["stop"]) for r in ranges])
+                    for data, ranges in zip(batch.column("bytes").to_pylist(), batch.column("ranges").to_pylist())
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("one"), batch.column("two"), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())],
+                    names=["_one", "_two", "_left"],
+                )
+
+        copied = light.where(F.col("n_bytes") >= length).groupBy("one", "two").agg(F.count("*").alias("copies")).where("copies > 1")
+        copied = copied.select(F.col("one").alias("_one"), F.col("two").alias("_two"), F.lit("").alias("_left"))
+        partly = found.mapInArrow(cut, "_one long, _two long, _left string")
+        changed = inner.save(keep(partly.unionByName(copied).groupBy("_one", "_two").agg(F.min("_left").alias("_left"))))
     # The other columns travel in a struct, so that no name of theirs meets one of these.
     others = [c for c in docs.columns if c != "text"]
     whole = docs.select(F.struct(*others).alias("_others") if others else F.lit(None).alias("_others"), "text")
