@@ -110,8 +110,7 @@ FROM v_words a LEFT JOIN v_words b ON a.video_id = b.video_id AND b.idx = a.idx
 WHERE a.idx % 120 = 60
 """)
 cte("v_questions", r"""
-SELECT 'b' || item_id AS question_id, array_to_string(regexp_extract_all(text, '\S+')[1:3], ' ') AS query
-FROM benchmark
+SELECT 'b' || item_id AS question_id, text AS query FROM benchmark
 UNION ALL SELECT * FROM (VALUES ('f0','PyTorch'), ('f1','1,200'), ('f2','라는'), ('f3','zzzunseen')) t(question_id, query)
 """)
 cte("v_attempts", r"""

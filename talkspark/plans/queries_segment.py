@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkspark.functions import text as X
+from talkspark.functions.lineage import cut
+from talkspark.operators import corpus as K
 from talkspark.operators import evidence as E
+from talkspark.operators import index as N
 from talkspark.operators import segment as S
 from talkspark.operators.captions import validate_cues, validate_words
 from talkspark.plans.oracle import cte
+from talkspark.plans.queries_chapters import local_chapters, without_native
 from talkspark.plans.registry import query
 from talkspark.sources import adapters as A
+from talkspark.sources import files as I
 
 
 @query("adapter_words", "SELECT video_id, idx, text, start_s, end_s, speaker, speaker_status FROM v_words")
@@ -91,7 +96,8 @@ cte(
 cte(
     "v_evidence",
     """SELECT video_id, start_s, end_s, text, 'transcript' AS source_kind, speaker, speaker_candidate, speaker_status,
-    speaker_confidence, confidence FROM v_spans UNION ALL SELECT * FROM v_records""",
+    speaker_confidence, confidence FROM v_spans UNION ALL SELECT * FROM v_records
+    UNION ALL SELECT video_id, c_start, c_end, trim(title), 'chapter', NULL, NULL, NULL, NULL, 1e0 FROM v_chap WHERE trim(title) <> ''""",
 )
 
 
@@ -101,8 +107,36 @@ def frame_records(spark, sf):
     )
 
 
+def chapter_records(spark, sf):
+    rows = local_chapters(spark, sf).select("video_id", F.col("c_start").alias("start"), F.col("c_end").alias("end"), "title")
+    return E.optional_records(rows, "chapter")
+
+
 def evidence_table(spark, sf):
-    return E.evidence(S.spans(A.words(spark, sf)), frame_records(spark, sf))
+    return E.evidence(S.spans(A.words(spark, sf)), frame_records(spark, sf), chapter_records(spark, sf))
+
+
+def indexed(spark, sf):
+    """Evidence, postings and grams as stored tables."""
+    at = I.scratch(spark, "index")
+    E.with_id(evidence_table(spark, sf)).write.parquet(f"{at}/evidence")
+    rows = spark.read.parquet(f"{at}/evidence")
+    N.postings(rows).write.partitionBy("bucket").parquet(f"{at}/postings")
+    held = spark.read.parquet(f"{at}/postings")
+    N.grams(held).write.partitionBy("bucket").parquet(f"{at}/grams")
+    return spark.read.parquet(f"{at}/grams"), held, rows
+
+
+def corpus(spark, sf):
+    """The corpus job over the table folder, and a second refresh for changed words."""
+    job = K.Corpus(spark, I.scratch(spark, "corpus"))
+    words, pictures, talks = cut(A.words(spark, sf)), cut(A.frames(spark, sf)), cut(without_native(spark, sf))
+
+    def refresh(rows):
+        longer = rows.withColumns({"start_s": F.col("start_s") * 4.0, "end_s": F.col("end_s") * 4.0})
+        return job.refresh(rows, pictures, talks, longer)
+
+    return job, words, refresh
 
 
 @query("src6_optional_records", "SELECT * FROM v_records")
@@ -138,7 +172,42 @@ cte(
 
 @query("top1_search", "SELECT * FROM v_top1")
 def _(spark, sf):
-    return E.search(evidence_table(spark, sf), A.questions(spark, sf))
+    return N.search(A.questions(spark, sf), *indexed(spark, sf))
+
+
+@query("job_answers", "SELECT * FROM v_top1")
+def _(spark, sf):
+    job, words, refresh = corpus(spark, sf)
+    refresh(words)
+    return job.answers(A.questions(spark, sf))
+
+
+@query(
+    "job_recompute",
+    """SELECT stage, n AS first_run, 0::BIGINT AS same_input, 1::BIGINT AS one_changed, 0::BIGINT AS one_gone, n - 1 AS held FROM
+      (SELECT count(DISTINCT video_id) AS n FROM v_words), (VALUES ('spans'), ('chapters'), ('evidence'), ('index')) s(stage)""",
+)
+def _(spark, sf):
+    job, words, refresh = corpus(spark, sf)
+    one = words.agg(F.min("video_id")).first()[0]
+    told = [
+        refresh(words),
+        refresh(words),
+        refresh(words.withColumn("text", F.when((F.col("video_id") == one) & (F.col("idx") == 0), "Changed").otherwise(F.col("text")))),
+        refresh(words.where(F.col("video_id") != one)),
+    ]
+    held = {name: getattr(job, name).state().where("not dead").count() for name in told[0]}
+    rows = [(name, *(t[name] for t in told[:2]), told[2][name], told[3][name], held[name]) for name in told[0]]
+    return spark.createDataFrame(rows, "stage string, first_run long, same_input long, one_changed long, one_gone long, held long")
+
+
+@query("snk4_stored_takedown", "SELECT source_kind, count(*) AS n, count(DISTINCT video_id) AS videos FROM v_evidence WHERE video_id % 7 <> 2 GROUP BY 1")
+def _(spark, sf):
+    job, words, refresh = corpus(spark, sf)
+    refresh(words)
+    job.forget(words.where("video_id % 7 = 2").select("video_id"))
+    left = spark.read.parquet(f"{job.evidence.at}/evidence")  # all files there are, not only live rows
+    return left.groupBy("source_kind").agg(F.count("*").alias("n"), F.count_distinct("video_id").alias("videos"))
 
 
 @query(
@@ -148,7 +217,7 @@ def _(spark, sf):
       FROM v_hits) WHERE rank <= 20""",
 )
 def _(spark, sf):
-    return E.search(evidence_table(spark, sf), A.questions(spark, sf), limit=20, per_video=False).select(
+    return N.search(A.questions(spark, sf), *indexed(spark, sf), limit=20, per_video=False).select(
         "question_id", "video_id", "start_s", "source_kind", "hits", "rank"
     )
 

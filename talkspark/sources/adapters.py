@@ -270,12 +270,7 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "benchmark").select(
-        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("question_id"),
-        F.array_join(F.slice(F.regexp_extract_all("text", F.lit("\\S+"), F.lit(0)), 1, 3), " ").alias(
-            "query"
-        ),
-    )
+    own = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("question_id"), F.col("text").alias("query"))
     fixed = spark.createDataFrame(
         [("f0", "PyTorch"), ("f1", "1,200"), ("f2", "라는"), ("f3", "zzzunseen")],
         "question_id string, query string",
