@@ -30,3 +30,21 @@ def local_session(cpus: int | None = None, name: str = "talkspark", **extra: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once a session, so that their Python workers can import it."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_talkspark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="talkspark-")) / "talkspark.zip"  # the driver serves it from here
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted([*package.rglob("*.py"), *package.parent.glob("corpus_pipeline.py")]):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._talkspark_shipped = True
