@@ -132,7 +132,7 @@ def near_duplicates(
                 )
 
     hashed_classes = cut(
-        classes.select("id", "n", "label", "vector").mapInArrow(hashed, "id long, n long, vector binary, marks binary, keys array<long>")
+        classes.select("id", "n", "label", "vector").mapInArrow(arrow.freeing(hashed), "id long, n long, vector binary, marks binary, keys array<long>")
     )
     keys = hashed_classes.select(F.explode("keys").alias("key"), "id")
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -143,7 +143,7 @@ def near_duplicates(
             if piece.num_rows > 1:
                 yield _compare(piece, least, tables)
 
-    found = cut(links.dealt(members).mapInArrow(compared, "id long, degree long, peer long"))
+    found = cut(links.dealt(members).mapInArrow(arrow.freeing(compared), "id long, degree long, peer long"))
     degrees = found.groupBy("id").agg(F.sum("degree").alias("degree"))
     groups = links.components(found.select(F.col("id").alias("a"), F.col("peer").alias("b")))
     state = (

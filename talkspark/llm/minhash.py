@@ -249,7 +249,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     of_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     of_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(arrow.freeing(run), "a long, b long")
 
 
 def components_of(edges: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(
                     names=["doc_id", "n", "first", "second", "registers"],
                 )
 
-    all_sets = keep(base.mapInArrow(sketched, "doc_id long, n long, first long, second long, registers binary"))
+    all_sets = keep(base.mapInArrow(arrow.freeing(sketched), "doc_id long, n long, first long, second long, registers binary"))
     linkable = all_sets.where("n > 0 and doc_id is not null")
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(
             linkable.groupBy("first", "second", "n")
             .agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"))
             .select("id", "n", "registers")
-            .mapInArrow(banded, "id long, n long, registers binary, keys array<long>")
+            .mapInArrow(arrow.freeing(banded), "id long, n long, registers binary, keys array<long>")
         )
         keys = classes.select(F.explode("keys").alias("key"), "id")
         centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
@@ -330,14 +330,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(
             )
             if not best:
                 busy = near.select("key", "id").join(mixed, "key").select("id").distinct()
-                state = state.join(texts.join(busy, "id", "left_semi").mapInArrow(_cut_sets, "id long, cut binary"), "id")
+                state = state.join(texts.join(busy, "id", "left_semi").mapInArrow(arrow.freeing(_cut_sets), "id long, cut binary"), "id")
             members = links.blocks(near.select("key", "id"), mixed, part_rows).join(state, "id")
 
             def candidates(batches: Iterator[pa.RecordBatch], best: bool = best) -> Iterator[pa.RecordBatch]:
                 for piece in links.pieces(batches, ("key", "i", "j")):
                     yield _candidates(piece, percent, sketch, best)
 
-            pairs = links.dealt(members).mapInArrow(candidates, "a long, b long")
+            pairs = links.dealt(members).mapInArrow(arrow.freeing(candidates), "a long, b long")
             fresh = keep(verified(pairs, texts, percent))
             if not fresh.isEmpty():  # else the components stand as they are
                 edges = edges.union(fresh)

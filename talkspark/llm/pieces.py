@@ -369,7 +369,7 @@ def encode(
 
     types = dict(docs.dtypes)
     schema = "doc_id long, pieces array<int>, n_pieces long, lossless boolean" + "".join(f", `{c}` {types[c]}" for c in carry)
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(arrow.freeing(run), schema)
 
 
 def decode(rows: DataFrame, model: str = "piece_bpe_32k.model", ids_column: str = "pieces", id_column: str = "doc_id") -> DataFrame:
@@ -388,4 +388,4 @@ def decode(rows: DataFrame, model: str = "piece_bpe_32k.model", ids_column: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     picked = rows.select(F.col(id_column).cast("long").alias("doc_id"), F.col(ids_column).alias("ids"))
-    return picked.mapInArrow(run, "doc_id long, text string")
+    return picked.mapInArrow(arrow.freeing(run), "doc_id long, text string")

@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8192, epochs: int = 3)
             )
 
     rows = sample.labelled(docs, labels, "quality", most).select("doc_id", "label", "text")
-    found = rows.mapInArrow(run, "doc_id long, label int, at binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending")])
+    found = rows.mapInArrow(arrow.freeing(run), "doc_id long, label int, at binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending")])
     model = Ftrl((1 << BITS) + 1)
     at, x, y = (found.column(c).combine_chunks() for c in ("at", "x", "label"))
     for epoch in range(epochs):
@@ -151,7 +151,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float =
             )
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sample.held_out("doc_id").alias("held_out"), "text")
-    return picked.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return picked.mapInArrow(arrow.freeing(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = 0.7) -> DataFrame:
@@ -164,4 +164,4 @@ def accepted(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float
                 p = 1 / (1 + np.exp(-np.clip(margins(part.column("text"), weights, bias), -40, 40)))
                 yield pa.RecordBatch.from_arrays(part.filter(pa.array(p >= threshold)).columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(arrow.freeing(run), schema)

@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> boost.Trees
 
     rows = sample.labelled(docs, labels, "quality", most)
     schema = "doc_id long, label int, " + ", ".join(f"{f} double" for f in FEATURES)
-    table = rows.select("doc_id", "label", "text").mapInArrow(run, schema).toPandas().sort_values("doc_id", kind="stable")
+    table = rows.select("doc_id", "label", "text").mapInArrow(arrow.freeing(run), schema).toPandas().sort_values("doc_id", kind="stable")
     return boost.fit(table[list(FEATURES)].to_numpy(), table["label"].to_numpy(), MONOTONE)
 
 
@@ -167,4 +167,4 @@ def judge(docs: DataFrame, trees: boost.Trees, threshold: float = 0.5, least_wor
             )
 
     schema = "doc_id long, " + ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, score double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrow.freeing(run), schema)

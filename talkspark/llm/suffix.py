@@ -412,14 +412,14 @@ def covered(rows: DataFrame, length: int, shard_bytes: int, sort_bytes: int, hot
     named = _join_text(rows)
     light = keep(
         named.select(F.col("_row").alias("row"), F.col("_one").alias("one"), F.col("_two").alias("two"), F.col("_bytes").alias("bytes")).mapInArrow(
-            lambda batches: _anchors(batches, length), "row long, one long, two long, n_bytes long, sha string, anchors binary"
+            arrow.freeing(lambda batches: _anchors(batches, length)), "row long, one long, two long, n_bytes long, sha string, anchors binary"
         )
     )
     runs = (
         light.where("anchors is not null")
         .groupBy("one", "two")
         .agg(F.first("anchors").alias("anchors"))
-        .mapInArrow(_unpacked, "one long, two long, anchor long, first long, end long, inside boolean")
+        .mapInArrow(arrow.freeing(_unpacked), "one long, two long, anchor long, first long, end long, inside boolean")
     )
     with scope() as inner:
         runs = keep(runs)
@@ -433,13 +433,13 @@ def covered(rows: DataFrame, length: int, shard_bytes: int, sort_bytes: int, hot
     shards = max(1, -(-total // shard_bytes))
     segments = keep(
         texts.mapInArrow(
-            lambda b: _segments(b, length, step),
+            arrow.freeing(lambda b: _segments(b, length, step)),
             "key long, one long, two long, first long, starts long, salt long, name binary, salted boolean, segment binary",
         )
     )
     distinct = segments.where("segment is not null").select("key", "starts", "name", "salted", "segment")
     dealt = distinct.repartition(int(shards), "key").sortWithinPartitions("key")
-    solved = dealt.mapInArrow(lambda b: _shard(b, length, sort_bytes), "key long, starts long, name binary, salted boolean, low long, high long")
+    solved = dealt.mapInArrow(arrow.freeing(lambda b: _shard(b, length, sort_bytes)), "key long, starts long, name binary, salted boolean, low long, high long")
     salts = F.when(F.col("salted"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     solved = keep(solved).withColumn("salt", F.explode(salts)).drop("salted")
     found = segments.drop("segment", "salted").join(solved, ["key", "starts", "name", "salt"])
@@ -473,7 +473,7 @@ def removed(
                 names=["one", "two", "gone", "spans", "left_sha"],
             )
 
-    partly = found.mapInArrow(cut, "one long, two long, gone long, spans long, left_sha string")
+    partly = found.mapInArrow(arrow.freeing(cut), "one long, two long, gone long, spans long, left_sha string")
     copied = light.where(F.col("n_bytes") >= length).groupBy("one", "two").agg(F.count("*").alias("copies")).where("copies > 1")
     joined = light.join(copied, ["one", "two"], "left").join(partly, ["one", "two"], "left")
     whole = F.col("copies").isNotNull()
@@ -523,7 +523,7 @@ def without_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 4 <<
 
         copied = light.where(F.col("n_bytes") >= length).groupBy("one", "two").agg(F.count("*").alias("copies")).where("copies > 1")
         copied = copied.select(F.col("one").alias("_one"), F.col("two").alias("_two"), F.lit("").alias("_left"))
-        partly = found.mapInArrow(cut, "_one long, _two long, _left string")
+        partly = found.mapInArrow(arrow.freeing(cut), "_one long, _two long, _left string")
         changed = inner.save(keep(partly.unionByName(copied).groupBy("_one", "_two").agg(F.min("_left").alias("_left"))))
     # The other columns travel in a struct, so that no name of theirs meets one of these.
     others = [c for c in docs.columns if c != "text"]
