@@ -29,9 +29,9 @@ SPACE = "\u2581"
 LONG = 48  # some 100 at most: sums of weights must stay in the range of doubles
 #: Weights are multiplied by this per byte, which changes no share and keeps sums in range.
 LIFT = math.exp(3.5)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Places of distinct chunks whose lattices a task keeps, some 60 bytes each.
-KEPT = 1 << 21
+KEPT = 1 << 20
 
 
 class Lattices:
