@@ -70,9 +70,9 @@ def evidence(spans: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
-    """Distinct lower-case terms per question."""
+    """Distinct lower-case terms per question, once if it is asked of several videos."""
     terms = F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(L.QUERY_TOKEN), F.lit(0)))
-    return questions.select("question_id", F.explode(terms).alias("term"))
+    return questions.select("question_id", F.explode(terms).alias("term")).distinct()
 
 
 def term_hits(rows: DataFrame, terms: DataFrame, row_id: list[str], text: str = "text") -> DataFrame:

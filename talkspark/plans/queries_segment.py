@@ -254,20 +254,28 @@ def _(spark, sf):
     )
 
 
+cte(
+    "v_asked",
+    """SELECT 'f' || (video_id % 4) AS question_id, video_id FROM v_videos
+    UNION ALL SELECT 'b' || item_id, item_id % (SELECT count(*) FROM v_videos) FROM benchmark""",
+)
+
+
 @query(
     "top2_answers_with_frames",
-    """SELECT q.question_id, v.video_id, t.rank, t.start_s, t.end_s, t.source_kind, t.hits,
+    """SELECT q.question_id, q.video_id, t.rank, t.start_s, t.end_s, t.source_kind, t.hits,
       CASE WHEN t.start_s IS NOT NULL THEN printf('%02d:%02d:%02d', round_even(t.start_s, 0)::BIGINT // 3600,
         round_even(t.start_s, 0)::BIGINT // 60 % 60, round_even(t.start_s, 0)::BIGINT % 60) END AS timecode,
-      coalesce((SELECT string_agg(frame_no::VARCHAR, ',' ORDER BY frame_at) FROM v_frames f WHERE f.video_id = v.video_id
+      coalesce((SELECT string_agg(frame_no::VARCHAR, ',' ORDER BY frame_at) FROM v_frames f WHERE f.video_id = q.video_id
         AND f.frame_at BETWEEN t.start_s - 2e0 AND t.end_s + 2e0), '') AS frame_nos, t.rank IS NOT NULL AS answered
-    FROM v_questions q CROSS JOIN v_videos v LEFT JOIN v_top1 t ON t.question_id = q.question_id AND t.video_id = v.video_id
-    WHERE q.question_id = 'f' || (v.video_id % 4)""",
+    FROM v_asked q LEFT JOIN v_top1 t ON t.question_id = q.question_id AND t.video_id = q.video_id""",
 )
 def _(spark, sf):
-    # each video is asked one of the fixed questions
-    asked = A.videos(spark, sf).select(
-        "video_id", F.concat(F.lit("f"), (F.col("video_id") % 4).cast("string")).alias("question_id")
+    # each question of the table is asked of one video, and each video one of the fixed questions
+    talks = cut(A.videos(spark, sf).select("video_id"))
+    own = A.table(spark, sf, "benchmark").select(
+        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("question_id"), (F.col("item_id") % max(1, talks.count())).alias("video_id")
     )
-    found = E.search(evidence_table(spark, sf), A.questions(spark, sf).filter("question_id like 'f%'"))
+    asked = talks.select(F.concat(F.lit("f"), (F.col("video_id") % 4).cast("string")).alias("question_id"), "video_id").unionByName(own)
+    found = N.search(A.questions(spark, sf).join(asked, "question_id"), *indexed(spark, sf))
     return E.answers(found.select("question_id", "video_id", "rank", "start_s", "end_s", "source_kind", "hits"), asked, A.frames(spark, sf))

@@ -54,8 +54,8 @@ def _(spark, sf):
 
 cte(
     "v_cand",
-    """SELECT video_id, start_s AS b_at, CASE WHEN idx % 30 = 7 THEN 'requested' ELSE 'screen-reference' END AS reason,
-      row_number() OVER (PARTITION BY video_id, idx % 30 = 7 ORDER BY start_s) AS n FROM v_words WHERE idx % 30 = 7 OR idx % 11 = 3""",
+    """SELECT video_id, frame_at AS b_at, 'requested' AS reason, row_number() OVER (PARTITION BY video_id ORDER BY frame_at) AS n FROM v_frames
+    UNION ALL SELECT video_id, b_at, reason, 0 FROM (SELECT * FROM v_refs UNION ALL SELECT * FROM v_rest)""",
 )
 cte(
     "v_wreq",
@@ -70,7 +70,7 @@ cte(
 )
 cte(
     "v_auto",
-    """SELECT video_id, b_at, row_number() OVER (PARTITION BY video_id ORDER BY b_at) AS n FROM v_cand c WHERE reason <> 'requested'
+    """SELECT video_id, b_at, reason, row_number() OVER (PARTITION BY video_id ORDER BY b_at, reason) AS n FROM v_cand c WHERE reason <> 'requested'
       AND NOT EXISTS (SELECT 1 FROM v_req q WHERE q.video_id = c.video_id AND abs(q.b_at - c.b_at) < 8e0)""",
 )
 cte(
@@ -82,23 +82,23 @@ cte(
 )
 cte(
     "v_elig",
-    """SELECT e.*, n, 40 - coalesce(q.k, 0) AS room FROM (SELECT video_id, b_at, row_number() OVER (PARTITION BY video_id ORDER BY b_at) - 1 AS pos,
-      count(*) OVER (PARTITION BY video_id) AS n FROM v_wauto WHERE kept) e
+    """SELECT e.*, 40 - coalesce(q.k, 0) AS room FROM (SELECT w.video_id, w.b_at, a.reason, row_number() OVER (PARTITION BY w.video_id ORDER BY w.b_at) - 1 AS pos,
+      count(*) OVER (PARTITION BY w.video_id) AS n FROM v_wauto w JOIN v_auto a ON a.video_id = w.video_id AND a.n = w.n WHERE kept) e
       LEFT JOIN (SELECT video_id, count(*) AS k FROM v_req GROUP BY 1) q USING (video_id)""",
 )
 
 
 def candidates(spark, sf):
-    return A.words(spark, sf).filter("idx % 30 = 7 or idx % 11 = 3").select(
-        "video_id", F.col("start_s").alias("at"),
-        F.when(F.expr("idx % 30 = 7"), "requested").otherwise("screen-reference").alias("reason"),
-    )
+    """Every moment the words offer; each frame's time is a requested one."""
+    asked = A.frames(spark, sf).select("video_id", F.col("frame_at").alias("at"), F.lit("requested").alias("reason"))
+    found = V.screen_references(A.words(spark, sf)).unionByName(V.restored_terms(merged(spark, sf)))
+    return cut(asked.unionByName(found))
 
 
 @query(
     "win12_thinned_candidates",
     """SELECT video_id, b_at AS "at", 'requested' AS reason FROM v_req UNION ALL
-    SELECT video_id, b_at, 'screen-reference' FROM v_elig e WHERE room >= n OR EXISTS (SELECT 1 FROM range(0, 40) t(p)
+    SELECT video_id, b_at, reason FROM v_elig e WHERE room >= n OR EXISTS (SELECT 1 FROM range(0, 40) t(p)
       WHERE p < e.room AND CASE WHEN e.room <= 1 THEN 0 ELSE round_even(p * (e.n - 1) / (e.room - 1)::DOUBLE, 0) END = e.pos)""",
 )
 def _(spark, sf):
@@ -152,25 +152,26 @@ def _(spark, sf):
     return T.attach_slides(s, A.frames(spark, sf)).drop("times")
 
 
+cte("v_edge", "SELECT *, regexp_replace(regexp_replace(text, '^[.,;:!?\"''()\\[\\]]+', ''), '[.,;:!?\"''()\\[\\]]+$', '') AS term FROM v_merged")
+INTERESTING = r"""(length(term) >= 2 AND (regexp_matches(term[2:], '\p{Lu}') OR (regexp_matches(term[1:1], '\p{Lu}')
+  AND NOT (regexp_matches(term[2:], '\p{Ll}') AND NOT regexp_matches(term[2:], '[\p{Lu}\p{Lt}]')))
+  OR (regexp_matches(term, '[0-9]') AND contains(term, '.'))))"""
+
+
 @query(
     "cmp9_suspect_order",
-    """SELECT video_id, heard, caption, t, 'S' || row_number() OVER (PARTITION BY video_id ORDER BY keep DESC, t, heard, caption) AS suspect_id
-    FROM (SELECT video_id, text AS heard, 'x' || text AS caption, start_s AS t, text = 'GPT-4.1' OR text IN ('ConvNetJS', 'ResNet50') AS keep
-      FROM v_words WHERE idx % 41 = 7 AND text <> '라는')""",
+    f"""SELECT video_id, heard, caption, t, 'S' || row_number() OVER (PARTITION BY video_id ORDER BY keep DESC, t, heard, caption) AS suspect_id
+    FROM (SELECT *, {INTERESTING.replace("term", "heard")} OR {INTERESTING.replace("term", "caption")} AS keep
+      FROM (SELECT video_id, text AS heard, 'x' || text AS caption, start_s AS t FROM v_words))""",
 )
 def _(spark, sf):
-    s = A.words(spark, sf).filter("idx % 41 = 7").select(
+    s = A.words(spark, sf).select(
         "video_id", F.col("text").alias("heard"), F.concat(F.lit("x"), F.col("text")).alias("caption"),
         F.col("start_s").alias("t"), F.lit(None).cast("string").alias("slide"),
-    ).filter("heard <> '라는'")
+    )
     return T.number_suspects(s).select("video_id", "heard", "caption", "t", "suspect_id")
 
 
-SHAPED = "('GPT-4.1', 'ConvNetJS', 'ResNet50')"
-cte("v_edge", "SELECT *, regexp_replace(regexp_replace(text, '^[.,;:!?\"''()\\[\\]]+', ''), '[.,;:!?\"''()\\[\\]]+$', '') AS term FROM v_merged")
-INTERESTING = r"""(length(term) >= 2 AND (regexp_matches(term[2:], '\p{Lu}') OR (regexp_matches(term[1:1], '\p{Lu}')
-  AND NOT (regexp_matches(term[2:], '\p{Ll}') AND NOT regexp_matches(term[2:], '[\p{Lu}\p{Lt}]')))
-  OR (regexp_matches(term, '[0-9]') AND contains(term, '.'))))"""
 cte("v_shaped", f"""SELECT * FROM (SELECT video_id, term, count(*) AS freq, min_by(start_s, idx) AS t, row_number() OVER (PARTITION BY video_id
   ORDER BY count(*) DESC, min_by(start_s, idx), term) AS rank FROM v_edge WHERE origin = 'gemini' AND {INTERESTING} GROUP BY 1, 2) WHERE rank <= 60""")
 cte("v_restored", "SELECT video_id, term, min(start_s) AS t, count(DISTINCT start_s) AS n_times FROM v_edge WHERE origin = 'youtube' AND term <> '' GROUP BY 1, 2")

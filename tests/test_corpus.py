@@ -37,6 +37,10 @@ def test_index_answers_as_a_scan_does(spark):
     named = spark.createDataFrame([("q", "the model", 2)], "question_id string, query string, video_id long")
     got = N.search(named, N.grams(postings), postings, rows).collect()
     assert {r["video_id"] for r in got} == {2} and sorted(map(tuple, got)) == sorted(map(tuple, E.search(rows, named).collect()))
+    both = spark.createDataFrame([("q", "the model", v) for v in (2, 3)], "question_id string, query string, video_id long")
+    twice = N.search(both, N.grams(postings), postings, rows).where("video_id = 2").collect()
+    assert sorted(map(tuple, twice)) == sorted(map(tuple, got))  # another video's asking adds no hits
+    assert sorted(map(tuple, E.search(rows, both).where("video_id = 2").collect())) == sorted(map(tuple, got))
 
 
 def test_a_question_reads_its_buckets_alone(spark, tmp_path):
