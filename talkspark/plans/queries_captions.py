@@ -57,3 +57,16 @@ def _(spark, sf):
         F.col("chunk_end").alias("r_end"),
     )
     return C.text_in_ranges(ranges, A.cues(spark, sf))
+
+
+@query(
+    "fil2_id_mismatch",
+    """SELECT t.video_id // 2 AS bundle, t.video_id AS transcript_video_id, c.video_id AS captions_video_id FROM v_videos t
+    JOIN v_tracks c ON c.video_id // 2 = t.video_id // 2 WHERE c.original AND c.video_id <> t.video_id""",
+)
+def _(spark, sf):
+    # two neighbouring videos share a bundle; a track that is not the original names no video
+    bundle = F.floor(F.col("video_id") / 2).alias("bundle")
+    transcripts = A.videos(spark, sf).select(bundle, F.col("video_id").alias("transcript_video_id"))
+    tracks = A.caption_tracks(spark, sf).select(bundle, F.when(F.col("original"), F.col("video_id")).alias("captions_video_id"))
+    return C.id_mismatch(transcripts, tracks)

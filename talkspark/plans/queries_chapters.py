@@ -298,8 +298,8 @@ def _(spark, sf):
     return H.carry_titles(ch, prev, fps).select("video_id", "chapter_id", "title", "needs_title")
 
 
-@query(
-    "cmp13_title_submissions",
+cte(
+    "v_titled",
     """SELECT video_id, 1 AS submission_id, item_no, chapter_id, title, rule, NOT bool_or(rule IS NOT NULL) OVER (PARTITION BY video_id) AS applied FROM (
       SELECT video_id, item_no, chapter_id, title, CASE WHEN video_id % 4 = 3 THEN 'stale fingerprint'
         WHEN video_id % 4 = 1 AND item_no = 1 THEN 'unknown chapter'
@@ -309,7 +309,10 @@ def _(spark, sf):
           CASE WHEN video_id % 4 = 2 THEN repeat('x', 101) ELSE array_to_string(keywords, ' ') END AS title FROM v_chap
         UNION ALL SELECT video_id, 100, chapter_id, 'again' FROM v_chap WHERE video_id % 8 = 0 AND chapter_no = 1) s)""",
 )
-def _(spark, sf):
+
+
+def titled(spark, sf):
+    """Local chapters and the checked title submissions for them."""
     ch = local_chapters(spark, sf)
     fp = F.concat(F.lit("fp"), F.col("video_id").cast("string"))
     subs = ch.select(
@@ -323,7 +326,21 @@ def _(spark, sf):
         "chapter_id", F.lit("again").alias("title"),
     )
     fps = A.videos(spark, sf).select("video_id", fp.alias("transcript_fp"))
-    return H.check_titles(subs.unionByName(again), ch, fps)
+    return ch, H.check_titles(subs.unionByName(again), ch, fps)
+
+
+@query("cmp13_title_submissions", "SELECT * FROM v_titled")
+def _(spark, sf):
+    return titled(spark, sf)[1]
+
+
+@query(
+    "cmp13_applied_titles",
+    """SELECT c.video_id, c.chapter_id, coalesce(n.title, c.title) AS title, n.title IS NULL AS needs_title FROM v_chap c
+    LEFT JOIN v_titled n ON n.video_id = c.video_id AND n.chapter_id = c.chapter_id AND n.applied""",
+)
+def _(spark, sf):
+    return H.apply_titles(*titled(spark, sf)).select("video_id", "chapter_id", "title", "needs_title")
 
 
 @query(
