@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from talkspark.functions import lexicon as L
 from talkspark.functions import text as X
+from talkspark.functions.ordered import running
 from talkspark.operators.joins import interval_join
+from talkspark.operators.patterns import pattern_join
 
 COLUMNS = [
     "video_id", "start_s", "end_s", "text", "source_kind", "speaker", "speaker_candidate",
@@ -76,42 +78,10 @@ def query_terms(questions: DataFrame) -> DataFrame:
 
 
 def term_hits(rows: DataFrame, terms: DataFrame, row_id: list[str], text: str = "text") -> DataFrame:
-    """(row, term, count) for every row that contains the term.
-
-    Terms meet rows on the term's first three characters (or the whole term when shorter).  Only
-    the row's id travels with its grams, so the shuffle grows with the length of the texts; the
-    texts of the rows that met a term are joined back once and ``count`` checks the whole term.
-    """
-    distinct = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3))
-    low = rows.select(*row_id, F.lower(F.col(text)).alias("_low")).filter(F.length("_low") > 0)
-    grams = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.length("_low")),
-                lambda i: F.array(
-                    F.col("_low").substr(i, F.lit(1)),
-                    F.col("_low").substr(i, F.lit(2)),
-                    F.col("_low").substr(i, F.lit(3)),
-                ),
-            )
-        )
-    )
-    met = (
-        low.select(*row_id, F.explode(grams).alias("gram"))
-        .join(distinct, "gram")
-        .groupBy(*row_id)
-        .agg(F.collect_set("term").alias("_terms"))
-    )
-    count = (
-        (F.length("_low") - F.length(F.replace("_low", F.col("term"), F.lit("")))) / F.length("term")
-    ).cast("long")
-    return (
-        low.join(met, row_id)
-        .select(*row_id, "_low", F.explode("_terms").alias("term"))
-        .withColumn("n", count)
-        .filter("n > 0")
-        .select(*row_id, "term", "n")
-    )
+    """(row, term, count) for every row that contains the term, all terms in one walk over the text."""
+    asked = terms.select("term").distinct()
+    found = pattern_join(rows.select(*row_id, F.col(text).alias("_body")), asked, [], "_body", "term", carry=row_id)
+    return found.select(*row_id, "term", F.col("_n").alias("n"))
 
 
 def with_id(rows: DataFrame) -> DataFrame:
@@ -187,24 +157,28 @@ def answers(found: DataFrame, asked: DataFrame, frames: DataFrame, pad: float =
 MAX_EXCERPT = 12000
 
 
-def excerpts(requests: DataFrame, words: DataFrame, frames: DataFrame) -> DataFrame:
-    """Words overlapping each requested range (closed), cut at 12,000 characters.
+def excerpts(requests: DataFrame, words: DataFrame, frames: DataFrame, limit: int = MAX_EXCERPT) -> DataFrame:
+    """Words overlapping each requested range (closed), cut at ``limit`` characters.
 
-    ``requests(video_id, request_id, r_start, r_end)`` with ``r_end > r_start``.
+    ``requests(video_id, request_id, r_start, r_end)`` with ``r_end > r_start``.  Words are met
+    without their texts; the offset of each in the request's text is a running sum of lengths over
+    blocks of words.  Only the texts that begin up to the limit are then read, so no request gathers
+    more than ``limit`` + 1 words, however long its range is.
     """
+    key = ["video_id", "request_id"]
     asked = requests.filter("r_end > r_start")
-    hit = interval_join(
-        asked,
-        words.select("video_id", "idx", "text", "start_s", "end_s"),
-        "video_id",
-        (F.col("r_start"), F.col("r_end")),
-        (F.col("start_s"), F.col("end_s")),
-        60.0,
-    ).groupBy("video_id", "request_id").agg(
-        F.array_join(
-            F.array_sort(F.collect_list(F.struct("idx", "text"))).getField("text"), " "
-        ).alias("full_text"),
-        F.count(F.lit(1)).alias("word_count"),
+    long_words = words.select("video_id", "idx", F.coalesce(F.length("text") + 1, F.lit(0)).cast("long").alias("_len"), "start_s", "end_s")
+    met = interval_join(
+        asked, long_words, "video_id", (F.col("r_start"), F.col("r_end")), (F.col("start_s"), F.col("end_s")), 60.0
+    ).select(*key, "idx", "_len")
+    size = met.groupBy(*key).agg(F.count(F.lit(1)).alias("word_count"), F.greatest(F.sum("_len") - 1, F.lit(0)).alias("_full"))
+    placed = running(met, key, "idx", {"_at": ("sum", F.col("_len"))}, inclusive=False)
+    head = (
+        placed.filter((F.col("_at") <= limit) & (F.col("_len") > 0))
+        .select(*key, "idx")
+        .join(words.select("video_id", "idx", "text"), ["video_id", "idx"])
+        .groupBy(*key)
+        .agg(F.array_join(F.array_sort(F.collect_list(F.struct("idx", "text"))).getField("text"), " ").alias("_head"))
     )
     pics = interval_join(
         asked,
@@ -214,20 +188,21 @@ def excerpts(requests: DataFrame, words: DataFrame, frames: DataFrame) -> DataFr
         (F.col("frame_at"), F.col("frame_at")),
         60.0,
     ).groupBy("video_id", "request_id").agg(F.count(F.lit(1)).alias("n_frames"))
-    full = F.coalesce("full_text", F.lit(""))
-    long = F.length(full) > MAX_EXCERPT
+    full, length = F.coalesce("_head", F.lit("")), F.coalesce("_full", F.lit(0)).cast("int")
+    long = length > limit
     return (
-        asked.join(hit, ["video_id", "request_id"], "left")
-        .join(pics, ["video_id", "request_id"], "left")
+        asked.join(size, key, "left")
+        .join(head, key, "left")
+        .join(pics, key, "left")
         .select(
             "video_id",
             "request_id",
             F.concat_ws(" - ", X.timecode(F.col("r_start")), X.timecode(F.col("r_end"))).alias("timecode"),
-            F.when(long, cut_text(full, MAX_EXCERPT)).otherwise(full).alias("text"),
+            F.when(long, cut_text(full, limit)).otherwise(full).alias("text"),
             F.coalesce("word_count", F.lit(0)).alias("word_count"),
             F.coalesce("n_frames", F.lit(0)).alias("n_frames"),
             long.alias("truncated"),
-            F.length(full).alias("full_length"),
+            length.alias("full_length"),
         )
     )
 

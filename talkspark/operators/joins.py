@@ -135,37 +135,3 @@ def asof_last(
         order=[F.col("_t"), F.col("_side")],
     )
     return carried.filter("_side = 1").select("_point.*", out)
-
-
-def grams(text: Column) -> Column:
-    """Distinct substrings of one to three characters."""
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.length(text)),
-                lambda i: F.array(*[text.substr(i, F.lit(n)) for n in (1, 2, 3)]),
-            )
-        )
-    )
-
-
-def contains_join(
-    rows: DataFrame,
-    patterns: DataFrame,
-    keys: Sequence[str],
-    text: str,
-    pattern: str,
-    ignore_case: bool = True,
-) -> DataFrame:
-    """Rows whose ``text`` contains ``pattern``, without comparing all pairs.
-
-    Sides meet on the pattern's first three characters (the whole pattern when shorter), then
-    the whole pattern is checked.
-    """
-    keys = as_list(keys)
-    fold = F.lower if ignore_case else (lambda c: c)
-    left = rows.withColumn("_hay", fold(F.col(text))).filter(F.length("_hay") > 0)
-    right = patterns.withColumn("_pin", fold(F.col(pattern))).filter(F.length("_pin") > 0)
-    left = left.withColumn("_gram", F.explode(grams(F.col("_hay"))))
-    right = right.withColumn("_gram", F.substring("_pin", 1, 3))
-    return left.join(right, [*keys, "_gram"]).filter(F.contains("_hay", "_pin")).drop("_hay", "_pin", "_gram")

@@ -6,7 +6,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,11 +74,25 @@ def observed_bounds(words: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def pieces(near: DataFrame) -> DataFrame:
+    """``piece``: the first start of an unbroken row of occurrences of one word form.
+
+    It breaks where the next start is more than 0.75 s later, so words of different pieces can't be
+    the same.  A form's occurrences stream through a window; the grouping by piece that follows
+    needs no further shuffle.
+    """
+    along = Window.partitionBy("video_id", "run", "key").orderBy("start_s", "chunk_index", "pos")
+    gap = F.col("start_s") - F.lag("start_s").over(along)
+    begun = near.withColumn("_begin", F.when(gap.isNull() | (gap > DELTA), F.col("start_s")))
+    return begun.withColumn("piece", F.max("_begin").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("_begin")
+
+
 def dropped_words(words: DataFrame, chunks: DataFrame) -> DataFrame:
     """(video, chunk, pos) of words already kept from an earlier chunk or the same one.
 
-    Only words inside a re-heard range can be dropped or cause a drop, so a group is one word
-    form inside one run of ranges; its rows are folded in arrival order.
+    Only words inside a re-heard range can be dropped or cause a drop, and only within 0.75 s, so
+    a group is a piece (``pieces``) of one word form inside one run of ranges; its rows are folded
+    in arrival order.
     """
     windows = overlaps(chunks)
     runs = windows.groupBy("video_id", "run").agg(F.min("lo").alias("r_lo"), F.max("hi").alias("r_hi"))
@@ -92,7 +106,7 @@ def dropped_words(words: DataFrame, chunks: DataFrame) -> DataFrame:
         30.0,
     ).join(windows.select("video_id", "chunk_index", "lo", "hi"), ["video_id", "chunk_index"], "left")
     row = F.struct("chunk_index", "pos", "start_s", "end_s", "lo", "hi")
-    groups = near.groupBy("video_id", "run", "key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    groups = pieces(near).groupBy("video_id", "run", "key", "piece").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
     shape = "struct<chunk_index:bigint,pos:bigint,start_s:double,end_s:double,lo:double,hi:double>"
 

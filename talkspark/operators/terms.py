@@ -12,7 +12,8 @@ from pyspark.sql.types import DoubleType
 
 from talkspark.functions import text as X
 from talkspark.functions.ordered import numbered
-from talkspark.operators.joins import asof_last, contains_join, interval_join
+from talkspark.operators.joins import asof_last, interval_join
+from talkspark.operators.patterns import contains_join
 
 MIN_RATIO = 0.55
 SLIDE_RATIO = 0.8

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from talkspark.functions import text as X
 from talkspark.functions.ordered import map_groups, neighbours, orbit, running, windowed
-from talkspark.operators.joins import contains_join, interval_join
+from talkspark.operators.joins import interval_join
+from talkspark.operators.patterns import contains_join
 from talkspark.operators.terms import mentions
 
 READ_CPS = 13
