@@ -35,12 +35,14 @@ def _minutes(rows: DataFrame) -> DataFrame:
 
 def recent(attempts: DataFrame, limit: int) -> DataFrame:
     """Attempts within the last 60 s of the same key and Pacific day, and seconds until one of
-    ``limit`` slots frees.  An attempt exactly 60 s old is outside."""
+    ``limit`` slots frees.  An attempt exactly 60 s old is outside; attempts of one microsecond
+    all wait for the same slot, so the largest of their lags is taken."""
     w = Window.partitionBy("key_hash", "day", "_b").orderBy("us")
     out = (
         _minutes(attempts)
         .withColumn("rpm_attempts", F.count(F.lit(1)).over(w.rangeBetween(-(MINUTE - 1), 0)))
         .withColumn("_nth", F.lag("us", limit - 1).over(w) if limit > 1 else F.col("us"))
+        .withColumn("_nth", F.max("_nth").over(w.rangeBetween(Window.currentRow, Window.currentRow)))
     )
     full = (F.col("rpm_attempts") >= limit) & (F.col("_nth") > F.col("us") - MINUTE)
     return out.filter("_b = _home").select(

@@ -156,3 +156,11 @@ def test_sentence_key_depends_on_content_only(spark):
     df = spark.createDataFrame([(1.0, 2.0, "a"), (1.0, 2.0, "a"), (1.0, 2.001, "a")], "a double, b double, t string")
     keys = [r.k for r in df.select(S.sentence_key(F.col("a"), F.col("b"), F.col("t")).alias("k")).collect()]
     assert keys[0] == keys[1] != keys[2]
+
+
+def test_attempts_of_one_microsecond_wait_for_the_same_slot(spark):
+    rows = [(0, "k", "2024-01-01 10:00:00"), (1, "k", "2024-01-01 10:00:10"), (2, "k", "2024-01-01 10:00:10"), (3, "k", "2024-01-01 10:00:10")]
+    a = spark.createDataFrame(rows, "event_id int, key_hash string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = [(r.rpm_attempts, r.wait_us) for r in U.recent(a, 2).orderBy("event_id").collect()]
+    assert got == [(1, 0)] + [(4, 60_000_000)] * 3
+    assert {r.wait_us for r in U.recent(a, 4).filter("event_id > 0").collect()} == {50_000_000}
