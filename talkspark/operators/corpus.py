@@ -85,11 +85,11 @@ class Corpus:
             path = F.concat_ws("/", F.col("source_kind"), F.col("video_id").cast("string"))
             ordered = rows.withColumn("source_path", path).repartitionByRange("source_kind", "video_id", "start_s")
             return {"evidence": ordered.sortWithinPartitions("source_kind", "video_id", "start_s")}
-        found = cut(index.postings(mine(self.evidence.read("evidence"))))
+        rows = mine(self.evidence.read("evidence"))
         # A token belongs to the vocabulary, not to a video: only tokens that are new are added.
         known = self.index.read("grams").select("token").distinct()
-        fresh = index.grams(found.select("token").distinct().join(known, "token", "left_anti"))
-        return {"postings": found.repartitionByRange("bucket", "token", "evidence_id"), "grams": fresh.withColumn("video_id", F.lit(None).cast("long"))}
+        fresh = index.grams(index.vocabulary(rows).join(known, "token", "left_anti"))
+        return {"postings": index.postings(rows), "grams": fresh.withColumn("video_id", F.lit(None).cast("long"))}
 
     def answers(self, questions: DataFrame, limit: int = 8, per_video: bool = True) -> DataFrame:
         return index.search(questions, self.index.read("grams"), self.index.read("postings"), self.evidence.read("evidence"), limit, per_video)

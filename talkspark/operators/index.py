@@ -8,15 +8,15 @@ split into hash buckets; a search reads the buckets it asks for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkspark.functions import lexicon as L
 from talkspark.functions.lineage import cut
 from talkspark.operators.evidence import query_terms
+from talkspark.operators.ranking import ranked
 
 BUCKETS = 64
-SALTS = 16
 POSTINGS = "video_id long, evidence_id string, token string, tf long, confidence double, start_s double, bucket int"
 GRAMS = "gram string, token string, bucket int"
 
@@ -25,19 +25,27 @@ def bucket(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
 
 
+def tokens() -> Column:
+    return F.regexp_extract_all(F.lower("text"), F.lit(L.QUERY_TOKEN), F.lit(0))
+
+
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """``token``: every distinct token of the rows."""
+    return rows.select(F.explode(F.array_distinct(tokens())).alias("token")).distinct()
+
+
 def postings(rows: DataFrame) -> DataFrame:
     """A row per evidence row and token, with what a ranking asks first; ``rows`` has ``evidence_id``.
 
     Ordered by bucket, token and row, so that a token of any number of rows is spread over many
     tasks and files, and a file's statistics tell its tokens.
     """
-    tokens = rows.select(
-        "video_id", "evidence_id", "confidence", "start_s", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(L.QUERY_TOKEN), F.lit(0))).alias("token")
-    )
-    counted = tokens.groupBy("video_id", "evidence_id", "token").agg(
-        F.count("*").alias("tf"), F.first("confidence").alias("confidence"), F.first("start_s").alias("start_s")
-    )
-    placed = counted.withColumn("bucket", bucket("token"))
+    sorted_ = rows.select("video_id", "evidence_id", "confidence", "start_s", F.array_sort(tokens()).alias("_all")).where(F.size("_all") > 0)
+    begins = F.filter(F.sequence(F.lit(1), F.size("_all")), lambda i: (i == 1) | (F.get("_all", i - 1) != F.get("_all", i - 2)))
+    ends = F.concat(F.slice("_begins", 2, F.size("_begins")), F.array(F.size("_all") + 1))
+    counts = F.zip_with("_begins", ends, lambda a, b: F.struct(F.get("_all", a - 1).alias("token"), (b - a).cast("long").alias("tf")))
+    each = sorted_.withColumn("_begins", begins).select("video_id", "evidence_id", "confidence", "start_s", F.explode(counts).alias("_c"))
+    placed = each.select("video_id", "evidence_id", "_c.token", "_c.tf", "confidence", "start_s").withColumn("bucket", bucket("token"))
     return placed.repartitionByRange("bucket", "token", "evidence_id").sortWithinPartitions("bucket", "token", "evidence_id")
 
 
@@ -56,12 +64,11 @@ def only(rows: DataFrame, asked: DataFrame, column: str) -> DataFrame:
     return rows.where(F.col("bucket").isin(held)) if held else rows.where(F.lit(False))
 
 
-def token_weights(terms: DataFrame, gram_rows: DataFrame) -> DataFrame:
-    """``question_id, token, weight``: how often the question's terms stand in a token of the vocabulary."""
+def asked_tokens(terms: DataFrame, gram_rows: DataFrame) -> DataFrame:
+    """``token``: the vocabulary's tokens that hold a term."""
     asked = cut(terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3)))
-    n = ((F.length("token") - F.length(F.replace("token", F.col("term"), F.lit("")))) / F.length("term")).cast("long")
-    found = only(gram_rows, asked, "gram").join(asked, "gram").withColumn("n", n).where("n > 0")
-    return found.select("term", "token", "n").join(terms, "term").groupBy("question_id", "token").agg(F.sum("n").alias("weight"))
+    found = only(gram_rows, asked, "gram").join(asked, "gram").where(F.col("token").contains(F.col("term")))
+    return found.select("token").distinct()
 
 
 def search(
@@ -69,25 +76,12 @@ def search(
 ) -> DataFrame:
     """Top ``limit`` evidence rows per question (and video): term count, confidence, start.
 
-    Same answers as ``evidence.search``.  Hits are counted and cut on ids; the evidence's other
-    columns are joined to the rows that are left, ties included.  A token that most rows hold
-    meets its questions in ``SALTS`` parts.
+    Same answers as ``evidence.search``.  The buckets that hold asked tokens are read; hits are
+    counted and ranked where the rows are (``ranking``), so what is shuffled goes with rows and
+    postings and not with rows times questions.
     """
-    weights = cut(token_weights(query_terms(questions), gram_rows))
-    parts = weights.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    held = only(posting_rows, weights, "token").withColumn("part", F.pmod(F.xxhash64("evidence_id"), F.lit(SALTS)).cast("int"))
-    hits = (
-        held.join(parts, ["token", "part"])
-        .groupBy("question_id", "video_id", "evidence_id")
-        .agg(F.sum(F.col("tf") * F.col("weight")).alias("hits"), F.first("confidence").alias("confidence"), F.first("start_s").alias("start_s"))
-    )
-    if "video_id" in questions.columns:
-        hits = hits.join(questions.select("question_id", "video_id").distinct(), ["question_id", "video_id"], "left_semi")
-    part = ["question_id", "video_id"] if per_video else ["question_id"]
-    order = [F.col("hits").desc(), F.col("confidence").desc(), F.col("start_s")]
-    best = hits.withColumn("place", F.rank().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("place") <= limit)
-    winners = best.select("question_id", "evidence_id", "hits").join(rows, "evidence_id")
-    tie = [F.col("video_id"), F.col("end_s"), F.col("source_kind"), F.col("text")]
-    numbered = winners.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order, *tie)))
+    terms = cut(query_terms(questions))
+    held = only(posting_rows, cut(asked_tokens(terms, gram_rows)), "token")
+    best = ranked(questions, terms, held, rows, limit, per_video)
     columns = ["question_id", "video_id", "start_s", "source_kind", "end_s", "text", "confidence", "speaker", "hits"]
-    return numbered.where(F.col("rank") <= limit).select(*columns, "rank")
+    return best.select(*columns, "rank")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkspark.functions import text as X
-from talkspark.functions.lineage import cut
+from talkspark.functions.lineage import folder
 
 TIMING = "^(\\d{2}:\\d{2}:\\d{2},\\d{3})\\s+-->\\s+(\\d{2}:\\d{2}:\\d{2},\\d{3})"
 VIDEO_ID = "(?:v=|youtu\\.be/|/shorts/|/embed/)([0-9A-Za-z_-]{11})"
@@ -119,9 +119,7 @@ def split_urls(urls: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame]
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder beside the session's checkpoints, reachable from all executors."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_evidence(evidence: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talkspark.operators import evidence as E
 from talkspark.operators import index as N
+from talkspark.operators import ranking
 from talkspark.operators.corpus import Corpus
 from talkspark.sources.versions import Versions, changes
 
@@ -43,6 +44,19 @@ def test_index_answers_as_a_scan_does(spark):
     assert sorted(map(tuple, E.search(rows, both).where("video_id = 2").collect())) == sorted(map(tuple, got))
 
 
+def test_blocks_and_parts_are_ranked_as_a_scan_does(spark, monkeypatch):
+    for name, value in (("BLOCK", 4), ("BUCKET_ROWS", 8), ("PART", 2)):
+        monkeypatch.setattr(ranking, name, value)
+    rows = E.with_id(rows_of(spark, ["the model", "a b the", "model model", "the"] * 9 + ["the the the", "lone"]).withColumn("video_id", F.expr("if(start_s < 1, 9, video_id)")))
+    questions = spark.createDataFrame([("q", "the MODEL?"), ("a", "a, b"), ("o", "lone"), ("none", "zzz")], QUESTIONS)
+    postings = N.postings(rows)
+    found = N.search(questions, N.grams(postings), postings, rows, 3)
+    # hits leave a task as the best rows alone: nothing with a row for each hit is shuffled
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("MapInArrow")[0]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, E.search(rows, questions, 3).collect()))
+
+
 def test_a_question_reads_its_buckets_alone(spark, tmp_path):
     postings = N.postings(E.with_id(rows_of(spark, [f"word{i} other{i * 7}" for i in range(200)])))
     postings.write.partitionBy("bucket").parquet(str(tmp_path / "p"))
