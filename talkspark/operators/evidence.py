@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkspark.functions import lexicon as L
 from talkspark.functions import text as X
-from talkspark.functions.ordered import running
+from talkspark.functions.lineage import cut
 from talkspark.operators.joins import interval_join
 from talkspark.operators.patterns import pattern_join
 
@@ -155,31 +155,43 @@ def answers(found: DataFrame, asked: DataFrame, frames: DataFrame, pad: float =
 
 
 MAX_EXCERPT = 12000
+EXCERPT_BLOCK = 512
 
 
 def excerpts(requests: DataFrame, words: DataFrame, frames: DataFrame, limit: int = MAX_EXCERPT) -> DataFrame:
     """Words overlapping each requested range (closed), cut at ``limit`` characters.
 
     ``requests(video_id, request_id, r_start, r_end)`` with ``r_end > r_start``.  Words are met
-    without their texts; the offset of each in the request's text is a running sum of lengths over
-    blocks of words.  Only the texts that begin up to the limit are then read, so no request gathers
-    more than ``limit`` + 1 words, however long its range is.
+    without their texts first, which tells each request's length.  Requests within the limit gather
+    their texts in one grouping.  For the others lengths are summed in blocks of words, and only the
+    blocks that begin up to the limit are met word by word, so no request gathers more than ``limit``
+    + 1 words, and shuffles few more, however long its range is.
     """
     key = ["video_id", "request_id"]
     asked = requests.filter("r_end > r_start")
-    long_words = words.select("video_id", "idx", F.coalesce(F.length("text") + 1, F.lit(0)).cast("long").alias("_len"), "start_s", "end_s")
-    met = interval_join(
-        asked, long_words, "video_id", (F.col("r_start"), F.col("r_end")), (F.col("start_s"), F.col("end_s")), 60.0
-    ).select(*key, "idx", "_len")
-    size = met.groupBy(*key).agg(F.count(F.lit(1)).alias("word_count"), F.greatest(F.sum("_len") - 1, F.lit(0)).alias("_full"))
-    placed = running(met, key, "idx", {"_at": ("sum", F.col("_len"))}, inclusive=False)
-    head = (
-        placed.filter((F.col("_at") <= limit) & (F.col("_len") > 0))
-        .select(*key, "idx")
-        .join(words.select("video_id", "idx", "text"), ["video_id", "idx"])
-        .groupBy(*key)
-        .agg(F.array_join(F.array_sort(F.collect_list(F.struct("idx", "text"))).getField("text"), " ").alias("_head"))
+
+    sized = words.select(
+        "video_id", "idx", "text", F.coalesce(F.length("text") + 1, F.lit(0)).cast("long").alias("_len"), F.expr(f"idx div {EXCERPT_BLOCK}").alias("_blk"), "start_s", "end_s"
     )
+
+    def within(ranges: DataFrame, on: list[str], *columns: str) -> DataFrame:
+        met = interval_join(ranges, sized, on, (F.col("r_start"), F.col("r_end")), (F.col("start_s"), F.col("end_s")), 60.0)
+        return met.select(*key, "_len", *columns)
+
+    def joined(rows: DataFrame) -> DataFrame:
+        texts = F.array_sort(F.collect_list(F.struct("idx", "text"))).getField("text")
+        return rows.groupBy(*key).agg(F.array_join(texts, " ").alias("_head"))
+
+    met = within(asked, ["video_id"])
+    size = cut(met.groupBy(*key).agg(F.count(F.lit(1)).alias("word_count"), F.greatest(F.sum("_len") - 1, F.lit(0)).alias("_full")))
+    over = size.filter(F.col("_full") > limit).select(*key)
+    blocks = within(asked.join(over, key, "left_semi"), ["video_id"], "_blk").groupBy(*key, "_blk").agg(F.sum("_len").alias("_sum"))
+    earlier = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    first = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).filter(F.col("_before") <= limit)
+    ahead = Window.partitionBy(*key, "_blk").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    near = within(asked.join(first.select(*key, "_blk", "_before"), key), ["video_id", "_blk"], "_blk", "_before", "idx", "text")
+    begun = near.filter("_len > 0").withColumn("_at", F.col("_before") + F.coalesce(F.sum("_len").over(ahead), F.lit(0))).filter(F.col("_at") <= limit)
+    head = joined(within(asked.join(over, key, "left_anti"), ["video_id"], "idx", "text").filter("_len > 0")).unionByName(joined(begun))
     pics = interval_join(
         asked,
         frames.select("video_id", "frame_no", "frame_at"),

@@ -109,3 +109,21 @@ def test_pieces_break_at_the_tolerance(spark):
     near = spark.createDataFrame([(1, 1, "no", 0, i, t) for i, t in enumerate(times)], "video_id int, run int, key string, chunk_index int, pos int, start_s double")
     got = P.pieces(near).groupBy("piece").agg(F.count("*").alias("n")).collect()
     assert sorted(tuple(r) for r in got) == [(0.0, 3), (2.26, 2), (9.0, 1)]
+
+
+def test_long_excerpts_meet_their_first_blocks_alone(spark, monkeypatch):
+    monkeypatch.setattr(E, "EXCERPT_BLOCK", 4)
+    words = [(1, i, "w" * (i % 3) or None, i * 1.0, i + 0.5) for i in range(90)]
+    asks = [(1, 0, 0.0, 90.0), (1, 1, 17.2, 80.0), (1, 2, 3.0, 6.0)]
+    got = E.excerpts(
+        spark.createDataFrame(asks, "video_id int, request_id int, r_start double, r_end double"),
+        spark.createDataFrame(words, "video_id int, idx long, text string, start_s double, end_s double"),
+        spark.createDataFrame([(1, 0, 5.0)], "video_id int, frame_no int, frame_at double"),
+        20,
+    )
+    for r in got.collect():
+        hit = [w for w in words if w[3] <= asks[r.request_id][3] and w[4] >= asks[r.request_id][2]]
+        full = " ".join(w[2] for w in hit if w[2])
+        head = full[:20]
+        assert r.text == (head[: head.rindex(" ")] if len(full) > 20 else head)
+        assert (r.word_count, r.full_length, r.truncated) == (len(hit), len(full), len(full) > 20)
