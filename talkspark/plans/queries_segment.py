@@ -113,7 +113,7 @@ def chapter_records(spark, sf):
 
 
 def evidence_table(spark, sf):
-    return E.evidence(S.spans(A.words(spark, sf)), frame_records(spark, sf), chapter_records(spark, sf))
+    return E.evidence(S.spans(cut(A.words(spark, sf))), frame_records(spark, sf), chapter_records(spark, sf))
 
 
 def indexed(spark, sf):
