@@ -25,16 +25,21 @@ def folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint, which keeps its partitions and their order."""
+    folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` stored in the session's checkpoint folder and read back.
 
-    Stored by column and compressed: a row of a checkpoint takes eight bytes a field and more, which
-    for word rows is some fifteen times as much.
+    Stored by column and compressed, where a row of a checkpoint takes eight bytes a field and more.
+    Partitions and their order are not kept; ``checkpointed`` keeps them.
     """
-    spark = df.sparkSession
-    at = folder(spark)
     if "void" in df.schema.simpleString():  # has no column format
-        return df.checkpoint(eager=True)
-    path = f"{at}/cut-{uuid.uuid4().hex}"
+        return checkpointed(df)
+    spark = df.sparkSession
+    path = f"{folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

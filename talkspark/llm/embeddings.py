@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkspark.functions.lineage import cut
+from talkspark.functions.lineage import checkpointed as cut
 from talkspark.llm import arrow, links
 
 

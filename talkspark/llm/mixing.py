@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talkspark.functions.lineage import cut
+from talkspark.functions.lineage import checkpointed as cut
 from talkspark.functions.ordered import running
 from talkspark.llm.hypergeometric import deal
 from talkspark.llm.hypergeometric import draw as hypergeometric  # noqa: F401

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talkspark.functions.lineage import cut
+from talkspark.functions.lineage import checkpointed as cut
 from talkspark.llm import hypergeometric
 from talkspark.llm.names import fresh
 
