@@ -179,11 +179,19 @@ def beyond_ascii(c: Column) -> Column:
     return F.regexp_replace(c, "[\\x00-\\x7F]+", "")
 
 
-def script_counts(c: Column, rest: Column) -> dict[str, Column]:
-    """Letters per script; ``rest`` is the text beyond ASCII, where all but Latin is found."""
-    return {
-        s: F.regexp_count(c if s == "latin" else rest, F.lit(L.script_class(s))) for s in L.SCRIPTS
-    }
+def without_class(c: Column, classes: str) -> Column:
+    """``c`` without the runs of a character class."""
+    return F.regexp_replace(c, classes + "+", "")
+
+
+def script_counts(c: Column, rest: Column, rare: Column) -> dict[str, Column]:
+    """Letters per script, as what a text loses when they are taken out run by run.
+
+    ``rest`` is the text beyond ASCII, where all but Latin is found; ``rare`` is ``rest`` without the
+    ``COMMON_SCRIPTS``, where the others are found.
+    """
+    where = {s: c if s == "latin" else rest if s in L.COMMON_SCRIPTS else rare for s in L.SCRIPTS}
+    return {s: F.length(at) - F.length(without_class(at, L.script_class(s))) for s, at in where.items()}
 
 
 def script_of_language(c: Column) -> Column:

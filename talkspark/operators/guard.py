@@ -17,13 +17,15 @@ TRACE = 0.05
 def script_counts(texts: DataFrame, text: str = "text", prefix: str = "n_") -> DataFrame:
     """``texts`` plus one count column per script; no shuffle.
 
-    The text beyond ASCII is taken out once, so the many classes scan little of a Latin text.
+    The text beyond ASCII is taken out once, and of that what no common script holds, so the many
+    classes scan little of most texts.
     """
-    counts = X.script_counts(F.col(text), F.col("_rest"))
+    counts = X.script_counts(F.col(text), F.col("_rest"), F.col("_rare"))
     return (
         texts.withColumn("_rest", X.beyond_ascii(F.col(text)))
+        .withColumn("_rare", X.without_class(F.col("_rest"), L.script_class(*L.COMMON_SCRIPTS)))
         .withColumns({prefix + s: c for s, c in counts.items()})
-        .drop("_rest")
+        .drop("_rest", "_rare")
     )
 
 
