@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from talkspark.functions import lexicon as L
 from talkspark.operators import guard
+from talkspark.streaming import jobs as J
+from test_streams import put, response
 
 
 def plan(df):
@@ -20,3 +22,22 @@ def test_script_counts_make_no_array_of_letters(spark):
         text = texts[row["n"]]
         for s in L.SCRIPTS:
             assert row["n_" + s] == (None if text is None else sum(any(lo <= c <= hi for lo, hi in ranges[s]) for c in text)), (text, s)
+
+
+def test_ingest_parses_each_response_once(spark, tmp_path, monkeypatch):
+    parsed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        parsed.add(1)
+        return text
+
+    rows = J.response_rows
+    monkeypatch.setattr(J, "response_rows", lambda r: rows(r.withColumn("response", counted.asNondeterministic()("response"))))
+    source = tmp_path / "in"
+    source.mkdir()
+    for n in range(3):
+        put(source, n, n, response("a", "b", "b"))
+    J.ingest(spark, str(source), str(tmp_path / "out"), str(tmp_path / "state"), files_per_batch=10)
+    assert J.current_words(spark, str(tmp_path / "out")).count() == 9
+    assert parsed.value == 3
