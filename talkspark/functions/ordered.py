@@ -41,11 +41,14 @@ def windowed(
     before: int = 0,
     after: int = 0,
     block: int = BLOCK,
+    keep: bool = False,
 ) -> DataFrame:
     """Window columns whose frames reach at most ``before``/``after`` rows of a dense ``idx``.
 
     ``idx`` must count 0, 1, 2, … within ``keys``.  Rows near a block edge are copied to the
-    neighbouring block and dropped again afterwards, so frames see what they need.
+    neighbouring block and dropped again afterwards, so frames see what they need.  An entry of
+    ``outs`` may use the columns of those before it.  ``keep`` leaves the block as ``_blk``, by
+    which the rows lie dealt, for ``running``.
     """
     if max(before, after) > block:
         raise ValueError("frame reaches past a neighbouring block")
@@ -61,7 +64,8 @@ def windowed(
     w = Window.partitionBy(*keys, "_blk").orderBy(idx)
     for name, make in outs.items():
         copied = copied.withColumn(name, make(w))
-    return copied.filter(F.col("_blk") == home).drop("_blk")
+    own = copied.filter(F.col("_blk") == home)
+    return own if keep else own.drop("_blk")
 
 
 def neighbours(
@@ -71,6 +75,7 @@ def neighbours(
     prev: dict[str, str] | None = None,
     nxt: dict[str, str] | None = None,
     block: int = BLOCK,
+    keep: bool = False,
 ) -> DataFrame:
     """``lag``/``lead`` by one row: ``{new column: source column}`` for each direction."""
     outs: dict[str, Callable[[WindowSpec], Column]] = {}
@@ -78,7 +83,7 @@ def neighbours(
         outs[name] = lambda w, s=source: F.lag(s).over(w)
     for name, source in (nxt or {}).items():
         outs[name] = lambda w, s=source: F.lead(s).over(w)
-    return windowed(df, keys, idx, outs, before=1 if prev else 0, after=1 if nxt else 0, block=block)
+    return windowed(df, keys, idx, outs, before=1 if prev else 0, after=1 if nxt else 0, block=block, keep=keep)
 
 
 _COMBINE = {
@@ -103,11 +108,12 @@ def running(
 
     ``max`` over a struct that starts with the order column gives "the latest earlier row that
     …", which is how carry-forward and as-of lookups are written.  ``bucket``/``order`` replace
-    the integer ``idx`` when the order is a time: ``bucket`` must grow with it.
+    the integer ``idx`` when the order is a time: ``bucket`` must grow with it.  Rows that
+    ``windowed`` left with their ``_blk`` stay where they are.
     """
     keys = as_list(keys)
     blk = bucket if bucket is not None else F.expr(f"`{idx}` div {block}")
-    base = df.withColumn("_blk", blk)
+    base = df if "_blk" in df.columns else df.withColumn("_blk", blk)
     for name, (_, expr) in outs.items():
         base = base.withColumn(f"_in_{name}", expr)
     ordering = list(order) if order is not None else [F.col(idx)]
@@ -354,12 +360,23 @@ def orbit(
 def group_starts(
     df: DataFrame, keys: str | Sequence[str], idx: str, nodes: DataFrame, out: str = "grp"
 ) -> DataFrame:
-    """``df`` plus ``out`` = the ``idx`` at which the row's greedy group starts."""
+    """``df`` plus ``out`` = the ``idx`` at which the row's greedy group starts.
+
+    The starts are sorted among the rows of their block, so rows are dealt once and joined only
+    with one carried start a block.
+    """
     keys = as_list(keys)
-    starts = orbit(nodes, keys).select(*keys, F.col("idx").alias(idx), F.lit(True).alias("_on"))
-    flagged = df.join(starts, [*keys, idx], "left")
-    return running(flagged, keys, idx, {out: ("max", F.expr(f"CASE WHEN _on THEN `{idx}` END"))}).drop(
-        "_on"
+    block = F.expr(f"`{idx}` div {BLOCK}")
+    marks = cut(orbit(nodes, keys).select(*keys, F.col("idx").alias(idx))).withColumns({"_blk": block, "_on": F.lit(True)})
+    rows = df.withColumns({"_blk": block, "_on": F.lit(False)})
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_blk").orderBy(F.col(idx), F.col("_on").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    latest = both.groupBy(*keys, "_blk").agg(F.max(F.when(F.col("_on"), F.col(idx))).alias("_top"))
+    carry = latest.select(*keys, "_blk", F.max("_top").over(earlier).alias("_carry"))
+    local = both.withColumn("_loc", F.max(F.when(F.col("_on"), F.col(idx))).over(inside)).filter(~F.col("_on")).drop("_on")
+    return (
+        local.join(carry, [*keys, "_blk"], "left").withColumn(out, F.coalesce("_loc", "_carry")).drop("_blk", "_loc", "_carry")
     )
 
 

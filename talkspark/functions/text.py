@@ -34,12 +34,12 @@ def latin_tokens(c: Column) -> Column:
 
 def content_tokens(c: Column) -> Column:
     raw = F.regexp_extract_all(c, F.lit(L.CONTENT_TOKEN), F.lit(0))
-    clean = F.transform(raw, lambda t: F.lower(F.regexp_replace(t, "^[._+#-]+|[._+#-]+$", "")))
+    clean = F.transform(raw, lambda t: F.lower(F.btrim(t, F.lit("._+#-"))))
     return F.filter(
         clean,
         lambda t: (F.length(t) >= 2)
         & ~t.isin(L.STOP_WORDS)
-        & ~t.rlike("^[0-9]+$"),
+        & (F.btrim(t, F.lit("0123456789")) != ""),
     )
 
 

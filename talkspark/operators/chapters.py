@@ -264,8 +264,8 @@ def token_counts(in_chapters: DataFrame) -> DataFrame:
         .groupBy("video_id", "chapter_no", "token")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    df = tf.groupBy("video_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    return tf.join(df, ["video_id", "token"])
+    # a group holds a row per chapter of one video at most
+    return tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("video_id", "token")))
 
 
 def keywords(counts: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -283,27 +283,25 @@ def keywords(counts: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def excerpts(in_chapters: DataFrame, top: DataFrame) -> DataFrame:
-    """Two sentences per chapter with most keyword hits, then closest to its middle."""
-    grouped = chapter_sentence_starts(in_chapters, part="chapter_no")
-    keys = ("video_id", "chapter_no", "grp")
-    hits = (
-        grouped.select(*keys, F.explode(X.content_tokens(F.col("text"))).alias("token"))
-        .join(top.select("video_id", "chapter_no", "token"), ["video_id", "chapter_no", "token"])
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("hits"))
-    )
-    sents = grouped.groupBy(*keys).agg(
+    """Two sentences per chapter with most keyword hits, then closest to its middle.
+
+    Hits are counted in whole sentences, so words are dealt into sentences once.
+    """
+    at = ["video_id", "chapter_no"]
+    grouped = chapter_sentence_starts(in_chapters.select(*at, "idx", "text", "start_s", "end_s"), part="chapter_no")
+    sents = grouped.groupBy("video_id", "chapter_no", "grp").agg(
         F.min_by("start_s", "idx").alias("s_start"),
         F.max_by("end_s", "idx").alias("s_end"),
         F.array_join(F.array_sort(F.collect_list(F.struct("idx", "text"))).getField("text"), " ").alias("s_text"),
-        F.first("p_start").alias("p_start"),
-        F.first("p_end").alias("p_end"),
     )
+    bounds = in_chapters.groupBy(*at).agg(F.first("p_start").alias("p_start"), F.first("p_end").alias("p_end"))
+    asked = bounds.join(top.groupBy(*at).agg(F.collect_list("token").alias("_top")), at, "left")
+    hits = F.size(F.filter(X.content_tokens(F.col("s_text")), lambda t: F.array_contains("_top", t)))
     away = F.abs((F.col("s_start") + F.col("s_end")) / 2 - (F.col("p_start") + F.col("p_end")) / 2)
     w = Window.partitionBy("video_id", "chapter_no").orderBy(F.col("hits").desc(), "away", "grp")
     return (
-        sents.join(hits, list(keys), "left")
-        .withColumn("hits", F.coalesce("hits", F.lit(0)))
+        sents.join(asked, at)
+        .withColumn("hits", F.when(F.col("_top").isNull(), 0).otherwise(hits).cast("long"))
         .withColumn("away", away)
         .withColumn("rank", F.row_number().over(w))
         .filter("rank <= 2")

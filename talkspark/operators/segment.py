@@ -55,17 +55,22 @@ def missing_gaps(words: DataFrame) -> DataFrame:
     )
 
 
-def _breaks(words: DataFrame, part: str | None = None) -> DataFrame:
-    """``brk``: a sentence starts here whatever came before it."""
-    cols = {"_pe": "end_s", "_pt": "text"}
-    if part:
-        cols["_pp"] = part
-    w = neighbours(words, "video_id", "idx", prev=cols)
-    brk = (
+def _break() -> Column:
+    """A sentence starts here whatever came before it; ``_pe`` and ``_pt`` are the word before's end and text."""
+    return (
         F.col("_pe").isNull()
         | (F.col("start_s") - F.col("_pe") > SENTENCE_GAP)
         | X.sentence_end(F.col("_pt"))
     )
+
+
+def _breaks(words: DataFrame, part: str | None = None) -> DataFrame:
+    """Words plus ``brk``, with their block."""
+    cols = {"_pe": "end_s", "_pt": "text"}
+    if part:
+        cols["_pp"] = part
+    w = neighbours(words, "video_id", "idx", prev=cols, keep=True)
+    brk = _break()
     if part:
         brk = brk | (F.col("_pp") != F.col(part))
     return w.withColumn("brk", brk).drop(*cols)
@@ -104,15 +109,16 @@ def sentence_starts(words: DataFrame) -> DataFrame:
     last ten words and the rest carries on, so where a cut falls depends on the cut before it.
     """
     n, lo = SENTENCE_WORDS, SENTENCE_WORDS - CUT_WINDOW
-    b = _breaks(words).withColumn("_end", X.sentence_end(F.col("text")))
-    b = neighbours(b, "video_id", "idx", prev={"_pe": "end_s"}).withColumn(
-        "_gap", F.col("start_s") - F.col("_pe")
-    ).drop("_pe")
     ahead = windowed(
-        b,
+        words,
         "video_id",
         "idx",
         {
+            "_pe": lambda w: F.lag("end_s").over(w),
+            "_pt": lambda w: F.lag("text").over(w),
+            "brk": lambda w: _break(),
+            "_end": lambda w: X.sentence_end(F.col("text")),
+            "_gap": lambda w: F.col("start_s") - F.col("_pe"),
             # first unavoidable break among the next 34 words, and one row further
             "_brk": lambda w: F.min(F.when(F.col("brk"), F.col("idx"))).over(w.rowsBetween(1, n - 1)),
             "_last": lambda w: F.lead("idx", n - 1).over(w),
@@ -121,6 +127,7 @@ def sentence_starts(words: DataFrame) -> DataFrame:
             "_tail": lambda w: F.max("idx").over(w.rowsBetween(0, n)),
             "_next": lambda w: F.min(F.when(F.col("brk"), F.col("idx"))).over(w.rowsBetween(1, n)),
         },
+        before=1,
         after=n,
     )
     forced = F.col("_brk").isNull() & F.col("_last").isNotNull() & ~F.col("_last_end")

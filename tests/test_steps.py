@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from talkspark.functions import lexicon as L
-from talkspark.operators import guard
+from talkspark.functions import ordered
+from talkspark.operators import chapters, guard
 from talkspark.streaming import jobs as J
 from test_streams import put, response
 
@@ -41,3 +42,33 @@ def test_ingest_parses_each_response_once(spark, tmp_path, monkeypatch):
     J.ingest(spark, str(source), str(tmp_path / "out"), str(tmp_path / "state"), files_per_batch=10)
     assert J.current_words(spark, str(tmp_path / "out")).count() == 9
     assert parsed.value == 3
+
+
+def logical(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def spoken(spark, n=200):
+    texts = ["alpha", "beta.", "x-1.", "._gamma_.", "2024", "the", "delta"]
+    rows = [(1, i, texts[i % 7], i * 0.5, i * 0.5 + 0.4, 1 + i // 90, 45.0 * (i // 90), 45.0 * (i // 90) + 45.0) for i in range(n)]
+    return spark.createDataFrame(rows, "video_id long, idx long, text string, start_s double, end_s double, chapter_no int, p_start double, p_end double")
+
+
+def test_chapter_words_are_cut_into_tokens_and_sentences_once(spark):
+    words = spoken(spark)
+    counts = chapters.token_counts(words)
+    assert logical(counts).count("Generate explode") == 1
+    got = {(r.chapter_no, r.token): (r.tf, r.df) for r in counts.collect()}
+    assert got[1, "alpha"] == (13, 3) and {t for _, t in got} == {"alpha", "beta", "x-1", "gamma", "delta"}
+    top = spark.createDataFrame([(1, 1, "alpha"), (1, 1, "delta"), (1, 2, "zzz")], "video_id long, chapter_no int, token string")
+    found = chapters.excerpts(words, top)
+    rows = {(r.chapter_no, r["rank"]): (r.hits, r.excerpt) for r in found.collect()}
+    assert rows[1, 1][0] == 2 and rows[2, 1][0] == rows[3, 1][0] == 0 and len(rows) == 6
+
+
+def test_group_starts_join_blocks_not_rows(spark):
+    rows = spark.range(30).selectExpr("1L AS video_id", "id AS idx", "id * 2 AS carried")
+    nodes = rows.selectExpr("video_id", "idx", "idx + 7 AS nxt", "idx = 0 AS root")
+    got = ordered.group_starts(rows, "video_id", "idx", nodes)
+    assert logical(got).count("Join LeftOuter") == 1
+    assert [(r.idx, r.carried, r.grp) for r in got.orderBy("idx").collect()] == [(i, 2 * i, i // 7 * 7) for i in range(30)]
