@@ -17,7 +17,7 @@ from talkspark.sources import adapters as A
 
 def base(spark, sf):
     """Words with sentence starts, and the sentence table."""
-    w = cut(S.sentence_starts(A.words(spark, sf)))
+    w = cut(S.sentence_starts(cut(A.words(spark, sf))))
     table = S.number_sentences(S.sentence_table(w)).withColumn(
         "sentence_key", S.sentence_key(F.col("s_start"), F.col("s_end"), F.col("s_text"))
     )
