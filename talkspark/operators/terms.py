@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from talkspark.functions import text as X
+from talkspark.functions.lineage import cut
 from talkspark.functions.ordered import numbered
 from talkspark.operators.joins import asof_last, interval_join
 from talkspark.operators.patterns import contains_join
@@ -205,7 +206,7 @@ def keep_signal(heard: Column, caption: Column, slide: Column) -> Column:
 def number_suspects(suspect_table: DataFrame) -> DataFrame:
     """Suspects with a keep signal first, then by time; ids S1, S2, …"""
     keep = F.coalesce(keep_signal(F.col("heard"), F.col("caption"), F.col("slide")), F.lit(False))
-    base = suspect_table.withColumn("keep", keep)
+    base = cut(suspect_table.withColumn("keep", keep))  # read for numbers and for counts
     late = F.when(F.col("keep"), 0).otherwise(1)
     bucket = late.cast("long") * F.lit(1 << 40) + F.floor(F.col("t") / 3600.0)
     return numbered(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from talkspark.functions import lexicon as L
 from talkspark.functions import ordered
-from talkspark.operators import chapters, guard
+from talkspark.operators import chapters, guard, terms
 from talkspark.streaming import jobs as J
 from test_streams import put, response
 
@@ -72,3 +72,10 @@ def test_group_starts_join_blocks_not_rows(spark):
     got = ordered.group_starts(rows, "video_id", "idx", nodes)
     assert logical(got).count("Join LeftOuter") == 1
     assert [(r.idx, r.carried, r.grp) for r in got.orderBy("idx").collect()] == [(i, 2 * i, i // 7 * 7) for i in range(30)]
+
+
+def test_suspects_are_judged_once(spark):
+    rows = spark.createDataFrame([(1, "Foo", "ResNet", 4.0, None), (1, "a", "b", 1.0, None), (1, "a", "a", 1.0, None)], "video_id long, heard string, caption string, t double, slide string")
+    found = terms.number_suspects(rows)
+    assert "RLIKE" not in logical(found)
+    assert {(r.suspect_id, r.heard, r.caption, r.keep) for r in found.collect()} == {("S1", "Foo", "ResNet", True), ("S2", "a", "a", False), ("S3", "a", "b", False)}
