@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkspark.llm import arrow, links
@@ -23,7 +23,7 @@ from talkspark.llm.names import fresh
 from talkspark.llm.store import keep, scope
 
 
-#: Pairs that a row may propose per piece in the round before the whole one.
+#: Pairs that a row may propose in the round before the whole ones.
 LIKELIEST = 4
 
 
@@ -148,18 +148,20 @@ def credible(equal: np.ndarray, more: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     return (reached >= best - sigmas * sigmas / 2) & (ratio[:, 0] >= limit - 1e-9)
 
 
-def _candidates(piece: pa.Table, percent: int, sketch: Sketch, best: bool) -> pa.RecordBatch:
+def _candidates(piece: pa.Table, percent: int, sketch: Sketch, mode: str) -> pa.RecordBatch:
     """Pairs of one piece that lie in different components and may reach the limit.
 
-    With ``best`` these are the likeliest few of each row.  Else all credible ones are held
+    ``likeliest``: the likeliest of each row, as (row, its peer).  Else all credible ones are held
     against the rows' shingles cut to 32 bits, which can only find too many in common, so that no
-    pair that reaches the limit is lost and few others leave the task.
+    pair that reaches the limit is lost and few others leave the task.  ``linking``: a pair whose
+    components earlier ones of the piece connect is left out; while those hold, it changes nothing.
     """
+    best = mode == "likeliest"
     ids = piece.column("id").to_numpy()
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     n = piece.column("n").to_numpy()[order].astype(np.float64)
-    group = piece.column("component").to_numpy()[order]
+    group = piece.column("component").to_numpy()[order]  # a copy: linking changes it
     part = piece.column("part").to_numpy()[order]
     registers = np.frombuffer(b"".join(piece.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)[order]
     key = np.int64(piece.column("key")[0].as_py()).astype(np.uint64)
@@ -194,21 +196,29 @@ def _candidates(piece: pa.Table, percent: int, sketch: Sketch, best: bool) -> pa
             both = arrow.sums(sets[r][spot] == flat, at)
             reach = 100 * both >= percent * (n[to] + n[r] - both)
             to, equal = to[reach], equal[reach]
+            if mode == "linking":
+                joined, at = np.unique(group[to], return_index=True)
+                to, equal = to[at], equal[at]
+                group[np.isin(group, joined)] = group[r]
         found_a.append(np.full(len(to), r))
         found_b.append(to)
         found_equal.append(equal)
     if not found_a:
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["a", "b", "equal"])
     a, b, equal = map(np.concatenate, (found_a, found_b, found_equal))
     if best and len(a):
-        keep_pair = np.zeros(len(a), bool)
-        for x in (a, b):
-            order = np.lexsort((-equal, x))
-            first = np.concatenate([[True], x[order][1:] != x[order][:-1]])
-            place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-            keep_pair[order[place < LIKELIEST]] = True
-        a, b = a[keep_pair], b[keep_pair]
-    return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+        a, b, equal = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([equal, equal])
+        order = np.lexsort((b, -equal, a))
+        first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])]
+        a, b, equal = a[first], b[first], equal[first]
+    return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(equal.astype(np.int64))], names=["a", "b", "equal"])
+
+
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (row, peer, equal) of all pieces the ``LIKELIEST`` of each row, each pair once."""
+    first = Window.partitionBy("a").orderBy(F.col("equal").desc(), "b")
+    few = pairs.withColumn("place", F.row_number().over(first)).where(F.col("place") <= LIKELIEST)
+    return few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _shared(texts_a: pa.Array, texts_b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -263,8 +273,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(
 
     Equal sets are one class, represented by its smallest doc_id.  Rounds of verification:
     the centre that a class shares most bands with; then, in buckets that still hold several
-    components, the likeliest few pairs of each class across components; then all of them.  A pair inside one component needs no check, as it can't
-    change the components; no bucket, partner or pair is capped.
+    components, the likeliest few pairs of each class across components, looked for in one part of
+    a bucket, so that this round grows with the rows; then all of them, of which a piece hands on
+    those that link its components; where one of these fails, all once more and each handed on.
+    A pair inside one component needs no check, as it can't change the components; no bucket,
+    partner or pair is capped.
 
     Null, empty and wordless texts have an empty set and link with nothing; rows without doc_id
     link with nothing and have a null component; rows that share a doc_id are one node; other
@@ -315,7 +328,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(
         stars = shared.groupBy("id").agg(F.max_by("centre", F.struct("bands", -F.col("centre"))).alias("b")).select(F.col("id").alias("a"), "b")
         edges = keep(verified(stars, texts, percent))
         groups = components_of(edges)
-        for best in (True, False):
+        for mode in ("likeliest", "linking", "all"):
             state = classes.select("id", "n", "registers").join(groups.withColumnRenamed("node", "id"), "id", "left")
             state = keep(
                 state.join(near.select("id").distinct(), "id", "left_semi").select("id", "n", "registers", F.coalesce("component", "id").alias("component"))
@@ -328,20 +341,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, sketch: Sketch = Sketch(
                 .where("low <> high")
                 .select("key", "size")
             )
-            if not best:
+            if mode != "likeliest":
                 busy = near.select("key", "id").join(mixed, "key").select("id").distinct()
                 state = state.join(texts.join(busy, "id", "left_semi").mapInArrow(arrow.freeing(_cut_sets), "id long, cut binary"), "id")
-            members = links.blocks(near.select("key", "id"), mixed, part_rows).join(state, "id")
+            deal = links.parts if mode == "likeliest" else links.blocks
+            members = deal(near.select("key", "id"), mixed, part_rows).join(state, "id")
 
-            def candidates(batches: Iterator[pa.RecordBatch], best: bool = best) -> Iterator[pa.RecordBatch]:
+            def candidates(batches: Iterator[pa.RecordBatch], mode: str = mode) -> Iterator[pa.RecordBatch]:
                 for piece in links.pieces(batches, ("key", "i", "j")):
-                    yield _candidates(piece, percent, sketch, best)
+                    yield _candidates(piece, percent, sketch, mode)
 
-            pairs = links.dealt(members).mapInArrow(arrow.freeing(candidates), "a long, b long")
+            pairs = links.dealt(members).mapInArrow(arrow.freeing(candidates), "a long, b long, equal long")
+            pairs = keep(likeliest(pairs) if mode == "likeliest" else pairs.select("a", "b"))
             fresh = keep(verified(pairs, texts, percent))
             if not fresh.isEmpty():  # else the components stand as they are
                 edges = edges.union(fresh)
                 groups = components_of(edges)
+            if mode == "linking" and fresh.count() == pairs.count():
+                break
         inner.save(groups)
     named = linkable.groupBy("first", "second", "n").agg(F.min("doc_id").alias("id"))
     state = named.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
