@@ -146,18 +146,15 @@ def merge(words: DataFrame, cues: DataFrame, tracks: DataFrame) -> DataFrame:
         .unionByName(extra, allowMissingColumns=True)
         .withColumn("old_idx", F.col("idx"))
     )
-    counted = running(
-        both.groupBy("video_id", "old_idx").agg(F.count(F.lit(1)).alias("n")),
+    earlier = running(
+        both,
         "video_id",
         "old_idx",
-        {"first": ("sum", F.col("n"))},
+        {"first": ("sum", F.lit(1))},
         inclusive=False,
-    ).drop("n")
-    return (
-        both.join(counted, ["video_id", "old_idx"])
-        .withColumn("idx", F.col("first") + F.col("seq") + 1)
-        .drop("first", "seq", "old_idx")
+        order=[F.col("old_idx"), F.col("seq")],
     )
+    return earlier.withColumn("idx", F.col("first")).drop("first", "seq", "old_idx")
 
 
 def merge_stats(merged: DataFrame) -> DataFrame:

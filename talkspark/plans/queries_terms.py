@@ -90,8 +90,9 @@ cte(
 
 def candidates(spark, sf):
     """Every moment the words offer; each frame's time is a requested one."""
-    asked = A.frames(spark, sf).select("video_id", F.col("frame_at").alias("at"), F.lit("requested").alias("reason"))
-    found = V.screen_references(A.words(spark, sf)).unionByName(V.restored_terms(merged(spark, sf)))
+    w = cut(A.words(spark, sf))
+    asked = A.frames(spark, sf, w).select("video_id", F.col("frame_at").alias("at"), F.lit("requested").alias("reason"))
+    found = V.screen_references(w).unionByName(V.restored_terms(merged(spark, sf, w)))
     return cut(asked.unionByName(found))
 
 
@@ -131,12 +132,12 @@ def _(spark, sf):
 
 def found_suspects(spark, sf):
     w = cut(A.words(spark, sf))
-    return w, cut(T.suspects(w, spoken_cues(A.cues(spark, sf))))
+    return w, cut(T.suspects(w, spoken_cues(A.cues(spark, sf, w))))
 
 
 def numbered_suspects(spark, sf):
     w, s = found_suspects(spark, sf)
-    return w, cut(T.number_suspects(T.attach_slides(s, A.frames(spark, sf))))
+    return w, cut(T.number_suspects(T.attach_slides(s, A.frames(spark, sf, w))))
 
 
 @query("cmp7_suspects")
@@ -148,8 +149,8 @@ def _(spark, sf):
 
 @query("cmp8_slide_evidence")
 def _(spark, sf):
-    _, s = found_suspects(spark, sf)
-    return T.attach_slides(s, A.frames(spark, sf)).drop("times")
+    w, s = found_suspects(spark, sf)
+    return T.attach_slides(s, A.frames(spark, sf, w)).drop("times")
 
 
 cte("v_edge", "SELECT *, regexp_replace(regexp_replace(text, '^[.,;:!?\"''()\\[\\]]+', ''), '[.,;:!?\"''()\\[\\]]+$', '') AS term FROM v_merged")
@@ -215,7 +216,8 @@ cte(
 )
 def _(spark, sf):
     known = A.videos(spark, sf).select("video_id", F.lit("torch").alias("heard"), F.lit("PyTorch").alias("caption"))
-    return T.term_candidates(cut(merged(spark, sf)), known, A.frames(spark, sf))
+    w = cut(A.words(spark, sf))
+    return T.term_candidates(cut(merged(spark, sf, w)), known, A.frames(spark, sf, w))
 
 
 @query(
@@ -245,7 +247,7 @@ def _(spark, sf):
 def glossary_lines(spark, sf):
     """Submitted glossary lines: suspects with their id, shaped tokens, everyday words, defects."""
     w, s = numbered_suspects(spark, sf)
-    c = cut(T.term_candidates(w, s, A.frames(spark, sf)))
+    c = cut(T.term_candidates(w, s, A.frames(spark, sf, w)))
     own = s.select(
         "video_id", (F.substring("suspect_id", 2, 9).cast("long")).alias("n"),
         F.array(F.col("caption"), F.lit("번역어"), F.lit("-"), F.lit("-"), F.col("suspect_id")).alias("fields"),

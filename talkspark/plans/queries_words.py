@@ -514,9 +514,9 @@ cte(
 )
 
 
-def merged(spark, sf):
-    w = cut(A.words(spark, sf))
-    return G.merge(w, cut(A.cues(spark, sf)), A.caption_tracks(spark, sf))
+def merged(spark, sf, w=None):
+    w = w or cut(A.words(spark, sf))
+    return G.merge(w, cut(A.cues(spark, sf, w)), A.caption_tracks(spark, sf))
 
 
 def trusted_gaps(spark, sf):

@@ -78,14 +78,15 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def cues(spark: SparkSession, sf: str) -> DataFrame:
+def cues(spark: SparkSession, sf: str, spoken: DataFrame | None = None) -> DataFrame:
+    """Six words a cue; ``spoken`` are the words where they are stored already."""
     shown = (
         F.when(F.col("text") == "torch", F.lit("PyTorch"))
         .when(F.col("text") == "라는", F.lit("self supervised 라는"))
         .otherwise(F.col("text"))
     )
     return (
-        words(spark, sf)
+        (spoken or words(spark, sf))
         .groupBy("video_id", F.expr("idx div 6").alias("cue_idx"))
         .agg(
             F.min("start_ms").alias("cue_start_ms"),
@@ -244,9 +245,9 @@ def guard_texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def frames(spark: SparkSession, sf: str) -> DataFrame:
+def frames(spark: SparkSession, sf: str, spoken: DataFrame | None = None) -> DataFrame:
     """One frame per 120 words; ``confidence`` present, null or missing in turn."""
-    w = words(spark, sf).filter("idx % 120 in (60, 61)")
+    w = (spoken or words(spark, sf)).filter("idx % 120 in (60, 61)")
     return (
         w.groupBy("video_id", F.expr("idx div 120").alias("n"))
         .agg(
