@@ -390,6 +390,7 @@ def time_nodes(
     horizon: float,
     limit: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray],
     bucket: float = 900.0,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Orbit nodes for a fold whose groups end within ``horizon`` seconds of their first row.
 
@@ -397,6 +398,7 @@ def time_nodes(
     the one before.  ``limit(rows, next_root, group_offsets)`` gives, per row, the position of the first row a
     group starting there cannot hold.  ``idx`` is dense, so when the copied rows end first the
     next start is the row after them.  ``limit`` may return a second array, kept as ``flag``.
+    Nodes keep those of ``cols`` that are named in ``carry``.
     """
     keys = as_list(keys)
     home = F.floor(F.col(at) / F.lit(bucket)).cast("long")
@@ -413,6 +415,7 @@ def time_nodes(
             T.StructField("nxt", T.LongType()),
             T.StructField("root", T.BooleanType()),
             T.StructField("flag", T.BooleanType()),
+            *[df.schema[c] for c in carry],
         ]
     )
 
@@ -435,6 +438,7 @@ def time_nodes(
         out["nxt"] = np.where(inside, idx[np.minimum(stop, n - 1)], idx[stop - 1] + 1)
         out["root"] = root
         out["flag"] = flag
+        out[list(carry)] = pdf[list(carry)]
         return out[(pdf["_home"] == pdf["_b"]).to_numpy()]
 
     return map_groups(copied, [*keys, "_b"], "idx", run, shape)

@@ -44,10 +44,7 @@ def _reference_limit(pdf: pd.DataFrame, after: np.ndarray, starts: np.ndarray):
 def screen_references(words: DataFrame) -> DataFrame:
     """One second before each spoken screen reference; a hit skips the rest of its window."""
     n = L.SCREEN_PHRASE_WORDS
-    outs = {
-        f"_t{k}": (lambda w, k=k: F.array_join(F.collect_list("text").over(w.rowsBetween(0, k)), " "))
-        for k in range(n)
-    }
+    outs = {f"_t{k}": (lambda w, k=k: F.concat_ws(" ", "text", *[F.lead("text", i).over(w) for i in range(1, k + 1)])) for k in range(n)}
     seen = windowed(words.select("video_id", "idx", "text", "start_s"), "video_id", "idx", outs, after=n - 1)
     size = F.lit(None).cast("double")
     for k in reversed(range(n)):
@@ -55,12 +52,14 @@ def screen_references(words: DataFrame) -> DataFrame:
     marked = seen.withColumn("_size", size).withColumn("_root", F.col("idx") == 0)
     nodes = cut(
         time_nodes(
-            marked, "video_id", "idx", "start_s", "_root", ["start_s", "_size"], LOOK_AHEAD, _reference_limit
+            marked, "video_id", "idx", "start_s", "_root", ["start_s", "_size"], LOOK_AHEAD, _reference_limit, carry=["start_s"]
         )
     )
     on = orbit(nodes, "video_id")
-    hits = nodes.filter("flag").select("video_id", "idx").join(on, ["video_id", "idx"], "left_semi")
-    return hits.join(words.select("video_id", "idx", "start_s"), ["video_id", "idx"]).select(
+    # by grouping: a join would hold a row per word in memory where Spark takes them for few
+    found = nodes.filter("flag").select("video_id", "idx", "start_s").unionByName(on, allowMissingColumns=True)
+    hits = found.groupBy("video_id", "idx").agg(F.max("start_s").alias("start_s"), F.count(F.lit(1)).alias("n")).filter("n = 2")
+    return hits.select(
         "video_id",
         F.greatest(F.lit(0.0), F.round(F.col("start_s") - 1.0, 3)).alias("at"),
         F.lit("screen-reference").alias("reason"),

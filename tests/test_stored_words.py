@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from talkspark.operators import gapfill as G
+from talkspark.operators import moments as V
 from talkspark.plans import queries_terms as Q
 from talkspark.sources import adapters as A
 
@@ -31,3 +32,10 @@ def test_given_words_make_the_same_cues_and_frames(spark):
     words = A.words(spark, SMALL)
     for make in (A.cues, A.frames):
         assert sorted(map(tuple, make(spark, SMALL, words).collect())) == sorted(map(tuple, make(spark, SMALL).collect()))
+
+
+def test_references_join_nothing_with_a_row_per_word(spark):
+    words = A.words(spark, SMALL)
+    out = V.screen_references(words)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count()
