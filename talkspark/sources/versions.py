@@ -9,19 +9,29 @@ dies half-way changes nothing.  Readers leave out dead pairs, which are few betw
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkspark.functions.lineage import cut
 
+#: Runs of a shared table that ``vacuum`` leaves as they are.
+MANY = 16
 STATE = "video_id long, input_fp string, run long, dead boolean"
 
 
 class Versions:
-    """The versioned tables of one stage below ``root``; ``tables`` maps a name to its columns in DDL."""
+    """The versioned tables of one stage below ``root``; ``tables`` maps a name to its columns in DDL.
+
+    Rows of the tables in ``shared`` belong to no video: they are only added to and never dead, all
+    their complete runs are read, and ``vacuum`` leaves them alone until they have many.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, stage: str, tables: dict[str, str], split: dict[str, str] | None = None):
-        self.spark, self.at, self.tables, self.split = spark, f"{root.rstrip('/')}/{stage}", tables, split or {}
+    def __init__(
+        self, spark: SparkSession, root: str, stage: str, tables: dict[str, str], split: dict[str, str] | None = None, shared: Sequence[str] = ()
+    ):
+        self.spark, self.at, self.tables, self.split, self.shared = spark, f"{root.rstrip('/')}/{stage}", tables, split or {}, shared
 
     def _path(self, path: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -56,13 +66,17 @@ class Versions:
         """
         columns = self.tables[name]
         state = self.state()
-        held = {r["run"] for r in state.select("run").distinct().collect()} & set(self._runs(name))
+        if name in self.shared:
+            held = set(self._runs(name, complete=True))
+        else:
+            held = {r["run"] for r in state.select("run").distinct().collect()} & set(self._runs(name))
         if not held:
             return self.spark.createDataFrame([], columns)
         rows = self.spark.read.schema(f"{columns}, run long").option("basePath", f"{self.at}/{name}").parquet(*[f"{self.at}/{name}/run={r}" for r in sorted(held)])
-        if state.where("dead").isEmpty():
+        if name in self.shared or state.where("dead").isEmpty():
             return rows.drop("run")
-        return rows.join(state.where("dead").select("video_id", "run"), ["video_id", "run"], "left_anti").drop("run")
+        dead = cut(state.where("dead").select("video_id", "run"))  # stored, so that Spark knows how few they are
+        return rows.join(dead, ["video_id", "run"], "left_anti").drop("run")
 
     def commit(self, outputs: dict[str, DataFrame], done: DataFrame, gone: DataFrame | None = None) -> int:
         """Adds a run: the rows of the videos in ``done`` (video_id, input_fp) replace older ones; those in ``gone`` end.
@@ -89,14 +103,15 @@ class Versions:
         state any more and go with the next call.
         """
         run = max([0, *self._runs("state"), *(r for t in self.tables for r in self._runs(t))]) + 1
-        for name in self.tables:
+        kept = [name for name in self.shared if len(self._runs(name)) <= MANY]
+        for name in self.tables.keys() - kept:
             rows = self.read(name)
             writer = rows.write.partitionBy(self.split[name]) if name in self.split else rows.write
             writer.parquet(f"{self.at}/{name}/run={run}")
         live = self.state().where("not dead").withColumn("run", F.lit(run).cast("long"))
         live.write.parquet(f"{self.at}/state/run={run}")
         fs = self._fs()
-        for name in (*self.tables, "state"):
+        for name in (*(self.tables.keys() - kept), "state"):
             for old in self._runs(name):
                 if old != run:
                     fs.delete(self._path(f"{self.at}/{name}/run={old}"), True)
