@@ -103,13 +103,14 @@ def running(
     block: int = BLOCK,
     bucket: Column | None = None,
     order: Sequence[Column] | None = None,
+    keep: bool = False,
 ) -> DataFrame:
     """Prefix ``sum``/``max``/``min`` along ``idx`` (which may have holes).
 
     ``max`` over a struct that starts with the order column gives "the latest earlier row that
     …", which is how carry-forward and as-of lookups are written.  ``bucket``/``order`` replace
     the integer ``idx`` when the order is a time: ``bucket`` must grow with it.  Rows that
-    ``windowed`` left with their ``_blk`` stay where they are.
+    ``windowed`` left with their ``_blk`` stay where they are; ``keep`` leaves it.
     """
     keys = as_list(keys)
     blk = bucket if bucket is not None else F.expr(f"`{idx}` div {block}")
@@ -146,7 +147,7 @@ def running(
             name, _COMBINE[kind][1](F.col(f"_loc_{name}"), F.col(f"_carry_{name}"))
         )
     scratch = [f"_{p}_{name}" for name in outs for p in ("in", "loc", "carry")]
-    return joined.drop("_blk", *scratch)
+    return joined.drop(*scratch, *([] if keep else ["_blk"]))
 
 
 def numbered(
@@ -358,12 +359,12 @@ def orbit(
 
 
 def group_starts(
-    df: DataFrame, keys: str | Sequence[str], idx: str, nodes: DataFrame, out: str = "grp"
+    df: DataFrame, keys: str | Sequence[str], idx: str, nodes: DataFrame, out: str = "grp", keep: bool = False
 ) -> DataFrame:
     """``df`` plus ``out`` = the ``idx`` at which the row's greedy group starts.
 
     The starts are sorted among the rows of their block, so rows are dealt once and joined only
-    with one carried start a block.
+    with one carried start a block.  ``keep`` leaves the block as ``_blk``, by which the rows lie dealt.
     """
     keys = as_list(keys)
     block = F.expr(f"`{idx}` div {BLOCK}")
@@ -375,9 +376,8 @@ def group_starts(
     latest = both.groupBy(*keys, "_blk").agg(F.max(F.when(F.col("_on"), F.col(idx))).alias("_top"))
     carry = latest.select(*keys, "_blk", F.max("_top").over(earlier).alias("_carry"))
     local = both.withColumn("_loc", F.max(F.when(F.col("_on"), F.col(idx))).over(inside)).filter(~F.col("_on")).drop("_on")
-    return (
-        local.join(carry, [*keys, "_blk"], "left").withColumn(out, F.coalesce("_loc", "_carry")).drop("_blk", "_loc", "_carry")
-    )
+    labelled = local.join(carry, [*keys, "_blk"], "left").withColumn(out, F.coalesce("_loc", "_carry")).drop("_loc", "_carry")
+    return labelled if keep else labelled.drop("_blk")
 
 
 def time_nodes(

@@ -9,7 +9,7 @@ from talkspark.functions import text as X
 from talkspark.functions.lineage import cut
 from talkspark.functions.ordered import neighbours, numbered
 from talkspark.operators.joins import point_join
-from talkspark.operators.segment import chapter_sentence_starts, sentence_table
+from talkspark.operators.segment import chapter_sentence_starts, in_blocks, join_texts
 
 TARGET = 300.0
 MIN = 120.0
@@ -118,7 +118,7 @@ def native_groups(videos: DataFrame) -> DataFrame:
 
 def groups(words: DataFrame, videos: DataFrame) -> DataFrame:
     """Native groups, or one group over the whole talk where there are none."""
-    span = durations(words)
+    span = cut(durations(words))  # a row a video; unstored, the join below would be made with the words
     native = native_groups(videos.join(span, "video_id"))
     whole = span.join(native.select("video_id").distinct(), "video_id", "left_anti").select(
         "video_id",
@@ -134,14 +134,15 @@ def boundary_candidates(words: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``targets`` carries ``target``, ``hi`` and its own key columns.
     """
-    w = neighbours(words, "video_id", "idx", prev={"_pe": "end_s", "_pt": "text"}).filter(
+    marked = words.select("video_id", "idx", "start_s", "end_s", X.sentence_end(F.col("text")).alias("_stop"))
+    w = neighbours(marked, "video_id", "idx", prev={"_pe": "end_s", "ended": "_stop"}).filter(
         "_pe is not null"
     )
     w = w.select(
         "video_id",
         F.col("start_s").alias("at"),
         F.greatest(F.lit(0.0), F.col("start_s") - F.col("_pe")).alias("gap"),
-        X.sentence_end(F.col("_pt")).alias("ended"),
+        "ended",
     )
     near = point_join(
         w,
@@ -288,11 +289,11 @@ def excerpts(in_chapters: DataFrame, top: DataFrame) -> DataFrame:
     Hits are counted in whole sentences, so words are dealt into sentences once.
     """
     at = ["video_id", "chapter_no"]
-    grouped = chapter_sentence_starts(in_chapters.select(*at, "idx", "text", "start_s", "end_s"), part="chapter_no")
-    sents = grouped.groupBy("video_id", "chapter_no", "grp").agg(
+    grouped = chapter_sentence_starts(in_chapters.select(*at, "idx", "text", "start_s", "end_s"), part="chapter_no", keep=True)
+    sents = in_blocks(grouped, ("video_id", "chapter_no", "grp")).groupBy("video_id", "chapter_no", "grp").agg(
         F.min_by("start_s", "idx").alias("s_start"),
         F.max_by("end_s", "idx").alias("s_end"),
-        F.array_join(F.array_sort(F.collect_list(F.struct("idx", "text"))).getField("text"), " ").alias("s_text"),
+        join_texts("idx", "text").alias("s_text"),
     )
     bounds = in_chapters.groupBy(*at).agg(F.first("p_start").alias("p_start"), F.first("p_end").alias("p_end"))
     asked = bounds.join(top.groupBy(*at).agg(F.collect_list("token").alias("_top")), at, "left")

@@ -36,8 +36,8 @@ def prints(words: DataFrame, frames: DataFrame, videos: DataFrame) -> DataFrame:
     )
     native = videos.select("video_id", F.sha2(F.coalesce(F.to_json("native_chapters"), F.lit("")), 256).alias("native_fp"))
     return (
-        fingerprint.tree_hash(words, "video_id", "idx", spoken, "words_fp")
-        .join(fingerprint.tree_hash(frames, "video_id", "frame_no", seen, "frames_fp"), "video_id", "left")
+        fingerprint.unordered(words, "video_id", [F.col("idx"), spoken], "words_fp")
+        .join(fingerprint.unordered(frames, "video_id", [F.col("frame_no"), seen], "frames_fp"), "video_id", "left")
         .join(native, "video_id", "left")
     )
 
@@ -50,15 +50,17 @@ class Corpus:
         self.spans = Versions(spark, root, "spans", {"spans": SPANS})
         self.chapters = Versions(spark, root, "chapters", {"chapters": CHAPTERS})
         self.evidence = Versions(spark, root, "evidence", {"evidence": EVIDENCE}, {"evidence": "source_kind"})
-        self.index = Versions(spark, root, "index", {"postings": index.POSTINGS, "grams": f"video_id long, {index.GRAMS}"}, {"postings": "bucket", "grams": "bucket"})
+        self.index = Versions(spark, root, "index", {"postings": index.POSTINGS, "pieces": f"video_id long, {index.GRAMS}"}, {"postings": "bucket", "pieces": "bucket"}, ["pieces"])
 
     def refresh(self, words: DataFrame, frames: DataFrame, videos: DataFrame, chapter_words: DataFrame | None = None) -> dict[str, int]:
         """Brings all stages up to the inputs; returns how many videos each stage worked on.
 
         ``chapter_words`` are the words that chapters are cut from, if not the same.  Videos that
-        have no words any more leave all tables.
+        have no words any more leave all tables.  The inputs are read several times, so they
+        should be stored tables.
         """
         marks = cut(prints(words, frames, videos))
+        every = marks.count()
         told = {}
         for name, uses in (("spans", ["words_fp"]), ("chapters", ["words_fp", "native_fp"]), ("evidence", ["words_fp", "native_fp", "frames_fp"]), ("index", ["words_fp", "native_fp", "frames_fp"])):
             held: Versions = getattr(self, name)
@@ -66,18 +68,25 @@ class Corpus:
             changed, gone = changes(held, marks.select("video_id", mark.alias("input_fp")))
             told[name] = changed.count()
             if told[name] or not gone.isEmpty():
-                held.commit(self._make(name, changed.select("video_id"), words, frames, videos, words if chapter_words is None else chapter_words), changed, gone)
+                heard = words if chapter_words is None else chapter_words
+                held.commit(self._make(name, changed.select("video_id"), told[name] == every, words, frames, videos, heard), changed, gone)
         return told
 
-    def _make(self, name: str, todo: DataFrame, words: DataFrame, frames: DataFrame, videos: DataFrame, chapter_words: DataFrame) -> dict[str, DataFrame]:
+    def _make(
+        self, name: str, todo: DataFrame, every: bool, words: DataFrame, frames: DataFrame, videos: DataFrame, chapter_words: DataFrame
+    ) -> dict[str, DataFrame]:
         def mine(rows: DataFrame) -> DataFrame:
             return rows.join(todo, "video_id", "left_semi")
 
+        def spoken(rows: DataFrame) -> DataFrame:
+            # where all videos are to be done, words are neither shuffled to be picked nor stored again
+            return rows if every else cut(mine(rows))
+
         if name == "spans":
-            return {"spans": segment.spans(cut(mine(words)))}
+            return {"spans": segment.spans(spoken(words))}
         if name == "chapters":
-            built = chapters.build(cut(mine(chapter_words)), mine(videos))
-            return {"chapters": built.select("video_id", F.col("chapter_no").cast("int"), F.col("c_start").alias("start"), F.col("c_end").alias("end"), "title")}
+            built = chapters.build(spoken(chapter_words), mine(videos))
+            return {"chapters": mine(built.select("video_id", F.col("chapter_no").cast("int"), F.col("c_start").alias("start"), F.col("c_end").alias("end"), "title"))}
         if name == "evidence":
             frame_rows = E.optional_records(mine(frames).withColumnRenamed("frame_at", "timestamp"), "frame")
             chapter_rows = E.optional_records(mine(self.chapters.read("chapters")), "chapter")
@@ -87,12 +96,12 @@ class Corpus:
             return {"evidence": ordered.sortWithinPartitions("source_kind", "video_id", "start_s")}
         rows = mine(self.evidence.read("evidence"))
         # A token belongs to the vocabulary, not to a video: only tokens that are new are added.
-        known = self.index.read("grams").select("token").distinct()
+        known = self.index.read("pieces").select("token").distinct()
         fresh = index.grams(index.vocabulary(rows).join(known, "token", "left_anti"))
-        return {"postings": index.postings(rows), "grams": fresh.withColumn("video_id", F.lit(None).cast("long"))}
+        return {"postings": index.postings(rows), "pieces": fresh.withColumn("video_id", F.lit(None).cast("long"))}
 
     def answers(self, questions: DataFrame, limit: int = 8, per_video: bool = True) -> DataFrame:
-        return index.search(questions, self.index.read("grams"), self.index.read("postings"), self.evidence.read("evidence"), limit, per_video)
+        return index.search(questions, self.index.read("pieces"), self.index.read("postings"), self.evidence.read("evidence"), limit, per_video)
 
     def forget(self, gone: DataFrame) -> None:
         """Takes videos down: their rows leave every table, and the files that held them are deleted."""

@@ -1,7 +1,8 @@
 """An inverted index beside the evidence: questions read their buckets, not the corpus.
 
 A question term has only token characters, so wherever it stands in a text it stands inside one
-token.  Three tables follow from that: the vocabulary's grams (which tokens hold a term), the
+token.  Three tables follow from that: the vocabulary's grams (three characters from each place
+of a token, which tell the tokens that may hold a term), the
 postings (which rows hold a token, how often), and the evidence itself.  Grams and postings are
 split into hash buckets; a search reads the buckets it asks for.
 """
@@ -17,6 +18,8 @@ from talkspark.operators.evidence import query_terms
 from talkspark.operators.ranking import ranked
 
 BUCKETS = 64
+#: Characters of a gram.
+WIDTH = 3
 POSTINGS = "video_id long, evidence_id string, token string, tf long, confidence double, start_s double, bucket int"
 GRAMS = "gram string, token string, bucket int"
 
@@ -50,12 +53,13 @@ def postings(rows: DataFrame) -> DataFrame:
 
 
 def grams(tokens: DataFrame) -> DataFrame:
-    """``gram, token, bucket``: every run of one to three characters of each distinct token."""
-    runs = F.flatten(
-        F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.array(*[F.col("token").substr(i, F.lit(n)) for n in (1, 2, 3)]))
-    )
+    """``gram, token, bucket``: the three characters from each place of a distinct token, fewer at its end.
+
+    The bucket is that of the first character, so that a term of one or two finds its grams too.
+    """
+    runs = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.col("token").substr(i, F.lit(WIDTH)))
     each = tokens.select("token").distinct().select("token", F.explode(F.array_distinct(runs)).alias("gram"))
-    return each.select("gram", "token", bucket("gram").alias("bucket")).repartitionByRange("bucket", "gram", "token").sortWithinPartitions("bucket", "gram")
+    return each.withColumn("_head", F.substring("gram", 1, 1)).select("gram", "token", bucket("_head").alias("bucket")).repartitionByRange("bucket", "gram", "token").sortWithinPartitions("bucket", "gram")
 
 
 def only(rows: DataFrame, asked: DataFrame, column: str) -> DataFrame:
@@ -66,8 +70,11 @@ def only(rows: DataFrame, asked: DataFrame, column: str) -> DataFrame:
 
 def asked_tokens(terms: DataFrame, gram_rows: DataFrame) -> DataFrame:
     """``token``: the vocabulary's tokens that hold a term."""
-    asked = cut(terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3)))
-    found = only(gram_rows, asked, "gram").join(asked, "gram").where(F.col("token").contains(F.col("term")))
+    asked = cut(terms.select("term").distinct().withColumns({"_start": F.substring("term", 1, WIDTH), "_head": F.substring("term", 1, 1)}))
+    widths = sorted(r[0] for r in asked.select(F.length("_start")).distinct().collect())  # at most WIDTH numbers
+    starts = F.array_distinct(F.array(*[F.substring("gram", 1, n) for n in widths or [WIDTH]]))
+    near = only(gram_rows, asked, "_head").select("token", F.explode(starts).alias("_start"))
+    found = near.join(asked, "_start").where(F.col("token").contains(F.col("term")))
     return found.select("token").distinct()
 
 

@@ -76,19 +76,35 @@ def _breaks(words: DataFrame, part: str | None = None) -> DataFrame:
     return w.withColumn("brk", brk).drop(*cols)
 
 
-def chapter_sentence_starts(words: DataFrame, part: str | None = None) -> DataFrame:
+def chapter_sentence_starts(words: DataFrame, part: str | None = None, keep: bool = False) -> DataFrame:
     """Words plus ``grp``: breaks restart a count that also cuts every 35 words."""
     w = running(
         _breaks(words, part),
         "video_id",
         "idx",
         {"_island": ("max", F.expr("CASE WHEN brk THEN idx END"))},
+        keep=keep,
     )
     return w.withColumn(
         "grp", F.expr(f"_island + ((idx - _island) div {SENTENCE_WORDS}) * {SENTENCE_WORDS}")
     ).drop("_island", "brk")
 
 
+def in_blocks(grouped: DataFrame, keys: tuple[str, ...], **more: Column) -> DataFrame:
+    """Words with ``grp`` and ``_blk`` as one row a group and block, made where the words lie.
+
+    ``idx`` and ``start_s`` are those of the first word, ``end_s`` of the last, texts are joined; ``more``
+    are further aggregates.  What is joined across blocks is these rows, not words.
+    """
+    return grouped.groupBy(*keys, "_blk").agg(
+        F.min("idx").alias("_first"),
+        F.min_by("start_s", "idx").alias("start_s"),
+        F.max_by("end_s", "idx").alias("end_s"),
+        F.when(F.count("text") > 0, join_texts("idx", "text")).alias("text"),
+        *[column.alias(name) for name, column in more.items()],
+    ).withColumnRenamed("_first", "idx")
+
+
 def sentence_table(grouped: DataFrame, keys: tuple[str, ...] = ("video_id", "grp")) -> DataFrame:
     return grouped.groupBy(*keys).agg(
         F.min_by("start_s", "idx").alias("s_start"),
@@ -232,7 +248,7 @@ def _span_limit(pdf: pd.DataFrame, after: np.ndarray, starts: np.ndarray) -> np.
     return out
 
 
-def span_starts(words: DataFrame) -> DataFrame:
+def span_starts(words: DataFrame, keep: bool = False) -> DataFrame:
     """Words plus ``grp``: silence over 2.5 s, more than 30 s, or another speaker."""
     who = F.coalesce("speaker_global", "speaker")
     w = neighbours(
@@ -248,19 +264,25 @@ def span_starts(words: DataFrame) -> DataFrame:
         marked, "video_id", "idx", "start_s", "_root", ["start_s", "end_s"],
         SPAN_SECS + SPAN_GAP, _span_limit,
     )
-    return group_starts(words, "video_id", "idx", nodes)
+    return group_starts(words, "video_id", "idx", nodes, keep=keep)
 
 
 def spans(words: DataFrame) -> DataFrame:
     """Search spans with the weakest speaker status of their words."""
     status = F.coalesce("speaker_status", F.lit("unresolved"))
-    agg = span_starts(words).groupBy("video_id", "grp").agg(
+    who = F.coalesce("speaker_global", "speaker")
+    rank = F.when(status == "unresolved", 2).when(status == "inferred", 1).otherwise(0)
+    spoken = words.select("video_id", "idx", "text", "start_s", "end_s", who.alias("speaker"), who.alias("speaker_global"), rank.alias("_rank"))
+    pieces = in_blocks(
+        span_starts(spoken, keep=True), ("video_id", "grp"), speaker_candidate=F.min_by("speaker", "idx"), _rank=F.max("_rank")
+    )
+    agg = pieces.groupBy("video_id", "grp").agg(
         F.min_by("start_s", "idx").alias("start_s"),
         F.max_by("end_s", "idx").alias("end_s"),
         join_texts("idx", "text").alias("text"),
-        F.min_by(F.coalesce("speaker_global", "speaker"), "idx").alias("speaker_candidate"),
-        F.when(F.max(status == "unresolved"), "unresolved")
-        .when(F.max(status == "inferred"), "inferred")
+        F.min_by("speaker_candidate", "idx").alias("speaker_candidate"),
+        F.when(F.max("_rank") == 2, "unresolved")
+        .when(F.max("_rank") == 1, "inferred")
         .otherwise("confirmed")
         .alias("speaker_status"),
     )

@@ -130,7 +130,8 @@ def indexed(spark, sf):
 def corpus(spark, sf):
     """The corpus job over the table folder, and a second refresh for changed words."""
     job = K.Corpus(spark, I.scratch(spark, "corpus"))
-    words, pictures, talks = cut(A.words(spark, sf)), cut(A.frames(spark, sf)), cut(without_native(spark, sf))
+    words, talks = cut(A.words(spark, sf)), cut(without_native(spark, sf))
+    pictures = cut(A.frames(spark, sf, words))
 
     def refresh(rows):
         longer = rows.withColumns({"start_s": F.col("start_s") * 4.0, "end_s": F.col("end_s") * 4.0})
