@@ -31,8 +31,9 @@ MISSING_GAP = 1.5
 
 
 def join_texts(order: str, text: str, sep: str = " ") -> Column:
+    # sort_array compares rows as they are, array_sort by an expression a pair
     return F.array_join(
-        F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("_t")))).getField("_t"), sep
+        F.sort_array(F.collect_list(F.struct(F.col(order), F.col(text).alias("_t")))).getField("_t"), sep
     )
 
 
@@ -135,23 +136,23 @@ def sentence_starts(words: DataFrame) -> DataFrame:
             "brk": lambda w: _break(),
             "_end": lambda w: X.sentence_end(F.col("text")),
             "_gap": lambda w: F.col("start_s") - F.col("_pe"),
-            # first unavoidable break among the next 34 words, and one row further
-            "_brk": lambda w: F.min(F.when(F.col("brk"), F.col("idx"))).over(w.rowsBetween(1, n - 1)),
             "_last": lambda w: F.lead("idx", n - 1).over(w),
             "_last_end": lambda w: F.lead("_end", n - 1).over(w),
             "_gaps": lambda w: F.collect_list("_gap").over(w.rowsBetween(lo, n - 1)),
-            "_tail": lambda w: F.max("idx").over(w.rowsBetween(0, n)),
+            "_end_idx": lambda w: F.max("idx").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+            # first unavoidable break among the next 35 words; ``idx`` is dense, so its distance tells the rest
             "_next": lambda w: F.min(F.when(F.col("brk"), F.col("idx"))).over(w.rowsBetween(1, n)),
         },
         before=1,
         after=n,
     )
-    forced = F.col("_brk").isNull() & F.col("_last").isNotNull() & ~F.col("_last_end")
+    free = F.col("_next").isNull() | (F.col("_next") == F.col("idx") + n)
+    forced = free & F.col("_last").isNotNull() & ~F.col("_last_end")
     cut = F.col("idx") + lo + F.array_position("_gaps", F.array_max("_gaps")) - 1
     nodes = ahead.select(
         "video_id",
         "idx",
-        F.when(forced, cut).otherwise(F.coalesce("_next", F.col("_tail") + 1)).alias("nxt"),
+        F.when(forced, cut).otherwise(F.coalesce("_next", F.least(F.col("_end_idx"), F.col("idx") + n) + 1)).alias("nxt"),
         F.col("brk").alias("root"),
     )
     return group_starts(words, "video_id", "idx", nodes)

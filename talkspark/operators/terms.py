@@ -16,6 +16,8 @@ from talkspark.functions.ordered import numbered
 from talkspark.operators.joins import asof_last, interval_join
 from talkspark.operators.patterns import contains_join
 
+#: Seconds; a cue and the words around it take a few, and all words and cues of a bucket are held against each other.
+CUE_BUCKET = 10.0
 MIN_RATIO = 0.55
 SLIDE_RATIO = 0.8
 MIN_TOKEN = 4
@@ -36,6 +38,22 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b)])
 
 
+def _ratio_from(a: str, b: str, low: float) -> float | None:
+    """The ratio, or nothing where the characters that both hold cannot make it ``low``."""
+    shared = sum(min(a.count(c), b.count(c)) for c in set(a))
+    return _ratio(a, b) if a == b or 2.0 * shared / (len(a) + len(b)) >= low else None
+
+
+def similarity_from(a: Column, b: Column, low: float) -> Column:
+    """``similarity`` of the pairs that reach ``low``; of others it may be null."""
+
+    @F.pandas_udf(DoubleType())
+    def bounded(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_ratio_from(p, q, low) if p is not None and q is not None else None for p, q in zip(x, y)], dtype="float64")
+
+    return bounded(a, b)
+
+
 def length_bound(a: Column, b: Column, ratio: float) -> Column:
     """No pair outside this can reach ``ratio``; never compares less."""
     return 2 * F.least(F.length(a), F.length(b)) >= F.lit(ratio) * (F.length(a) + F.length(b)) - 1e-9
@@ -71,7 +89,7 @@ def cue_windows(words: DataFrame, cues: DataFrame) -> DataFrame:
         "video_id",
         (F.col("cue_start") - 0.5, F.col("cue_end") + 0.5),
         (F.col("start_s"), F.col("end_s")),
-        60.0,
+        CUE_BUCKET,
     )
 
 
@@ -79,22 +97,24 @@ def suspects(words: DataFrame, cues: DataFrame) -> DataFrame:
     """Caption tokens that sound like, but are not, what was transcribed around them.
 
     Per cue the words of its few seconds form single and double candidates; only caption tokens
-    heard nowhere in the window are compared, after a length test that loses nothing.
+    heard nowhere in the window are compared, after a length test that loses nothing.  A token
+    that stands among the words as it is has the same form too, so forms are made only of other
+    tokens, and of the words around them.
     """
-    key = X.compare_key(F.col("text"))
-    shape = F.struct("idx", "text", "start_s", key.alias("norm"))
     w = cue_windows(words, cues).groupBy("video_id", "cue_idx").agg(
-        F.first("cue_text").alias("cue_text"), F.array_sort(F.collect_list(shape)).alias("ws")
+        F.first("cue_text").alias("cue_text"), F.sort_array(F.collect_list(F.struct("idx", "text", "start_s"))).alias("ws")
     )
-    norms = F.transform("ws", lambda x: x["norm"])
-    tokens = F.filter(
-        F.transform(
-            X.split_ws(F.col("cue_text")),
-            lambda t, i: F.struct(i.alias("tok_no"), t.alias("raw"), X.compare_key(t).alias("tnorm")),
-        ),
-        lambda t: (F.length(t["tnorm"]) >= MIN_TOKEN) & ~F.array_contains(norms, t["tnorm"]),
+    other = F.filter(
+        F.transform(X.split_ws(F.col("cue_text")), lambda t, i: F.struct(i.alias("tok_no"), t.alias("raw"))),
+        lambda t: ~F.array_contains("ws.text", t["raw"]),
+    )
+    # generated, not filtered by a condition, which would make the array twice
+    w = w.select("video_id", "cue_idx", "ws", F.explode(F.filter(F.array(other), lambda ts: F.size(ts) > 0)).alias("toks"))
+    formed = F.transform("ws", lambda x: F.struct(x["idx"].alias("idx"), x["text"].alias("text"), x["start_s"].alias("start_s"), X.compare_key(x["text"]).alias("norm")))
+    tokens = F.transform("toks", lambda t: F.struct(t["tok_no"].alias("tok_no"), t["raw"].alias("raw"), X.compare_key(t["raw"]).alias("tnorm")))
+    w = w.select("video_id", "cue_idx", formed.alias("ws"), F.explode(tokens).alias("tok")).filter(
+        (F.length("tok.tnorm") >= MIN_TOKEN) & ~F.array_contains("ws.norm", F.col("tok.tnorm"))
     )
-    w = w.withColumn("toks", tokens).filter(F.size("toks") > 0)
     single = F.transform(
         "ws", lambda x: F.struct(x["norm"].alias("cnorm"), x["text"].alias("shown"), x["start_s"].alias("t"))
     )
@@ -108,7 +128,6 @@ def suspects(words: DataFrame, cues: DataFrame) -> DataFrame:
     )
     pairs = (
         w.withColumn("cands", F.concat(single, double))
-        .select("video_id", "cue_idx", F.explode("toks").alias("tok"), "cands")
         .select(
             "video_id", "cue_idx", "tok",
             F.posexplode(
@@ -118,7 +137,7 @@ def suspects(words: DataFrame, cues: DataFrame) -> DataFrame:
                 )
             ).alias("_p", "c"),
         )
-        .withColumn("ratio", similarity(F.col("tok.tnorm"), F.col("c.cnorm")))
+        .withColumn("ratio", similarity_from(F.col("tok.tnorm"), F.col("c.cnorm"), MIN_RATIO))
         .filter(F.col("ratio") >= MIN_RATIO)
     )
     best = pairs.groupBy("video_id", "cue_idx", F.col("tok.tok_no").alias("tok_no")).agg(
@@ -175,7 +194,7 @@ def attach_slides(suspect_table: DataFrame, frames: DataFrame) -> DataFrame:
         .filter(length_bound(F.col("fnorm"), F.col("onorm"), SLIDE_RATIO))
         .select("video_id", "fnorm", "onorm")
         .distinct()
-        .withColumn("ratio", similarity(F.col("fnorm"), F.col("onorm")))
+        .withColumn("ratio", similarity_from(F.col("fnorm"), F.col("onorm"), SLIDE_RATIO))
         .filter(F.col("ratio") >= SLIDE_RATIO)
     )
     place = ocr_tokens(frames)

@@ -91,7 +91,7 @@ def cues(spark: SparkSession, sf: str, spoken: DataFrame | None = None) -> DataF
         .agg(
             F.min("start_ms").alias("cue_start_ms"),
             (F.max("end_ms") + 400).alias("cue_end_ms"),
-            F.array_sort(F.collect_list(F.struct("idx", shown.alias("t")))).alias("_t"),
+            F.sort_array(F.collect_list(F.struct("idx", shown.alias("t")))).alias("_t"),
         )
         .select(
             "video_id",
