@@ -89,6 +89,6 @@ def search(
     """
     terms = cut(query_terms(questions))
     held = only(posting_rows, cut(asked_tokens(terms, gram_rows)), "token")
-    best = ranked(questions, terms, held, rows, limit, per_video)
-    columns = ["question_id", "video_id", "start_s", "source_kind", "end_s", "text", "confidence", "speaker", "hits"]
-    return best.select(*columns, "rank")
+    shown = ["video_id", "start_s", "source_kind", "end_s", "text", "confidence", "speaker"]
+    best = ranked(questions, terms, held, rows.select("evidence_id", *shown), limit, per_video)
+    return best.select("question_id", *shown, "hits", "rank")

@@ -27,6 +27,8 @@ BLOCK = 4096
 BUCKET_ROWS = 4096
 #: Postings whose weights are held at once.
 STEP = 8192
+#: Tokens whose weights are kept for later blocks.
+KNOWN = 16384
 QUESTION, ROW, POSTING = 0, 1, 2
 #: Sorts before every video.
 FIRST = -(1 << 62)
@@ -38,22 +40,59 @@ class Questions:
 
     def __init__(self, held: list[tuple[str, list[str]]]):
         self.ids = pa.array([q for q, _ in held], pa.string())
-        self.asking: dict[str, list[int]] = {}
+        asking: dict[str, list[int]] = {}
         for place, (_, terms) in enumerate(held):
             for term in terms:
-                self.asking.setdefault(term, []).append(place)
-        self.lengths = sorted({len(t) for t in self.asking})
-        self.known: dict[str, np.ndarray] = {}
-
-    def weight(self, token: str) -> np.ndarray:
-        if token not in self.known:
-            if len(self.known) >= STEP:
-                self.known.clear()
-            out = np.zeros(len(self.ids), np.int64)
-            for term in {token[i : i + n] for n in self.lengths for i in range(len(token) - n + 1)} & self.asking.keys():
-                out[self.asking[term]] += token.count(term)
-            self.known[token] = out
-        return self.known[token]
+                asking.setdefault(term, []).append(place)
+        self.terms = list(asking)
+        self.asked_by = np.zeros((len(asking), len(held)), np.int32)
+        #: What a term begins with, and its number where that is all of it.
+        self.begun: dict[str, int] = {}
+        for number, (term, places) in enumerate(asking.items()):
+            self.asked_by[number, places] = 1
+            for n in range(1, len(term)):
+                self.begun.setdefault(term[:n], -1)
+            self.begun[term] = number
+        self.known: dict[str, int] = {}
+        self.weights = np.zeros((0, len(held)), np.int32)
+
+    def held_in(self, token: str) -> dict[int, int]:
+        """Terms that stand in a token, with how often, none counted over itself."""
+        found: dict[int, int] = {}
+        begun, size = self.begun, len(token)
+        for i in range(size):
+            for j in range(i + 1, size + 1):
+                number = begun.get(token[i:j])
+                if number is None:
+                    break
+                if number >= 0:
+                    found[number] = found.get(number, 0) + 1
+        for number, n in found.items():
+            if n > 1:
+                found[number] = token.count(self.terms[number])
+        return found
+
+    def weigh(self, tokens: list[str]) -> np.ndarray:
+        """A row per token, at most ``STEP`` of them, and a column per question."""
+        fresh = [t for t in tokens if t not in self.known]
+        if len(self.known) + len(fresh) > KNOWN:
+            self.known, fresh = {}, tokens
+        if fresh:
+            at, end = len(self.known), len(self.known) + len(fresh)
+            if end > len(self.weights):
+                self.weights = np.resize(self.weights, (min(KNOWN, max(end, 2 * len(self.weights))), len(self.ids)))
+            more = self.weights[at:end]
+            more[:] = 0
+            held = [self.held_in(t) for t in fresh]
+            rows = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            numbers = np.array([n for h in held for n in h], np.int64)
+            times = np.array([n for h in held for n in h.values()], np.int32)
+            for a in range(0, len(rows), STEP):
+                own = rows[a : a + STEP]
+                begins = np.flatnonzero(np.diff(own, prepend=-1))
+                more[own[begins]] += np.add.reduceat(self.asked_by[numbers[a : a + STEP]] * times[a : a + STEP, None], begins, axis=0)
+            self.known.update(zip(fresh, range(at, end)))
+        return self.weights[[self.known[t] for t in tokens]]
 
 
 class Block:
@@ -68,7 +107,7 @@ class Block:
         at = pc.fill_null(pc.index_in(postings.column("_id"), value_set=self.names), -1).to_numpy(zero_copy_only=False)
         for a in range(0, len(at), STEP):
             coded = postings.column("_token").slice(a, STEP).dictionary_encode()
-            weights = np.stack([self.asked.weight(t) for t in coded.dictionary.to_pylist()])
+            weights = self.asked.weigh(coded.dictionary.to_pylist())
             times = postings.column("_tf").slice(a, STEP).to_numpy()
             own = at[a : a + STEP]
             by_row = np.argsort(own, kind="stable")
@@ -119,7 +158,7 @@ def _walk(limit: int, bound: bool):
                 if (bucket, part) != place:
                     place, pending, asked = (bucket, part), [], None
                 if side == QUESTION:
-                    pending += zip(part_rows.column("_id").to_pylist(), part_rows.column("_terms").to_pylist())
+                    pending += zip(part_rows.column("_id").to_pylist(), (t.split(" ") for t in part_rows.column("_terms").to_pylist()))
                 elif not pending:
                     continue
                 elif side == ROW:
@@ -146,7 +185,8 @@ def ranked(questions: DataFrame, terms: DataFrame, postings: DataFrame, rows: Da
     bound = "video_id" in questions.columns
     total = max(1, rows.count())
     buckets, cuts_of_all = -(-total // BUCKET_ROWS), -(-total // BLOCK)
-    whole = terms.groupBy("question_id").agg(F.collect_list("term").alias("_terms"))
+    # one string: a list column that is null in all other rows is walked by Arrow's writer from its start at each of them
+    whole = terms.groupBy("question_id").agg(F.array_join(F.collect_list("term"), " ").alias("_terms"))
     parts = 1 if bound else max(1, -(-whole.count() // PART))
     by_video = per_video or bound
     cuts = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_cuts")
